@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import cooccur, dedup, threads
+from palimpsest.llm import cooccur, dedup, knn, leak, threads
+from palimpsest.operators.history import latest_records
 from palimpsest.runtime import table
 
 
@@ -40,6 +41,34 @@ def p6_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _associations(spark, sf_dir).select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "together", "n_a", "n_b", *scores)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p6_found, p6_associations)}
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding) of all three tiers, one row an id."""
+    episodes, digests = (table(spark, sf_dir, t).select("id", "embedding").dropDuplicates(["id"]) for t in ("episodes", "digests"))
+    semantic = latest_records(table(spark, sf_dir, "semantic").select("id", "updated_at", "created_at", "embedding")).select("id", "embedding")
+    return episodes.unionByName(digests).unionByName(semantic)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = knn.neighbours(_vectors(spark, sf_dir))
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.neighbours(_vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).withColumn("part", F.round("part", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p5_found, p5_neighbours, p6_found, p6_associations, p8_found, p8_report)}
 
 SQL: dict[str, str] = {}
