@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import cooccur, dedup, knn, leak, threads
+from palimpsest.llm import cooccur, dedup, grading, knn, leak, packing, threads
 from palimpsest.operators.history import latest_records
 from palimpsest.runtime import table
 
@@ -69,6 +69,31 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).withColumn("part", F.round("part", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p5_found, p5_neighbours, p6_found, p6_associations, p8_found, p8_report)}
+def _packed(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
+    capacity = table(spark, sf_dir, "context_windows").where(F.col("window_name") == window).first()["capacity_tokens"]
+    return packing.pack_documents(packing.token_counts(table(spark, sf_dir, "documents")), capacity)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "standard").where("pieces > 1").select("doc_id").distinct()
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "standard")
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grading.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_samples"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir).where("grade in (1, 5)").select("doc_id", "grade")
+
+
+def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graded(spark, sf_dir).withColumn("value", F.round("value", 3))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
 
 SQL: dict[str, str] = {}
