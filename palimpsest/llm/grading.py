@@ -52,9 +52,9 @@ def prose(text: str) -> str:
 @dataclass(frozen=True)
 class GradeParams:
     word_nodes: int = 1 << 17
-    rounds: int = 4
-    #: weight of a clamped sample's edges against a document's
-    sample_weight: float = 20.0
+    rounds: int = 3
+    #: weight of all clamped samples together against all documents together
+    graded_part: float = 6.0
 
 
 def word_edges(texts: DataFrame, params: GradeParams) -> DataFrame:
@@ -105,7 +105,7 @@ def _text_values(batch: pa.RecordBatch, score: np.ndarray, mass: np.ndarray, own
     return np.where(total > 0, mean, np.nan), row, node, count
 
 
-def _propagate(graph: DataFrame, params: GradeParams) -> tuple[np.ndarray, np.ndarray, list]:
+def _propagate(graph: DataFrame, params: GradeParams, sample_weight: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Harmonic rounds over the written graph; the state is two numbers a word node."""
     spark = graph.sparkSession
     n = params.word_nodes
@@ -119,7 +119,7 @@ def _propagate(graph: DataFrame, params: GradeParams) -> tuple[np.ndarray, np.nd
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                value, weight = current_values(batch, states.value, params)
+                value, weight = current_values(batch, states.value, sample_weight)
                 row = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("nodes").value_lengths()))
                 node = batch.column("nodes").flatten().to_numpy(zero_copy_only=False)
                 count = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -139,11 +139,11 @@ def _propagate(graph: DataFrame, params: GradeParams) -> tuple[np.ndarray, np.nd
     return history
 
 
-def current_values(batch: pa.RecordBatch, history: list, params: GradeParams) -> tuple[np.ndarray, np.ndarray]:
+def current_values(batch: pa.RecordBatch, history: list, sample_weight: float) -> tuple[np.ndarray, np.ndarray]:
     """Each text's value after the rounds so far, and its edge weight: the clamped grade of a
     sample; for a document nothing at first, then the left-out mean of its words."""
     grade = batch.column("grade").to_numpy(zero_copy_only=False)
-    weight = np.where(np.isnan(grade), 1.0, params.sample_weight)
+    weight = np.where(np.isnan(grade), 1.0, sample_weight)
     value = grade
     for score, mass in history:
         free = _text_values(batch, score, mass, value, weight)[0]
@@ -151,7 +151,7 @@ def current_values(batch: pa.RecordBatch, history: list, params: GradeParams) ->
     return value, weight
 
 
-def free_values(graph: DataFrame, history: list, params: GradeParams) -> DataFrame:
+def free_values(graph: DataFrame, history: list, sample_weight: float) -> DataFrame:
     """(key, grade, value): the left-out mean of every text's words after the last round, for the
     samples too."""
     states = graph.sparkSession.sparkContext.broadcast([(s.astype(np.float32), m.astype(np.float32)) for s, m in history])
@@ -160,7 +160,7 @@ def free_values(graph: DataFrame, history: list, params: GradeParams) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            before, weight = current_values(batch, states.value[:-1], params)
+            before, weight = current_values(batch, states.value[:-1], sample_weight)
             value = _text_values(batch, *states.value[-1], before, weight)[0]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), pa.array(value, from_pandas=True)], names=["key", "grade", "value"])
 
@@ -189,8 +189,10 @@ def grade_documents(documents: DataFrame, samples: DataFrame, params: GradeParam
     graded = samples.where("grade is not null").select(F.col("sample_id").cast("long").alias("key"), "text", F.col("grade").cast("double").alias("grade"))
     texts = prosaic.select(F.col("doc_id").cast("long").alias("key"), "text", F.lit(None).cast("double").alias("grade")).unionByName(graded)
     graph = scratch.keep(word_edges(texts, params), "graph")
-    history = _propagate(graph, params)
-    values = scratch.keep(free_values(graph, history, params), "values")
+    size = graph.agg(F.count("grade").alias("samples"), F.count_if(F.col("grade").isNull()).alias("documents")).first()
+    sample_weight = params.graded_part * max(1, size["documents"]) / max(1, size["samples"])
+    history = _propagate(graph, params, sample_weight)
+    values = scratch.keep(free_values(graph, history, sample_weight), "values")
     known = values.where("grade is not null and value is not null").toPandas()  # the samples
     document = values.where("grade is null").select(F.col("key").alias("doc_id"), "value")
     if known.empty:
