@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import cooccur, dedup, grading, knn, leak, packing, threads
+from palimpsest.llm import cooccur, dedup, grading, knn, leak, packing, pii, threads
 from palimpsest.operators.history import latest_records
 from palimpsest.runtime import table
 
@@ -69,6 +69,21 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).withColumn("part", F.round("part", 6))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    episodes = table(spark, sf_dir, "episodes").select(F.lit("episode").alias("tier"), "id", "content")
+    semantic = latest_records(table(spark, sf_dir, "semantic").select("id", "updated_at", "created_at", "content"))
+    rows = episodes.unionByName(semantic.select(F.lit("semantic").alias("tier"), "id", "content"))
+    return pii.find(rows, table(spark, sf_dir, "name_parts"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("tier", "id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("tier", "id", "redacted").distinct()
+
+
 def _packed(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
     capacity = table(spark, sf_dir, "context_windows").where(F.col("window_name") == window).first()["capacity_tokens"]
     return packing.pack_documents(packing.token_counts(table(spark, sf_dir, "documents")), capacity)
@@ -94,6 +109,6 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(spark, sf_dir).withColumn("value", F.round("value", 3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p4_found, p4_redacted, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
 
 SQL: dict[str, str] = {}
