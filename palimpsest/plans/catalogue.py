@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import problem3
+from palimpsest.plans import aggregates, jobs, lexical, problem3, ranking, storage
 
-MODULES = (problem3,)
+REGISTRIES = (storage.R, lexical.R, ranking.R, aggregates.R, jobs.R)
 
-QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
+QUERIES = dict(problem3.QUERIES) | {name: f for r in REGISTRIES for name, f in r.queries.items()}
+SQL = dict(problem3.SQL) | {name: text for r in REGISTRIES for name, text in r.sql.items()}
