@@ -120,7 +120,8 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     both = scratch.keep(symmetric(edges), "edges")
     own = both.groupBy("src").agg(F.avg("weight").alias("weight"))
     labels = scratch.keep(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
-    for i in range(rounds):
+    still = 0
+    for i in range(2 * rounds):
         votes = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
         self_vote = labels.join(own, F.col("node") == F.col("src")).select("node", "community", F.col("weight").alias("w"))
         total = votes.unionByName(self_vote).groupBy("node", "community").agg(F.round(F.sum("w"), 9).alias("w"))
@@ -128,10 +129,10 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
         new = labels.join(won, "node").select("node", F.col("community").alias("was"), F.when(turn, F.col("best.community")).otherwise(F.col("community")).alias("community"))
         new = scratch.keep(new, "round")
-        moved = not new.where("was <> community").isEmpty()
+        still = still + 1 if new.where("was <> community").isEmpty() else 0
         scratch.drop(labels)
         labels = new.select("node", "community")
-        if not moved and i:
+        if still == 2:  # neither half of the nodes moved
             break
         labels = scratch.keep(labels, "labels")
         scratch.drop(new)
