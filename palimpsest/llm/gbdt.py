@@ -79,7 +79,7 @@ class BoostedTrees:
         a, b = 1.0, 0.0
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         for _ in range(200):
-            p = 1 / (1 + np.exp(-(a * z + b)))
+            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             r = p - target
             w = p * (1 - p) + 1e-6
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
@@ -96,4 +96,4 @@ class BoostedTrees:
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))

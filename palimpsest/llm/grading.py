@@ -133,8 +133,9 @@ def _propagate(graph: DataFrame, params: GradeParams, sample_weight: float) -> l
         sums = graph.mapInArrow(run, "node int, score double, mass double").groupBy("node").agg(F.sum("score").alias("score"), F.sum("mass").alias("mass"))
         got = sums.toPandas()  # at most word_nodes rows
         score, mass = np.zeros(n), np.zeros(n)
-        score[got["node"].to_numpy()] = got["score"].to_numpy()
-        mass[got["node"].to_numpy()] = got["mass"].to_numpy()
+        at = got["node"].to_numpy().astype(np.int64)
+        score[at] = got["score"].to_numpy()
+        mass[at] = got["mass"].to_numpy()
         history.append((score, mass))
     return history
 

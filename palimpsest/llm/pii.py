@@ -128,7 +128,7 @@ def name_spans(text: str, names: NameWords) -> list[tuple[int, int, list[tuple[s
         if low in COMMON and not c & 71 or low in PRODUCT and not c & 7:
             c = 0
         before = text[a - 1] if a else " "
-        if before in "-/_\\#" or text[b : b + 1] in ("-", "/", "_") or (before == "." and a > 1 and text[a - 2].isalnum()) or before.isdigit() or text[b : b + 1].isdigit():
+        if before in "-/_\\#" or text[b : b + 1] in ("-", "/", "_") or (before == "." and a > 1 and text[a - 2].isalnum()) or (before == "@" and a > 1 and text[a - 2].isalnum()) or before.isdigit() or text[b : b + 1].isdigit():
             c = 0
         marks.append(c)
     out, k, n = [], 0, len(tokens)

@@ -144,7 +144,8 @@ class Maker:
         return r.choice(forms)
 
     def harmless(self) -> str:
-        r, d, w, W = self.r, self.digits, self.word, self.word().capitalize()
+        r, d, w = self.r, self.digits, self.word
+        W = (self.word() if r.random() < 0.8 else r.choice(self.given + self.family)).capitalize()
         noun, prod, verb = r.choice(NOUNS), f"{self.word().capitalize()} {r.choice(PRODUCTS)}", r.choice(VERBS)
         svc = f"{w()}-{r.choice(('hub', 'api', 'core', 'queue', 'lens'))}"
         given = r.choice(self.given)
