@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import catalog, schema
 from palimpsest.functions import lexicon as L
 from palimpsest.functions import text as T
-from palimpsest.operators import consolidation, fusion, graph, scans, text_search, vectors
+from palimpsest.operators import consolidation, fusion, graph, scans, sequence, text_search, vectors
 from palimpsest.runtime import ship_code
 
 
@@ -89,9 +89,8 @@ class Memory:
         rows = m.withColumns({"content": cleaned, "salience": L.salience(cleaned), "entities_json": F.to_json(L.entities(cleaned)), "access_count": F.lit(0).cast("long"), "created_at": F.coalesce("created_at", F.lit(now).cast("timestamp"))})
         rows = rows.where(F.length("content") >= 2)
         self.append("episodes", rows)
-        w = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(1, 5)
         touched = self.table("episodes").join(rows.select("session_id").distinct(), "session_id", "left_semi")
-        ahead = touched.withColumn("_a", F.collect_list(F.struct("id", "salience")).over(w)).select(F.col("id").alias("source_id"), "salience", F.explode("_a").alias("n"))
+        ahead = sequence.following(touched, "session_id", sequence.day_bucket("created_at"), ["created_at", "id"], 5, ["id", "salience"], "_a").select(F.col("id").alias("source_id"), "salience", F.explode("_a").alias("n"))
         self._link(ahead.select("source_id", F.col("n.id").alias("target_id"), F.lit("episode").alias("source_type"), F.lit("episode").alias("target_type"), F.lit("temporal").alias("edge_type"), L.salience_gate(F.lit(0.3), F.coalesce("salience", F.lit(0.3)), F.coalesce("n.salience", F.lit(0.3))).alias("strength")), now)
 
     def _link(self, edges: DataFrame, now: str) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.scans import FLOOR
+from palimpsest.operators.sequence import numbered
 
 # --- fixed values: summary stop words, knowledge patterns and contradiction phrases -----------------
 
@@ -42,10 +43,11 @@ CONTRADICTIONS = [
 def session_batches(episodes: DataFrame, size: int = 20, minimum: int = 5) -> DataFrame:
     """Unconsolidated rows of sessions with ``minimum`` of them, in batches of ``size`` by
     salience; adds batch and place.  Sessions of any length split over batches, not tasks."""
-    order = Window.partitionBy("session_id").orderBy(F.coalesce("salience", F.lit(0.3)).desc(), "id")
+    score = F.coalesce("salience", F.lit(0.3))
     rows = episodes.where("consolidated_at is null and forgotten_at is null and session_id is not null")
-    counted = rows.withColumn("place", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
-    return counted.where(F.col("_n") >= minimum).withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("_n")
+    enough = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum).select("session_id")
+    placed = numbered(rows.join(enough, "session_id", "left_semi"), "session_id", F.floor(-score * 1000), [score.desc(), F.col("id")], "place")
+    return placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long"))
 
 
 def detail_level(mean: Column) -> Column:

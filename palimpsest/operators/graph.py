@@ -10,9 +10,10 @@ parallel edges count by their greatest weight; no seeds give an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.sequence import day_bucket, following, preceding
 from palimpsest.runtime import Scratch
 
 
@@ -181,14 +182,11 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "node", "left_anti")
 
 
-def pairs_within(rows: DataFrame, key: str, order: list[str], distance: int) -> DataFrame:
-    """(key, a, b, gap): rows at most ``distance`` places apart in their key's order.
-
-    One window of ``distance`` following ids a row; no self join.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    ahead = F.collect_list("id").over(w.rowsBetween(1, distance))
-    return rows.withColumn("_ahead", ahead).select(key, F.col("id").alias("a"), F.posexplode("_ahead").alias("gap", "b")).withColumn("gap", F.col("gap") + 1)
+def pairs_within(rows: DataFrame, key: str, order: list[str], distance: int, bucket: Column | None = None) -> DataFrame:
+    """(key, a, b, gap): rows at most ``distance`` places apart in their key's order.  ``bucket``
+    cuts keys that may be large (see ``sequence``)."""
+    ahead = following(rows, key, F.lit(0) if bucket is None else bucket, order, distance, ["id"], "_ahead")
+    return ahead.select(key, F.col("id").alias("a"), F.posexplode("_ahead").alias("gap", "n")).select(key, "a", (F.col("gap") + 1).alias("gap"), F.col("n.id").alias("b"))
 
 
 def decompose_episodes(turns: DataFrame) -> DataFrame:
@@ -199,7 +197,6 @@ def decompose_episodes(turns: DataFrame) -> DataFrame:
 
     clock = time_context(F.col("created_at"))
     t = turns.withColumn("_time", F.concat_ws(":", clock["year_week"], clock["day_of_week"], clock["time_of_day"]))
-    previous = F.lag("id").over(Window.partitionBy("session_id").orderBy("created_at", "id"))
     edge = lambda dst, kind, weight: F.struct(dst.alias("dst"), F.lit(kind).alias("edge_type"), weight.cast("double").alias("weight"))
     single = F.array(
         F.when(F.col("session_id").isNotNull(), edge(F.concat(F.lit("session:"), "session_id"), "OCCURRED_IN", F.lit(1.0))),
@@ -211,7 +208,7 @@ def decompose_episodes(turns: DataFrame) -> DataFrame:
         F.when(F.col("_previous").isNotNull(), edge(F.col("_previous"), "TEMPORAL", F.lit(0.8))),
     )
     entities = F.transform(F.coalesce("entities", F.array().cast("array<string>")), lambda e: edge(F.concat(F.lit("entity:"), slug(e)), "CONTEXTUAL", F.lit(0.6)))
-    t = t.withColumn("_previous", previous)
+    t = preceding(t, "session_id", day_bucket("created_at"), ["created_at", "id"], 1, ["id"], "_p").withColumn("_previous", F.when(F.col("session_id").isNotNull(), F.get("_p", F.lit(0))["id"]))
     return t.select(F.col("id").alias("src"), F.explode(F.array_compact(F.concat(single, entities))).alias("e")).select("src", "e.dst", "e.edge_type", "e.weight").groupBy("src", "dst", "edge_type").agg(F.max("weight").alias("weight"))
 
 

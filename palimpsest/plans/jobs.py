@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Tables
 from palimpsest.functions import text as T
-from palimpsest.operators import consolidation, graph, scans, synthesis
+from palimpsest.operators import consolidation, graph, sequence, synthesis
 from palimpsest.plans import aggregates
 from palimpsest.plans.registry import NOW, Registry
 from palimpsest.streaming import incremental
@@ -130,20 +130,17 @@ def reconcile_index(t: Tables) -> DataFrame:
     SELECT a.session_id, a.turn, count(DISTINCT b.role) AS primed FROM u a JOIN u b ON a.session_id = b.session_id AND b.turn BETWEEN a.turn - 4 AND a.turn GROUP BY 1, 2"""
 )
 def primed_topics(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = t.episodes.where("session_id is not null and created_at is not null and role is not null")
-    turns = rows.select("session_id", F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "id")).alias("turn"), F.array("role").alias("topics"))
+    rows = t.episodes.where("session_id is not null and created_at is not null and role is not null").select("session_id", "id", "created_at", "role")
+    placed = sequence.numbered(rows, "session_id", sequence.day_bucket("created_at"), [F.col("created_at"), F.col("id")], "turn")
+    turns = placed.select("session_id", F.col("turn").cast("long").alias("turn"), F.array("role").alias("topics"))
     return incremental.primed_topics_batch(turns).select("session_id", "turn", F.size("topics").cast("long").alias("primed"))
 
 
 @R.query()
 def contextual_backfill(t: Tables) -> DataFrame:
     """Turns without a preamble, with the text an embedder gets for them."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(-2, -1)
-    rows = t.episodes.where("content is not null and session_id is not null").withColumn("before", F.collect_list("content").over(w))
+    rows = t.episodes.where("content is not null and session_id is not null and created_at is not null").select("id", "session_id", "created_at", "content", "metadata")
+    rows = sequence.preceding(rows, "session_id", sequence.day_bucket("created_at"), ["created_at", "id"], 2, ["content"], "p").withColumn("before", F.transform("p", lambda x: x["content"]))
     due = rows.where(F.try_element_at("metadata", F.lit("contextPreamble")).isNull())
     return due.select("id", T.embed_text(F.col("content"), F.col("before"), F.lit(None).cast("string")).alias("text"))
 

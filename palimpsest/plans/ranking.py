@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Tables
 from palimpsest.functions import text as T
-from palimpsest.operators import fusion, metrics, text_search, vectors
+from palimpsest.operators import fusion, metrics, sequence, text_search, vectors
 from palimpsest.plans import lexical
 from palimpsest.plans.registry import NOW, Registry
 
@@ -193,9 +193,9 @@ def jaccard_pairs(t: Tables) -> DataFrame:
     SELECT id, coalesce(length(p1), 0) + coalesce(length(p2), 0) AS context_chars FROM u"""
 )
 def previous_context(t: Tables) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(-2, -1)
-    rows = t.episodes.where("session_id is not null and created_at is not null and content is not null").withColumn("before", F.collect_list("content").over(w))
-    return rows.select("id", F.aggregate("before", F.lit(0), lambda n, c: n + F.length(c)).alias("context_chars"))
+    rows = t.episodes.where("session_id is not null and created_at is not null and content is not null").select("id", "session_id", "created_at", "content")
+    rows = sequence.preceding(rows, "session_id", sequence.day_bucket("created_at"), ["created_at", "id"], 2, ["content"], "before")
+    return rows.select("id", F.aggregate("before", F.lit(0), lambda n, c: n + F.length(c["content"])).alias("context_chars"))
 
 
 @R.query(
@@ -215,9 +215,8 @@ def lookback_30min(t: Tables) -> DataFrame:
 def temporal_pairs(t: Tables) -> DataFrame:
     from palimpsest.functions.lexicon import salience_gate
 
-    w = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(1, 5)
     rows = t.episodes.where("session_id is not null and created_at is not null").select("session_id", "id", "created_at", F.coalesce("salience", F.lit(0.3)).alias("s"))
-    ahead = rows.withColumn("ahead", F.collect_list(F.struct("id", "s")).over(w)).select(F.col("id").alias("a"), "s", F.posexplode("ahead").alias("gap", "n"))
+    ahead = sequence.following(rows, "session_id", sequence.day_bucket("created_at"), ["created_at", "id"], 5, ["id", "s"], "ahead").select(F.col("id").alias("a"), "s", F.posexplode("ahead").alias("gap", "n"))
     return ahead.select("a", F.col("n.id").alias("b"), (F.col("gap") + 1).alias("gap"), F.round(salience_gate(F.lit(0.3), F.col("s"), F.col("n.s")), 6).alias("strength"))
 
 
@@ -261,12 +260,13 @@ def similarity_stats(t: Tables) -> DataFrame:
 @R.query("SELECT doc_id, tokens, CAST(used AS BIGINT) AS used FROM (SELECT doc_id, tokens, sum(tokens) OVER (PARTITION BY source ORDER BY written_at DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT doc_id, source, written_at, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL AND written_at IS NOT NULL)) WHERE used <= 2000", base=False)
 def token_budget_take(t: Tables) -> DataFrame:
     rows = t.documents.where("text is not null and written_at is not null").select("doc_id", "source", "written_at", T.token_estimate(F.col("text")).alias("tokens"))
-    used = F.sum("tokens").over(Window.partitionBy("source").orderBy(F.col("written_at").desc(), "doc_id"))
-    return rows.withColumn("used", used).where("used <= 2000").select("doc_id", "tokens", "used")
+    order = [F.col("written_at").desc(), F.col("doc_id")]
+    used = sequence.running_sum(rows, "source", -sequence.day_bucket("written_at"), order, F.col("tokens"), "used")
+    return used.where("used <= 2000").select("doc_id", "tokens", "used")
 
 
 @R.query("+ u AS (SELECT session_id, id, created_at, date_diff('day', lag(created_at) OVER w, created_at) AS days FROM ep WHERE session_id IS NOT NULL AND created_at IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)) SELECT session_id, id, days FROM u WHERE days IS NOT NULL")
 def elapsed_between(t: Tables) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("created_at", "id")
-    rows = t.episodes.where("session_id is not null and created_at is not null")
-    return rows.select("session_id", "id", F.date_diff("created_at", F.lag("created_at").over(w)).cast("long").alias("days")).where("days is not null")
+    rows = t.episodes.where("session_id is not null and created_at is not null").select("session_id", "id", "created_at")
+    rows = sequence.preceding(rows, "session_id", sequence.day_bucket("created_at"), ["created_at", "id"], 1, ["created_at"], "before")
+    return rows.where(F.size("before") > 0).select("session_id", "id", F.date_diff("created_at", F.col("before")[0]["created_at"]).cast("long").alias("days"))

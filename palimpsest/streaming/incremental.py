@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palimpsest.operators.sequence import recent_count
+
 LATE = "60 seconds"
 
 
@@ -53,8 +55,7 @@ def maintain(stream: DataFrame, encode: Callable[[DataFrame], DataFrame], target
 
 def lookback(turns: DataFrame, minutes: int = 30) -> DataFrame:
     """For every turn the number of turns of its session in the minutes before it."""
-    frame = Window.partitionBy("session_id").orderBy(F.unix_micros("created_at")).rangeBetween(-minutes * 60_000_000, -1)
-    return turns.withColumn("recent", F.count(F.lit(1)).over(frame))
+    return recent_count(turns, "session_id", "created_at", minutes, "recent")
 
 
 def sessions(stream: DataFrame, key: str, at: str, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
