@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.catalog import BASE_SQL
 from palimpsest.llm import cooccur, dedup, grading, knn, leak, packing, pii, threads
 from palimpsest.operators.history import latest_records
 from palimpsest.runtime import table
@@ -111,4 +112,28 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p4_found, p4_redacted, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
 
-SQL: dict[str, str] = {}
+_ROLES = ", ".join(f"'{k}': '{v}'" for k, v in threads.ROLE_NAMES.items())
+
+SQL = {
+    "p2_found": BASE_SQL
+    + f""", m AS (SELECT session_id, id, created_at, MAP {{{_ROLES}}}[lower(trim(role, ' ' || chr(9) || chr(10) || chr(13)))] AS who FROM ep
+      WHERE session_id IS NOT NULL AND regexp_matches(content, '[\\p{{L}}\\p{{N}}]')),
+    t AS (SELECT *, lag(who) OVER w AS prev, row_number() OVER w AS first, lead(id) OVER w IS NULL AS last FROM m WHERE created_at IS NOT NULL AND who IN ('user', 'assistant')
+      WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id))
+    SELECT DISTINCT session_id, 'bad_row' AS defect FROM m WHERE created_at IS NULL OR who IS NULL
+    UNION SELECT session_id, 'empty' FROM m WHERE session_id NOT IN (SELECT session_id FROM t)
+    UNION SELECT session_id, 'bad_order' FROM t WHERE prev = who OR (first = 1 AND who <> 'user')
+    UNION SELECT session_id, 'no_reply' FROM t WHERE last AND who = 'user'""",
+    "p5_found": BASE_SQL
+    + """, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM mem WHERE len(embedding) = 32
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.id <> b.id),
+    r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS rank FROM s WHERE c >= 0.95)
+    SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE rank <= 5""",
+    "p6_found": BASE_SQL
+    + """, j AS (SELECT id, CASE WHEN json_valid(entities_json) AND json_type(entities_json) = 'ARRAY' THEN json_extract(entities_json, '$[*]') END AS xs FROM ep),
+    u AS (SELECT id, unnest(xs) AS x FROM j), i AS (SELECT DISTINCT id, lower(trim(x ->> '$', ' ' || chr(9) || chr(10) || chr(13))) AS item FROM u WHERE json_type(x) = 'VARCHAR'),
+    b AS (SELECT id, item FROM i WHERE item <> ''), n AS (SELECT count(DISTINCT id) AS n FROM b), one AS (SELECT item, count(*) AS c FROM b GROUP BY 1),
+    p AS (SELECT x.item AS entity_a, y.item AS entity_b, count(*) AS c FROM b x JOIN b y ON x.id = y.id AND x.item < y.item GROUP BY 1, 2)
+    SELECT entity_a, entity_b FROM p JOIN one a ON a.item = entity_a JOIN one z ON z.item = entity_b, n WHERE 1000 * p.c >= n AND p.c * n >= 3 * a.c * z.c""",
+}
