@@ -92,24 +92,28 @@ def merge_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst", "edge_type").agg(F.max("weight").alias("weight"), F.sum("traversals").alias("traversals"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-7) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-7, cut: int = 5) -> DataFrame:
     """(node, rank) by power iteration on the symmetric weighted graph; dangling mass does not
-    arise since every edge goes both ways."""
+    arise since every edge goes both ways.  The lineage is cut, and the tolerance looked at, every
+    ``cut`` rounds."""
     scratch = Scratch(edges.sparkSession, "pagerank")
     both = symmetric(edges).where("weight > 0")
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = scratch.keep(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "moves")
-    rank = scratch.keep(moves.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0)), "rank")
-    for _ in range(rounds):
-        gain = moves.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("gain"))
-        new = scratch.keep(rank.join(gain, F.col("node") == F.col("dst"), "left").select("node", F.col("rank").alias("was"), ((1 - damping) + damping * F.coalesce("gain", F.lit(0.0))).alias("rank")), "rank")
+    rank = held = scratch.keep(moves.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0)), "rank")
+    done = 0
+    while done < rounds:
+        step = min(cut, rounds - done)
+        for _ in range(step):
+            gain = moves.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("gain"))
+            rank = rank.join(gain, F.col("node") == F.col("dst"), "left").select("node", F.col("rank").alias("was"), ((1 - damping) + damping * F.coalesce("gain", F.lit(0.0))).alias("rank"))
+        done += step
+        new = scratch.keep(rank, "rank")
         moved = new.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
-        scratch.drop(rank)
-        rank = new.select("node", "rank")
+        scratch.drop(held)
+        held, rank = new, new.select("node", "rank")
         if moved < tolerance:
             break
-        rank = scratch.keep(rank, "rank")
-        scratch.drop(new)
     return rank
 
 
@@ -120,23 +124,23 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     scratch = Scratch(edges.sparkSession, "communities")
     both = scratch.keep(symmetric(edges), "edges")
     own = both.groupBy("src").agg(F.avg("weight").alias("weight"))
-    labels = scratch.keep(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
-    still = 0
-    for i in range(2 * rounds):
-        votes = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        self_vote = labels.join(own, F.col("node") == F.col("src")).select("node", "community", F.col("weight").alias("w"))
-        total = votes.unionByName(self_vote).groupBy("node", "community").agg(F.round(F.sum("w"), 9).alias("w"))
-        won = total.groupBy("node").agg(F.min(F.struct(-F.col("w"), "community")).alias("best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        new = labels.join(won, "node").select("node", F.col("community").alias("was"), F.when(turn, F.col("best.community")).otherwise(F.col("community")).alias("community"))
-        new = scratch.keep(new, "round")
-        still = still + 1 if new.where("was <> community").isEmpty() else 0
-        scratch.drop(labels)
-        labels = new.select("node", "community")
-        if still == 2:  # neither half of the nodes moved
+    labels = held = scratch.keep(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
+    for _ in range(rounds):
+        start = labels
+        for half in (0, 1):
+            votes = both.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+            self_vote = labels.join(own, F.col("node") == F.col("src")).select("node", "community", F.col("weight").alias("w"))
+            total = votes.unionByName(self_vote).groupBy("node", "community").agg(F.round(F.sum("w"), 9).alias("w"))
+            won = total.groupBy("node").agg(F.min(F.struct(-F.col("w"), "community")).alias("best"))
+            turn = F.pmod(F.xxhash64("node"), F.lit(2)) == half
+            labels = labels.join(won, "node").select("node", F.when(turn, F.col("best.community")).otherwise(F.col("community")).alias("community"))
+        was = start.select("node", F.col("community").alias("was"))
+        new = scratch.keep(labels.join(was, "node").select("node", "was", "community"), "round")
+        still = new.where("was <> community").isEmpty()
+        scratch.drop(held)
+        held, labels = new, new.select("node", "community")
+        if still:
             break
-        labels = scratch.keep(labels, "labels")
-        scratch.drop(new)
     return labels
 
 

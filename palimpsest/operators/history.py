@@ -107,7 +107,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     neighbours' (partially aggregated, so hubs do not gather), then jumps to its label's label.
     """
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
+    labels = held = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "least").alias("low"))
@@ -115,12 +115,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step = step.join(up, "low").select("node", F.col("root").alias("was"), F.least("low", "jump").alias("root"))
         new = scratch.keep(step, "round")
         moved = not new.where("was <> root").isEmpty()
-        scratch.drop(labels)
-        labels = new.select("node", "root")
+        scratch.drop(held)
+        held, labels = new, new.select("node", "root")
         if not moved:
             return labels
-        labels = scratch.keep(labels, "labels")
-        scratch.drop(new)
 
 
 def latest_records(rows: DataFrame) -> DataFrame:
