@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.catalog import BASE_SQL
 from palimpsest.llm import cooccur, dedup, grading, knn, leak, packing, pii, threads
 from palimpsest.operators.history import latest_records
-from palimpsest.runtime import table
+from palimpsest.runtime import Scratch, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.find_copies(rows)
 
 
+def p1_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last weekly batch that is closed, against the stored state of all rows before it."""
+    rows = table(spark, sf_dir, "episodes").select("id", F.unix_micros("created_at").alias("ts"), "content").where("ts is not null")
+    last = rows.agg(F.max("ts")).first()[0] or 0
+    batch = table(spark, sf_dir, "ingest_batches").select(F.unix_micros("opened_at").alias("a"), F.unix_micros("closed_at").alias("b")).where(F.col("b") <= last).orderBy(F.col("b").desc()).first()
+    opened, closed = (batch["a"], batch["b"]) if batch else (0, last + 1)
+    state = dedup.AcceptedTexts(spark, Scratch(spark, "accepted").root)
+    state.process(rows.where(F.col("ts") < opened))
+    return state.process(rows.where((F.col("ts") >= opened) & (F.col("ts") < closed)))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.session_defects(table(spark, sf_dir, "episodes"))
 
@@ -110,7 +121,7 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(spark, sf_dir).withColumn("value", F.round("value", 3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_threads, p2_conversations, p4_found, p4_redacted, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_last_batch, p2_found, p2_threads, p2_conversations, p4_found, p4_redacted, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
 
 _ROLES = ", ".join(f"'{k}': '{v}'" for k, v in threads.ROLE_NAMES.items())
 
