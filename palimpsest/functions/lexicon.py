@@ -221,3 +221,111 @@ def entities(text: Column) -> Column:
     tech = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit("(?i)" + p), F.lit(1)) for p in TECHNOLOGIES]))
     projects = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in PROJECTS]))
     return F.array_distinct(F.concat(people, tech, projects))
+
+
+# --- further fixed values: person cues, analyser lexicon, cue stop words, abstention, relative days -------
+
+PERSON_CUES = (
+    (0.9, r"(?:(?:tell|told|ask|asked|ping|cc|dm|email|emailed)\s+|@)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"),
+    (0.7, r"(?:with|from|by)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)(?=\s+(?:said|says|thinks|mentioned|suggested|wants|wanted|is|was|will|can|and|or|,|\.))"),
+    (0.8, r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:said|says|told|mentioned|suggested|asked|thinks|wants|wrote|replied)"),
+)
+NOT_FIRST_NAMES = (
+    "I You He She It We They Me Him Her Us Them My Your His Its Our Their Mine Yours Hers Ours Theirs Someone Somebody Anyone Anybody Everyone Everybody Nobody One Ones"
+    " The This That These Those What How Why When Where Who Which There Here Some Any Each Every Both All Most Many Much More Other Another Such Same Good Great Best New Old First Last Next Previous Note"
+    " True False Yes No Maybe None Nothing And But Or So If Then Because Although While As Now Just Also Still Is Was Are Were Will Would Should Could May Might Must Do Does Did Have Has Had Be Been Being"
+    " Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December Today Yesterday Tomorrow Morning Afternoon Evening Night"
+    " Project Session Work Code Agent Server Client Task Context Action System Status Phase Stage Build Deploy Update Summary Error Item Items Not About After Before During Through"
+).split()
+ANALYSER_SIGNALS = (
+    (0.95, r"\b(remember this|important|note:)\b"), (0.90, r"\b(let'?s go with|we decided|the plan is)\b"), (0.85, r"\b(no actually|that'?s wrong|not like that)\b"), (0.85, r"\b(i prefer|i always|i never)\b"), (0.80, r"\b(frustrated|critical|urgent|excited)\b"),
+)
+CUE_STOP = "the and for are but not you all can was this that have with from they been has will its our let did how what who why when where".split()
+QUESTION_STOP = "what when where which about know remember tell show does last recent that this with from have been the and for are but not you all can was how who why".split()
+REPEAT_STOP = "this that with have from they will been were said each which their there what about would make like into time more very when come just than then some could other".split()
+ABSTENTIONS = [r"\bi don'?t know\b", r"\bno (?:such )?information\b", r"\bnot (?:mentioned|available|provided|specified)\b", r"\bcannot (?:determine|find|answer)\b"]
+RELATIVE_DAYS = (("yesterday", 1), ("last week", 7), ("last month", 30), ("last year", 365), ("two years ago", 730), ("a year ago", 365), ("a month ago", 30), ("a week ago", 7), ("recently", 7))
+
+
+def persons(text: Column) -> Column:
+    """array<struct<name, confidence>>: people by cue, the best confidence a name; full names score
+    0.05 more, at most 0.95."""
+    found = []
+    for base, pattern in PERSON_CUES:
+        names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
+        found.append(F.transform(names, _rated(base)))
+    every = F.filter(F.flatten(F.array(*found)), lambda p: (F.length(p["name"]) > 1) & ~F.exists(F.split(p["name"], r"\s+"), lambda w: w.isin(*NOT_FIRST_NAMES)))
+    distinct = F.array_distinct(F.transform(every, lambda p: p["name"]))
+    return F.transform(distinct, lambda n: F.struct(n.alias("name"), F.array_max(F.transform(F.filter(every, lambda p: p["name"] == n), lambda p: p["confidence"])).alias("confidence")))
+
+
+def _rated(base: float):
+    def rate(name: Column) -> Column:
+        name = F.trim(name)
+        score = F.when(F.contains(name, F.lit(" ")), min(0.95, base + 0.05)).otherwise(base)
+        return F.struct(name.alias("name"), score.alias("confidence"))
+
+    return rate
+
+
+def analyser_salience(text: Column) -> Column:
+    """The intent analyser's salience: one signal a family, short acknowledgements count 0.1."""
+    t = F.coalesce(text, F.lit(""))
+    signals = [F.when(hits(t, p), F.lit(w)) for w, p in ANALYSER_SIGNALS]
+    signals += [F.when(F.trim(t).endswith("?"), 0.60), F.when(F.contains(t, F.lit("```")), 0.50), F.when(F.length(t) > 200, 0.40), F.when(hits(t, r"\b(ok|okay|thanks|sure)\b") & (F.length(t) < 20), 0.10)]
+    found = F.array_compact(F.array(*signals))
+    return F.when(F.size(found) == 0, 0.30).otherwise(F.least(F.lit(0.99), F.array_max(found) + 0.05 * (F.size(found) - 1)))
+
+
+def cues(text: Column) -> Column:
+    """The first eight words of three letters and more that are not stop words."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s,;:.!?()\[\]{}\"']+")
+    return F.slice(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*CUE_STOP)), 1, 8)
+
+
+def query_variants(text: Column, intent_: Column) -> Column:
+    """The query itself, without its question prefix, and by intent without pronouns or as keywords."""
+    content = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)^(what|who|where|when|why|how|which|do you|did we|can you|tell me|show me)\s+(was|is|are|were|about|know|remember)\s*", ""), r"\?$", ""))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)\b(did|do|we|i|you)\b", ""), r"\?$", ""), r"\s{2,}", " "))
+    keywords = F.array_join(F.filter(F.split(F.regexp_replace(text, r"\?$", ""), r"\s+"), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*QUESTION_STOP)), " ")
+    return F.array_distinct(F.array_compact(F.array(text, F.when(F.length(content) > 5, content), F.when((intent_ == "RECALL_EXPLICIT") & (F.length(bare) > 5), bare), F.when((intent_ == "QUESTION") & (keywords != ""), keywords))))
+
+
+def repeats(text: Column, recent: Column) -> Column:
+    """Whether three or more recent texts share a word of more than four letters with this one."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: (F.length(w) > 4) & ~w.isin(*REPEAT_STOP))
+    shared = F.filter(recent, lambda r: F.exists(words, lambda w: F.contains(F.lower(r), w)))
+    return F.coalesce(F.size(shared) >= 3, F.lit(False))
+
+
+def abstention(answer: Column) -> Column:
+    a = F.trim(F.coalesce(answer, F.lit("")))
+    return any_hit(F.substring(a, 1, 120), ABSTENTIONS) & (F.length(a) < 240)
+
+
+def numeric_gold(gold: Column) -> Column:
+    return F.coalesce(gold.rlike(r"^\s*\d+"), F.lit(False))
+
+
+def gold_in_context(gold: Column, retrieved: Column, n: int) -> Column:
+    return (F.size(gold) > 0) & (F.size(F.array_except(gold, F.slice(retrieved, 1, n))) == 0)
+
+
+def recall_structure(category: Column, ability: Column, text: Column, gold: Column) -> Column:
+    """lookup, multi_hop, temporal or aggregation: by category, then ability, then heuristics."""
+    a = F.lower(F.coalesce(ability, F.lit("")))
+    has = lambda w: F.contains(a, F.lit(w))
+    by_category = F.when(category == 2, "multi_hop").when(category == 3, "temporal").when(category.isin(1, 4, 5), "lookup")
+    by_ability = F.when(has("temporal"), "temporal").when(has("multi_session") | has("multi-session") | has("knowledge_update"), "multi_hop").when(has("information_extraction") | has("abstention"), "lookup")
+    by_rule = F.when(F.size(gold) >= 3, "aggregation").when(any_hit(text, TEMPORAL), "temporal").when(F.size(gold) >= 2, "multi_hop").otherwise("lookup")
+    return F.coalesce(by_category, by_ability, by_rule)
+
+
+def resolve_relative_days(text: Column, said_at: Column) -> Column:
+    """Relative dates followed by the day they mean, counted from when they were said."""
+    out = text
+    for phrase, days in RELATIVE_DAYS:
+        day = F.date_format(said_at - F.expr(f"interval {days} days"), "MMMM dd, yyyy")
+        put = F.concat(F.lit("$1$2 (approximately "), day, F.lit(")"))
+        out = F.regexp_replace(out, F.lit(rf"(?is)^(.*?)\b({phrase})\b"), put)
+    return F.coalesce(out, text)

@@ -236,3 +236,35 @@ def test_panel_tie_is_strict(spark):
 
 def test_salience_is_never_nan(spark):
     assert not math.isnan(one(spark, "", L.salience))
+
+
+def test_relative_days(spark):
+    df = spark.createDataFrame([("We met yesterday, and Yesterday again; last week too", "2024-03-10 08:00:00"), ("yesterday", None), (None, "2024-03-10 08:00:00")], "t string, a string")
+    got = [r[0] for r in df.select(L.resolve_relative_days(F.col("t"), F.col("a").cast("timestamp"))).collect()]
+    assert got == ["We met yesterday (approximately March 09, 2024), and Yesterday again; last week (approximately March 03, 2024) too", "yesterday", None]
+
+
+def test_persons(spark):
+    got = {p["name"]: p["confidence"] for p in one(spark, "Please ask Sarah about it. Sarah said no; The said yes. We told Bob Marsh.", L.persons)}
+    assert got == {"Sarah": 0.9, "Bob Marsh": 0.95}
+
+
+def test_repeats(spark):
+    df = spark.createDataFrame([("the gateway failed", ["gateway a", "Gateway b", "c gateway"]), ("the gateway failed", ["gateway a"]), ("this that", ["this", "this", "this"])], "t string, r array<string>")
+    assert [r[0] for r in df.select(L.repeats(F.col("t"), F.col("r"))).collect()] == [True, False, False]
+
+
+def test_context_tools(spark):
+    from palimpsest.operators import context
+
+    assert context.project_scope(" Shared ", "x") is None and context.project_scope(None, "core") == "core" and context.project_scope("p", None) == "p"
+    reply = spark.createDataFrame([('Sure: ```json\n{"a": 1}\n```',), ("no",)], "t string")
+    assert [r[0] and r[0]["a"] for r in reply.select(context.tolerant_json(F.col("t"), "a int")).collect()] == [1, None]
+    nodes = spark.createDataFrame([("p1", "person", "Ann"), ("e1", "entity", "Redis"), ("e2", "entity", "other")], "node string, label string, name string")
+    named = context.entity_nodes(nodes, spark.createDataFrame([("ann",), ("redis",), ("Ann",)], "name string"))
+    recalled = spark.createDataFrame([("m1", 0.9), ("e1", 0.2)], "id string, relevance double")
+    got = dict(rows(context.seeds(recalled, named, "core")))
+    assert got == {"m1": 0.9, "e1": 0.2, "p1": 0.7, "project:core": 0.6}
+    act = spark.createDataFrame([("q", "person", "Ann", 0.5), ("q", "person", "ann", 0.4), ("q", "entity", "redis", 0.3), ("q", "intent", "QUESTION", 0.1), ("q", "intent", None, 0.1)], "query_id string, label string, name string, activation double")
+    c = context.assemble(act).first()
+    assert c["speakers"] == ["Ann"] and c["topics"] == ["redis"] and c["dominant_intent"] == "QUESTION"
