@@ -65,7 +65,7 @@ def pair_counts(baskets: DataFrame, block: int = 64) -> DataFrame:
     return pairs.where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together"))
 
 
-def associations(baskets: DataFrame, min_support: float = 0.001, block: int = 64) -> DataFrame:
+def associations(baskets: DataFrame, min_support: float = 0.001, block: int = 64, broadcast_items: int = 500_000) -> DataFrame:
     """(item_a, item_b, together, n_a, n_b, n, lift, pmi, jaccard) for pairs in at least
     ``min_support`` of the ``n`` baskets."""
     scratch = Scratch(baskets.sparkSession, "cooccur")
@@ -73,12 +73,15 @@ def associations(baskets: DataFrame, min_support: float = 0.001, block: int = 64
     n = kept.count()
     single = kept.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     frequent = scratch.keep(single.where(F.col("n_item") >= F.lit(min_support) * n - 1e-9), "frequent")
-    reduced = kept.select("basket", F.explode("items").alias("item")).join(frequent.select("item"), "item")
+    # at most (mean basket size) / min_support items; sent to all tasks only behind a check, so that
+    # an item of a third of all baskets is not gathered in one task
+    small = F.broadcast if frequent.count() <= broadcast_items else (lambda df: df)
+    reduced = kept.select("basket", F.explode("items").alias("item")).join(small(frequent.select("item")), "item")
     reduced = reduced.groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1)
     pairs = pair_counts(reduced, block).where(F.col("together") >= F.lit(min_support) * n - 1e-9)
     a = frequent.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = frequent.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    scored = pairs.join(a, "item_a").join(b, "item_b").withColumn("n", F.lit(n))
+    scored = pairs.join(small(a), "item_a").join(small(b), "item_b").withColumn("n", F.lit(n))
     lift = F.col("together") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     jaccard = F.col("together") / (F.col("n_a") + F.col("n_b") - F.col("together"))
     return scored.withColumns({"lift": lift, "pmi": F.log2(lift), "jaccard": jaccard})

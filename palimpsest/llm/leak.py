@@ -107,7 +107,7 @@ def document_shingles(documents: DataFrame, id_col: str, text_col: str, window:
 
 def leaks(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_texts: tuple[str, ...] = ("question", "passage"), window: int = WINDOW, broadcast_shingles: int = 1_000_000,
+    item_texts: tuple[str, ...] = ("question", "passage"), window: int = WINDOW, broadcast_shingles: int = 1_000_000, broadcast_windows: int = 500_000,
 ) -> DataFrame:
     """(doc_id, item_id, field, windows, part): how many windows of an item's text stand in the
     document, and which part of all its windows that is."""
@@ -125,7 +125,9 @@ def leaks(
     key = ["item_id", "field", "start"]
     prefix = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("found"), F.first("text").alias("text"), F.min(F.struct("df", "shingle", "offset")).alias("rarest"))
     prefix = scratch.keep(prefix.where(F.col("found") == window - SHINGLE + 1).select(*key, "text", "rarest.shingle", "rarest.offset"), "prefixes")
-    near = met.join(prefix, "shingle").where(F.col("before") >= F.col("offset"))
+    # a passage in a third of all documents makes hot shingles: behind a check of its size the item
+    # side is sent to the documents' tasks instead of gathering documents by shingle
+    near = met.join(F.broadcast(prefix) if prefix.count() <= broadcast_windows else prefix, "shingle").where(F.col("before") >= F.col("offset"))
     stands = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, window), " ")
     held = near.where(stands == F.col("text")).groupBy("doc_id", "item_id", "field", "start").agg(F.lit(1).alias("one"))
     total = wins.groupBy("item_id", "field").agg(F.count(F.lit(1)).alias("all"))
