@@ -1,7 +1,7 @@
 """BM25 over an inverted index held as a frame.
 
-The index is (term, id, tf) with document lengths; scoring joins it with the few query terms,
-which are broadcast (their number is bounded by the query).  Statistics cover all documents.
+The index is (term, id, tf) with document lengths; scoring joins it with the query terms, which
+are broadcast behind a check of their number.  Statistics cover all documents.
 
 Unusual cases: null or empty texts have no postings and no hits; a query without terms has no
 hits; ties by id.
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 
 K1, B = 1.2, 0.75
+#: query terms that may be sent to all tasks; more are joined by shuffle
+MAX_TERMS = 200_000
 
 
 def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,11 +34,11 @@ def bm25(rows: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
     tokens = rows.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     corpus = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avg_length"))
-    vocabulary = terms.agg(F.collect_set("term").alias("wanted"))  # one row, bounded by the queries
-    met = tokens.crossJoin(F.broadcast(vocabulary)).select("id", F.size("w").alias("length"), F.explode(F.filter("w", lambda t: F.array_contains("wanted", t))).alias("term"))
+    few = F.broadcast if terms.count() <= MAX_TERMS else (lambda df: df)
+    met = tokens.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(few(terms.select("term").distinct()), "term", "left_semi")
     tf = met.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(F.broadcast(terms), "term").join(df, "term").crossJoin(F.broadcast(corpus))
+    scored = tf.join(few(terms), "term").join(few(df), "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
