@@ -55,6 +55,27 @@ def top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def similar_texts(rows: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """``rows(id, words array)``, ``queries(id)`` -> (query_id, id, jaccard) of the query rows
+    against all rows, from ``threshold`` on.
+
+    Prefix filter: words are ordered from rare to common; two rows that reach the threshold share
+    one of the first n - ceil(threshold * n) + 1 words of both, so common words join nothing.
+    """
+    one = rows.where(F.size("words") > 0).select("id", F.explode(F.array_distinct("words")).alias("w"))
+    df = one.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"])
+    lists = one.join(df, "w").groupBy("id").agg(ordered.alias("list"))
+    n = F.size("list")
+    keyed = lists.select("id", "list", F.explode(F.slice("list", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("w"))
+    left = keyed.join(queries.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("list").alias("list_q"), "w")
+    met = left.join(keyed, "w").where(F.col("query_id") != F.col("id"))
+    shared = F.array_intersect("list_q", "list")
+    first = met.where(shared[0] == F.col("w"))  # once a pair, at its rarest common word
+    s = F.size(shared)
+    return first.select("query_id", "id", (s / (F.size("list_q") + F.size("list") - s)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
+
+
 SUFFIXES = ("ational", "tional", "ization", "fulness", "ousness", "iveness", "ing", "edly", "ed", "ly", "ies", "es", "s")
 
 

@@ -114,9 +114,9 @@ def _text_hits(t: Tables) -> DataFrame:
 
 def _vector_hits(t: Tables) -> DataFrame:
     """The first vector's neighbours stand in for document vectors of every query."""
-    queries = t.eval_items.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"))
+    queries = [r["item_id"] for r in t.eval_items.where("item_id % 50 = 0").select("item_id").collect()]  # the evaluation items do not grow
     near = vectors.scan_topk(_rows(t), _first_query(t), 50, "long").select((F.col("id") + 1_000_000).alias("id"), "similarity")
-    return near.crossJoin(F.broadcast(queries)).select("query_id", "id", "similarity")  # 50 rows a query
+    return near.select(F.explode(F.array(*[F.lit(q) for q in queries])).alias("query_id"), "id", "similarity")
 
 
 @R.query(_PAIR + " SELECT query_id, id, round(0.4 * coalesce(boost, 0) + 0.6 * coalesce(similarity, 0), 6) AS score FROM t FULL OUTER JOIN v USING (query_id, id) WHERE 0.4 * coalesce(boost, 0) + 0.6 * coalesce(similarity, 0) > 0", base=False)
@@ -176,16 +176,14 @@ def mmr_diversified(t: Tables) -> DataFrame:
 
 
 @R.query(
-    f"""WITH a AS (SELECT doc_id, {lexical._LEMMAS} AS l FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0), b AS (SELECT doc_id, {lexical._LEMMAS} AS l FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6) AS jaccard FROM a JOIN b ON a.doc_id < b.doc_id WHERE len(list_intersect(a.l, b.l)) > 0""", base=False
+    f"""WITH a AS (SELECT doc_id, {lexical._LEMMAS} AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT q.doc_id AS query_id, d.doc_id AS id, len(list_intersect(q.l, d.l)) AS s, len(q.l) AS n, len(d.l) AS m FROM a q JOIN a d ON q.doc_id <> d.doc_id WHERE q.doc_id % 50 = 0)
+    SELECT query_id, id, round(s / (n + m - s), 6) AS jaccard FROM p WHERE s > 0 AND s / (n + m - s) >= 0.5""", base=False
 )
 def jaccard_pairs(t: Tables) -> DataFrame:
-    """Word overlap within the stated query set (ids divisible by 50), through shared words."""
-    docs = t.documents.where("text is not null and doc_id % 50 = 0").select("doc_id", T.lemmas(F.col("text")).alias("l"))
-    one = docs.select("doc_id", F.size("l").alias("n"), F.explode("l").alias("w"))
-    a, b = one.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "w"), one.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "w")
-    shared = a.join(b, "w").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("s"))
-    return shared.select("a", "b", F.round(F.col("s") / (F.col("n_a") + F.col("n_b") - F.col("s")), 6).alias("jaccard"))
+    """Documents with at least half their words in common with a query document (id divisible by 50)."""
+    words = t.documents.where("text is not null").select(F.col("doc_id").alias("id"), T.lemmas(F.col("text")).alias("words"))
+    pairs = text_search.similar_texts(words, words.where("id % 50 = 0"), 0.5)
+    return pairs.withColumn("jaccard", F.round("jaccard", 6))
 
 
 @R.query(
