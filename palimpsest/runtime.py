@@ -20,10 +20,10 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where the session names none."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or getattr(sc, "_palimpsest_folder", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        folder = sc._palimpsest_folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return folder.rstrip("/")
 
 
