@@ -44,7 +44,7 @@ class KnnParams:
     dims: int = 32
     k: int = 5
     min_cosine: float = 0.95
-    tables: int = 8
+    tables: int = 12
     hashes: int = 3
     seed: int = 42
     hot_cell: int = 20_000
