@@ -7,8 +7,14 @@ a persistent chunk-to-record table; records that share chunks get the total of s
 pairs whose shared bytes cover enough of the longer record are candidates; candidates are
 verified on the words themselves; the chunks of accepted records are appended.
 
-A batch costs one pass over the batch plus a join of its chunk hashes with the stored chunk
-column: texts of the history are never read again except those of verified candidates.
+Scattered edits leave few whole chunks, and common chunks are only met in pairs, so chunks alone
+lose matches.  Every record therefore also meets others by its rarest words (``exact_pairs``): of
+``n`` words, two that match share at least one of the first ``n - ceil(0.8 n) + 1`` in one order
+of all words.  Parity sketches of the words drop the pairs that differ too much; neither step
+drops a pair that matches.
+
+A batch costs one pass over the batch plus a join of its chunk and word hashes with the stored
+columns of them: texts of the history are never read again except those of verified candidates.
 
 Result for the unusual cases
 * null id, null or blank content, null time, fewer than ``min_words`` words: not taken, no row.
@@ -19,8 +25,9 @@ Result for the unusual cases
 Scale and skew: texts with the same bag of words are folded into their first row before any
 chunk is shuffled (a third of all rows may be one text).  A chunk that occurs in more than
 ``hot_chunk`` records (boiler-plate) is replaced by itself joined with its next chunk, and by
-itself joined with its previous one, so that records meet in smaller groups; what is still
-common after that is joined all the same, nothing is dropped.
+itself joined with its previous one, so that records meet in smaller groups; pairs that this
+separates come from the rare words.  A word of more than ``hot_token`` postings is cut into
+blocks, and every pair of blocks is work of its own.
 """
 
 from __future__ import annotations
@@ -41,7 +48,9 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 BAG_FAMILY = 2
 
-SIGNATURE = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, chunks array<struct<h:long,bytes:int>>"
+SIGNATURE = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, chunks array<struct<h:long,bytes:int>>, tokens array<int>"
+
+PREFIXES = "k int, rid long, n_words int, s0 long, s1 long, s2 long, s3 long"
 
 
 @dataclass(frozen=True)
@@ -68,6 +77,10 @@ class ChunkParams:
     carried_keys: int = 64
     #: candidate pairs (to find their texts) and common chunks that may be broadcast
     broadcast_pairs: int = 1_000_000
+    #: words with a place of their own in the order by frequency, the rest counts as rarest
+    ranked_tokens: int = 1_000_000
+    #: postings of one word that are compared in one task
+    hot_token: int = 32_768
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -104,8 +117,21 @@ def _cut(ends: list[int], spans, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
 
 
+def _numbered_tokens(h: np.ndarray, doc_of: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """The words of each text as 32-bit hashes, numbered by repeat; clashes only add to what two texts share."""
+    half = h >> np.uint64(32)
+    place = np.lexsort((half, doc_of))
+    half, doc = half[place], doc_of[place]
+    first = np.ones(len(half), dtype=bool)
+    first[1:] = (half[1:] != half[:-1]) | (doc[1:] != doc[:-1])
+    at = np.arange(len(half))
+    repeat = at - np.maximum.accumulate(np.where(first, at, 0))
+    token = (_mix(half * _SPAN + repeat.astype(np.uint64) * _ROLL) >> np.uint64(32)).astype(np.uint32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(token.view(np.int32)))
+
+
 def signature_arrays(texts: list[str | None], params: ChunkParams, hasher: WordHasher):
-    """Kept positions, word counts, bag hashes, byte lengths and chunk lists of a batch of texts."""
+    """Kept positions, word counts, bag hashes, byte lengths, chunk and word lists of a batch of texts."""
     tokens: list[str] = []
     kept, counts = [], []
     for i, text in enumerate(texts):
@@ -126,7 +152,7 @@ def signature_arrays(texts: list[str | None], params: ChunkParams, hasher: WordH
     bag_b = np.add.reduceat(_mix(h * _ROLL + np.uint64(1)), start)
     if not params.families:
         empty = pa.nulls(len(n), pa.list_(pa.struct([("h", pa.int64()), ("bytes", pa.int32())])))
-        return kept, (n.astype(np.int32), bag_a.view(np.int64), bag_b.view(np.int64), total, empty)
+        return kept, (n.astype(np.int32), bag_a.view(np.int64), bag_b.view(np.int64), total, empty, pa.nulls(len(n), pa.list_(pa.int32())))
     roll = h.copy()
     roll[1:] += h[:-1] * _ROLL
     roll[start] = h[start]
@@ -172,7 +198,7 @@ def signature_arrays(texts: list[str | None], params: ChunkParams, hasher: WordH
             [pa.array(value.view(np.int64)), pa.array(size)], names=["h", "bytes"]
         ),
     )
-    return kept, (n.astype(np.int32), bag_a.view(np.int64), bag_b.view(np.int64), total, chunks)
+    return kept, (n.astype(np.int32), bag_a.view(np.int64), bag_b.view(np.int64), total, chunks, _numbered_tokens(h, doc_of, n))
 
 
 def signatures(texts: DataFrame, params: ChunkParams) -> DataFrame:
@@ -185,10 +211,10 @@ def signatures(texts: DataFrame, params: ChunkParams) -> DataFrame:
             if not kept:
                 continue
             at = pa.array(kept)
-            ids, (n, bag_a, bag_b, total, chunks) = batch.column("id").take(at), out
+            ids, (n, bag_a, bag_b, total, chunks, tokens) = batch.column("id").take(at), out
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid").take(at), ids, batch.column("ts").take(at), pa.array(n), pa.array(bag_a), pa.array(bag_b), pa.array(total), chunks],
-                names=["rid", "id", "ts", "n_words", "bag_a", "bag_b", "n_bytes", "chunks"],
+                [batch.column("rid").take(at), ids, batch.column("ts").take(at), pa.array(n), pa.array(bag_a), pa.array(bag_b), pa.array(total), chunks, tokens],
+                names=["rid", "id", "ts", "n_words", "bag_a", "bag_b", "n_bytes", "chunks", "tokens"],
             )
 
     source = texts.where("id is not null and ts is not null and content is not null").select(F.xxhash64("id").alias("rid"), "id", "ts", "content")
@@ -264,6 +290,176 @@ def candidate_pairs(reps: DataFrame, params: ChunkParams, scratch: Scratch, hist
     return out.unionByName(summed.select("a", "b", "old"))
 
 
+def token_counts(reps: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
+    """(k, df) of the most frequent words, at most ``ranked_tokens``."""
+    counts = scratch.keep(reps.select(F.explode("tokens").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")
+    least = 2
+    while counts.where(F.col("df") >= least).count() > params.ranked_tokens:
+        least *= 2
+    return counts.where(F.col("df") >= least)
+
+
+def prefix_postings(reps: DataFrame, order: DataFrame, params: ChunkParams) -> DataFrame:
+    """(k, rid, n_words, s0..s3): a row for each of a record's rarest words, with its sketch.
+
+    Records that match share a word of these, whatever the order is, as long as it is the same
+    one for both.  ``order`` is bounded by ``ranked_tokens``.
+    """
+    known = order.toArrow()
+    k, df = known.column("k").to_numpy(), known.column("df").to_numpy()
+    place = np.argsort(k)
+    held = reps.sparkSession.sparkContext.broadcast((k[place], df[place]))
+
+    def run(batches):
+        ks, dfs = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("tokens")
+            token = lists.flatten().to_numpy()
+            n = np.asarray(lists.value_lengths()).astype(np.int64)
+            start = np.cumsum(n) - n
+            doc = np.repeat(np.arange(len(n)), n)
+            df = np.zeros(len(token), dtype=np.int64)
+            if len(ks):
+                at = np.minimum(np.searchsorted(ks, token), len(ks) - 1)
+                df = np.where(ks[at] == token, dfs[at], 0)
+            bit = _mix(token.view(np.uint32).astype(np.uint64) * _ROLL) & np.uint64(255)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == i, one, np.uint64(0)), start).view(np.int64) for i in range(4)]
+            rare = np.lexsort((token, df, doc))
+            need = np.ceil(params.similarity * n - 1e-9).astype(np.int64)
+            taken = rare[np.arange(len(token)) - start[doc] < (n - need + 1)[doc]]
+            # the position in the sorted run is the position in the text's range, as runs keep their place
+            owner = pa.array(doc[taken])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[taken]), batch.column("rid").take(owner), batch.column("n_words").take(owner), *(pa.array(s[doc[taken]]) for s in sketch)],
+                names=["k", "rid", "n_words", "s0", "s1", "s2", "s3"],
+            )
+
+    return reps.select("rid", "n_words", "tokens").mapInArrow(run, PREFIXES)
+
+
+def _close(rid: np.ndarray, n: np.ndarray, s: np.ndarray, left: np.ndarray, right: np.ndarray | None, params: ChunkParams):
+    """Pairs of rows (left x right, or each two of left) whose sketches differ by no more than matching texts can."""
+    need = 2 * np.ceil(params.similarity * n - 1e-9).astype(np.int32)
+    left = left[np.argsort(n[left], kind="stable")]
+    right_ = left if right is None else right[np.argsort(n[right], kind="stable")]
+    n_right = n[right_]
+    out_i, out_j = [], []
+    for a in range(0, len(left), 256):
+        i = left[a : a + 256]
+        low = a if right is None else np.searchsorted(n_right, params.similarity * n[i[0]] - 1e-6)
+        high = np.searchsorted(n_right, n[i[-1]] / params.similarity + 1e-6, "right")
+        for b in range(low, high, 4096):
+            j = right_[b : min(b + 4096, high)]
+            # |A| + |B| - 2 |A and B| is at least the number of bits that differ
+            most = n[i][:, None] + n[j][None, :] - np.maximum(need[i][:, None], need[j][None, :])
+            x, y = np.nonzero(np.bitwise_count(s[0][i][:, None] ^ s[0][j][None, :]) <= most)
+            if right is None:
+                later = b + y > a + x
+                x, y = x[later], y[later]
+            x_, y_ = i[x], j[y]
+            differ = sum(np.bitwise_count(c[x_] ^ c[y_]).astype(np.int32) for c in s)
+            ok = (differ <= most[x, y]) & (rid[x_] != rid[y_])
+            out_i.append(x_[ok])
+            out_j.append(y_[ok])
+    none = np.empty(0, dtype=np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+
+
+def _met(columns: list[np.ndarray], params: ChunkParams) -> pa.RecordBatch:
+    """Pairs of whole groups: rows sorted by (k, block_a, block_b)."""
+    k, block_a, block_b, side, old, rid, n, *s = columns
+    s = [c.view(np.uint64) for c in s]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(k)))
+    out_i, out_j = [], []
+
+    def add(left, right=None):
+        if len(left) and (right is None or len(right)):
+            i, j = _close(rid, n, s, left, right, params)
+            out_i.append(i)
+            out_j.append(j)
+
+    # small groups: row i meets row i + d, all groups at once; the sides matter in cut groups only
+    small = np.repeat(size <= 32, size) & (block_b < 0)
+    group = np.cumsum(new)
+    need = 2 * np.ceil(params.similarity * n - 1e-9).astype(np.int32)
+    live, d = np.flatnonzero(small), 1
+    while len(live):
+        live = live[live + d < len(k)]
+        live = live[group[live] == group[live + d]]
+        i, j = live, live + d
+        differ = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int32) for c in s) if len(i) else np.empty(0)
+        ok = (differ <= n[i] + n[j] - np.maximum(need[i], need[j])) & ~(old[i] & old[j])
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+        d += 1
+    for a, m in zip(start, size):
+        if m < 2 or small[a]:
+            continue
+        at = np.arange(a, a + m)
+        o, right = old[a : a + m], side[a : a + m] == 1
+        if block_a[a] == block_b[a]:
+            add(at[~o])
+            add(at[~o], at[o])
+        else:
+            add(at[~o & ~right], at[right])
+            add(at[o & ~right], at[~o & right])
+    i, j = (np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in (out_i, out_j))
+    # a stored record comes first, else the smaller number
+    swap = ~old[i] & (old[j] | (rid[j] < rid[i]))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    pairs = pa.table([pa.array(rid[i]), pa.array(rid[j]), pa.array(old[i])], names=["a", "b", "old"])
+    return pairs.group_by(["a", "b", "old"]).aggregate([]).combine_chunks()
+
+
+def exact_pairs(postings: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
+    """(a, b, old): pairs that share one of their rarest words and may match by their sketches.
+
+    ``postings``: those of ``prefix_postings`` with ``old``; two stored records do not meet.
+    """
+    counts = postings.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > params.hot_token)
+    hot = scratch.keep(counts.select("k", F.ceil(F.col("held") / params.hot_token).cast("int").alias("blocks")), "hot-tokens")
+    rest = ["old", "rid", "n_words", "s0", "s1", "s2", "s3"]
+    whole = [F.lit(-1).alias("block_a"), F.lit(-1).alias("block_b"), F.lit(0).alias("side")]
+    if hot.isEmpty():
+        work = postings.select("k", *whole, *rest)
+    else:
+        marked = postings.join(F.broadcast(hot), "k", "left")  # at most postings / hot_token rows
+        calm = marked.where("blocks is null").select("k", *whole, *rest)
+        own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+        loud = marked.where("blocks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        loud = loud.select("k", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), *rest)
+        work = calm.unionByName(loud)
+    keys = ["k", "block_a", "block_b"]
+
+    def run(batches):
+        waiting: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            last = [c[-1] for c in waiting[-1][:3]]
+            if rows < 100_000 or all(c[0] == x for c, x in zip(waiting[0][:3], last)):
+                continue
+            columns = [np.concatenate(c) for c in zip(*waiting)]
+            # the last group may go on in the next batch
+            cut = int(np.argmax((columns[0] == last[0]) & (columns[1] == last[1]) & (columns[2] == last[2])))
+            yield from _met([c[:cut] for c in columns], params).to_batches()
+            waiting, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if waiting:
+            yield from _met([np.concatenate(c) for c in zip(*waiting)], params).to_batches()
+
+    sorted_ = work.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", *rest)
+    return sorted_.mapInArrow(run, "a long, b long, old boolean").distinct()
+
+
 def _numbered_words(texts: DataFrame) -> DataFrame:
     """rid -> words numbered by repeat, so that set intersection is bag intersection."""
 
@@ -343,10 +539,13 @@ def find_copies(texts: DataFrame, params: ChunkParams = ChunkParams()) -> DataFr
     marked = signatures(texts, params)
     first = F.struct("ts", "id", "rid")
     one = marked.groupBy("bag_a", "bag_b").agg(
-        F.min(first).alias("first"), F.min("n_words").alias("n_words"), F.min("n_bytes").alias("n_bytes"), F.min_by("chunks", first).alias("chunks")
+        F.min(first).alias("first"), F.min("n_words").alias("n_words"), F.min("n_bytes").alias("n_bytes"), F.min_by("chunks", first).alias("chunks"), F.min_by("tokens", first).alias("tokens")
     )
-    reps = scratch.keep(one.select("bag_a", "bag_b", "first.ts", "first.id", "first.rid", "n_words", "n_bytes", "chunks"), "records")
-    pairs = scratch.keep(candidate_pairs(reps, params, scratch), "candidates")
+    reps = scratch.keep(one.select("bag_a", "bag_b", "first.ts", "first.id", "first.rid", "n_words", "n_bytes", "chunks", "tokens"), "records")
+    chunked = scratch.keep(candidate_pairs(reps, params, scratch), "chunked")
+    prefixes = scratch.keep(prefix_postings(reps, token_counts(reps, params, scratch), params), "prefixes")
+    exact = exact_pairs(prefixes.withColumn("old", F.lit(False)), params, scratch)
+    pairs = scratch.keep(chunked.unionByName(exact).distinct(), "candidates")
     copies = scratch.keep(accept_in_order(verified(pairs, texts, params), scratch), "copies")
     # a second reading of the texts, for the bag hashes alone, takes less than carrying the rows along
     members = signatures(texts, replace(params, families=0))
@@ -365,7 +564,8 @@ def _expand(reps: DataFrame, copies: DataFrame, members: DataFrame) -> DataFrame
 
 
 class AcceptedTexts:
-    """Persistent state: ``records`` (bag hashes, ids, texts) and ``postings`` (chunk -> record).
+    """Persistent state: ``records`` (bag hashes, ids, texts), ``postings`` (chunk -> record),
+    ``order`` (frequent words of the first batch) and ``prefixes`` (rare word -> record).
 
     ``postings`` is written in ``buckets`` hash ranges of the chunk, sorted by chunk, so that a
     batch reads the two needed columns of it and shuffles only its own side's keys plus what
@@ -386,6 +586,21 @@ class AcceptedTexts:
             return self.spark.read.schema(schema).parquet(path)
         return self.spark.createDataFrame([], schema)
 
+    def _order(self, reps: DataFrame, records: DataFrame, scratch: Scratch) -> DataFrame:
+        """The order of words, fixed by the first batch: prefixes meet under one order only.
+
+        A state that has records but no order yet gets both order and prefixes from its texts.
+        """
+        order = self._read("order", "k int, df long")
+        if order.isEmpty():
+            stored = scratch.keep(signatures(records.select("id", "ts", "content"), self.params), "stored")
+            both = stored.select("tokens").unionByName(reps.select("tokens"))
+            token_counts(both, self.params, scratch).write.mode("overwrite").parquet(f"{self.path}/order")
+            order = self._read("order", "k int, df long")
+            if not stored.isEmpty():
+                prefix_postings(stored, order, self.params).write.mode("overwrite").parquet(f"{self.path}/prefixes")
+        return order
+
     def process(self, batch: DataFrame) -> DataFrame:
         """``batch(id, ts, content)`` -> (original_id, copy_id); accepted texts are appended.
 
@@ -397,11 +612,16 @@ class AcceptedTexts:
         marked = scratch.keep(signatures(batch, p), "signatures")
         first = F.struct("ts", "id", "rid")
         one = marked.groupBy("bag_a", "bag_b").agg(
-            F.min(first).alias("first"), F.min("n_words").alias("n_words"), F.min("n_bytes").alias("n_bytes"), F.min_by("chunks", first).alias("chunks")
+            F.min(first).alias("first"), F.min("n_words").alias("n_words"), F.min("n_bytes").alias("n_bytes"), F.min_by("chunks", first).alias("chunks"), F.min_by("tokens", first).alias("tokens")
         )
-        reps = scratch.keep(one.select("bag_a", "bag_b", "first.ts", "first.id", "first.rid", "n_words", "n_bytes", "chunks"), "records")
+        reps = scratch.keep(one.select("bag_a", "bag_b", "first.ts", "first.id", "first.rid", "n_words", "n_bytes", "chunks", "tokens"), "records")
         touched = stored.join(_postings(reps).select("k").distinct(), "k", "left_semi")
-        pairs = scratch.keep(candidate_pairs(reps, p, scratch, touched), "candidates")
+        chunked = scratch.keep(candidate_pairs(reps, p, scratch, touched), "chunked")
+        order = self._order(reps, records, scratch)
+        prefixes = scratch.keep(prefix_postings(reps, order, p), "prefixes")
+        known_words = self._read("prefixes", PREFIXES).join(prefixes.select("k").distinct(), "k", "left_semi")
+        exact = exact_pairs(prefixes.withColumn("old", F.lit(False)).unionByName(known_words.withColumn("old", F.lit(True))), p, scratch)
+        pairs = scratch.keep(chunked.unionByName(exact).distinct(), "candidates")
         met = pairs.where("old").select(F.col("a").alias("rid")).distinct()
         old_texts = records.join(met, "rid", "left_semi").select("id", "ts", "content")
         matches = scratch.keep(verified(pairs, old_texts.unionByName(batch.select("id", "ts", "content")), p), "verified")
@@ -414,6 +634,7 @@ class AcceptedTexts:
         known = records.select("rid", "id").join(met, "rid", "left_semi")
         out = scratch.keep(_expand_batch(reps, known, copies, marked), "result")
         accepted.join(text, "rid").select("rid", "id", "ts", "n_words", "bag_a", "bag_b", "n_bytes", "content").write.mode("append").parquet(f"{self.path}/records")
+        prefixes.join(accepted.select("rid"), "rid", "left_semi").select("k", "rid", "n_words", "s0", "s1", "s2", "s3").repartition("k").sortWithinPartitions("k").write.mode("append").parquet(f"{self.path}/prefixes")
         posting = _postings(accepted)
         posting.repartition("k").sortWithinPartitions("k").write.mode("append").parquet(f"{self.path}/postings")
         return out

@@ -103,3 +103,19 @@ def test_sentences_in_another_order(spark):
         rows += [(f"a{k:02d}", k, ". ".join(parts)), (f"b{k:02d}", 100 + k, ". ".join(" ".join(p) for p in edited))]
         want.add((f"a{k:02d}", f"b{k:02d}"))
     assert found(dedup.find_copies(spark.createDataFrame(rows, SCHEMA))) == want == brute(rows)
+
+
+def test_several_hundred_near_copies(spark):
+    """Every chunk of the group is common, and edits leave few pairs of common neighbours."""
+    r = random.Random(3)
+    base = [f"g{k}" for k in range(40)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for at in r.sample(range(40), r.randrange(0, 9)):
+            w[at] = f"edit{r.randrange(10**6)}"
+        rows.append((f"n{k:03d}", k, " ".join(w)))
+    want = brute(rows)
+    assert len(want) > 100
+    for params in (dedup.ChunkParams(), dedup.ChunkParams(hot_token=64)):
+        assert found(dedup.find_copies(spark.createDataFrame(rows, SCHEMA), params)) == want
