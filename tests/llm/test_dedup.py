@@ -119,3 +119,17 @@ def test_several_hundred_near_copies(spark):
     assert len(want) > 100
     for params in (dedup.ChunkParams(), dedup.ChunkParams(hot_token=64)):
         assert found(dedup.find_copies(spark.createDataFrame(rows, SCHEMA), params)) == want
+
+
+def test_scattered_edits_of_a_fifth(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(150):
+        w = [f"v{r.randrange(20_000)}" for _ in range(r.choice((12, 20, 30, 40, 60, 100, 250)))]
+        v = list(w)
+        for at in r.sample(range(len(w)), int(len(w) * r.uniform(0.15, 0.2))):
+            v[at] = f"edit{r.randrange(10**6)}"
+        rows += [(f"a{k:03d}", k, " ".join(w)), (f"b{k:03d}", 1000 + k, " ".join(v))]
+    want = brute(rows)
+    assert len(want) == 150
+    assert found(dedup.find_copies(spark.createDataFrame(rows, SCHEMA))) == want
