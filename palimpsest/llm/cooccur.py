@@ -6,7 +6,8 @@ ordinary basket is one unit; pair counts of all units are combined (partially ag
 the shuffle) and turned into association scores.
 
 An item below the minimum support cannot be in a pair that reaches it, so such items leave
-before any pair is formed; that loses nothing and bounds the pairs of the rest.
+before any pair is formed; that loses nothing and bounds the pairs of the rest.  With a minimum
+support of 0 every pair comes out.
 
 Result for the unusual cases
 * null id or null item list: no basket.  Text that is not a JSON array: no items; elements

@@ -39,8 +39,8 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.clean_conversations(table(spark, sf_dir, "episodes"))
 
 
-def _associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccur.associations(cooccur.baskets_from_json(table(spark, sf_dir, "episodes"), "id", "entities_json"))
+def _associations(spark: SparkSession, sf_dir: str, **limits: float) -> DataFrame:
+    return cooccur.associations(cooccur.baskets_from_json(table(spark, sf_dir, "episodes"), "id", "entities_json"), **limits)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = [F.round(c, 6).alias(c) for c in ("lift", "pmi", "jaccard")]
-    return _associations(spark, sf_dir).select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "together", "n_a", "n_b", *scores)
+    return _associations(spark, sf_dir, min_support=0.0).select(F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "together", "n_a", "n_b", *scores)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

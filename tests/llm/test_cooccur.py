@@ -2,7 +2,7 @@ import itertools
 import random
 from collections import Counter
 
-from palimpsest.llm import cooccur
+from palimpsest.llm import cooccur, queries
 
 
 def test_parse():
@@ -37,3 +37,10 @@ def test_rows_repeated_null_and_empty(spark):
     got = {(x["item_a"], x["item_b"]): (x["together"], x["n"]) for x in cooccur.associations(b, 0.1).collect()}
     assert got == {("a", "b"): (1, 2), ("a", "c"): (1, 2)}
     assert cooccur.associations(b.limit(0)).count() == 0
+
+
+def test_rare_pairs_come_out(spark, tmp_path):
+    rows = [(str(k), '["a", "b"]') for k in range(2000)] + [("x", '["rare", "seldom"]'), ("y", '["a", "rare"]')]
+    spark.createDataFrame(rows, "id string, entities_json string").write.parquet(f"{tmp_path}/episodes.parquet")
+    got = {(x["entity_a"], x["entity_b"]): (x["together"], x["n_a"], x["n_b"]) for x in queries.p6_associations(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (2000, 2001, 2000), ("rare", "seldom"): (1, 2, 1), ("a", "rare"): (1, 2001, 2)}
