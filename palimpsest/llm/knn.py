@@ -221,6 +221,65 @@ def _split_hot(cells: DataFrame, params: KnnParams, scratch: Scratch) -> DataFra
     return calm.unionByName(loud)
 
 
+def all_neighbours(rows: DataFrame, params: KnnParams = KnnParams(), block: int = 4096) -> DataFrame:
+    """``rows(id, embedding)``, one row an id -> (id, neighbour, cosine, rank): the ``k`` most
+    similar others of every usable vector, however far away they are.
+
+    Exact: blocks of distinct vectors meet each other block, so the work is quadratic; nothing is
+    shuffled but the blocks and the best of each vector.
+    """
+    scratch = Scratch(rows.sparkSession, "knn-all")
+    hashed = scratch.keep(hashed_vectors(rows, params).select("vh", "id", "vec"), "hashed")
+    members = hashed.select("vh", "id").distinct()
+    vectors = hashed.groupBy("vh").agg(F.first("vec").alias("vec"))
+    blocks = max(1, math.ceil(vectors.count() / block))
+    packed = vectors.groupBy(F.pmod(F.xxhash64("vh"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vh", "vec")).alias("rows"))
+    packed = scratch.keep(packed.select("block", F.col("rows.vh").alias("vhs"), F.col("rows.vec").alias("vecs")), "blocks")
+
+    def unit(vecs: pa.Array) -> np.ndarray:
+        x = np.frombuffer(b"".join(vecs.to_pylist()), dtype=np.float32).reshape(-1, params.dims).astype(np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches):
+        held, u, top_v, top_c = None, None, None, None
+
+        def told():
+            good = top_v != u[:, None]
+            good &= np.isfinite(top_c)
+            i, j = np.nonzero(good)
+            return pa.RecordBatch.from_arrays([pa.array(u[i]), pa.array(top_v[i, j]), pa.array(top_c[i, j])], names=["u", "v", "cosine"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = batch.column("block")[r].as_py()
+                if block != held:
+                    if held is not None:
+                        yield told()
+                    held, u, x = block, batch.column("vhs")[r].values.to_numpy(), unit(batch.column("vecs")[r].values)
+                    # the vector itself may be among them
+                    top_v = np.zeros((len(u), 2 * params.k + 1), dtype=np.int64)
+                    top_c = np.full(top_v.shape, -np.inf)
+                v, y = batch.column("vhs_b")[r].values.to_numpy(), unit(batch.column("vecs_b")[r].values)
+                take = min(top_v.shape[1], len(v))
+                for a in range(0, len(u), 512):
+                    cosine = x[a : a + 512] @ y.T
+                    near = np.argpartition(-cosine, take - 1, axis=1)[:, :take]
+                    c = np.hstack([top_c[a : a + 512], np.take_along_axis(cosine, near, axis=1)])
+                    w = np.hstack([top_v[a : a + 512], v[near]])
+                    best = np.argpartition(-c, top_v.shape[1] - 1, axis=1)[:, : top_v.shape[1]]
+                    top_c[a : a + 512], top_v[a : a + 512] = np.take_along_axis(c, best, axis=1), np.take_along_axis(w, best, axis=1)
+        if held is not None:
+            yield told()
+
+    other = packed.select(F.col("vhs").alias("vhs_b"), F.col("vecs").alias("vecs_b"))
+    # one partition on the right, so that a block meets all others in one task, one after the other
+    other = other.coalesce(1)
+    met = packed.select("block", "vhs", "vecs").repartition(blocks).hint("shuffle_replicate_nl").crossJoin(other)
+    near = Window.partitionBy("u").orderBy(F.col("cosine").desc(), "v")
+    best = met.mapInArrow(run, "u long, v long, cosine double").withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * params.k).drop("r")
+    return _ranked(scratch.keep(best, "best"), members, params, scratch)
+
+
 def neighbours(rows: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
     """``rows(id, embedding)``, one row an id -> (id, neighbour, cosine, rank): up to ``k``
     neighbours of cosine ``min_cosine`` at least for every usable vector."""
@@ -231,10 +290,15 @@ def neighbours(rows: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
     cells = vectors.select(F.explode("cells").alias("cell"), "vh", "code")
     pairs = scratch.keep(_near_pairs(_split_hot(cells, params, scratch), params).distinct(), "pairs")
     exact = scratch.keep(_verify(pairs, hashed, params), "verified")
+    both = exact.select("u", "v", "cosine").union(exact.select(F.col("v"), F.col("u"), "cosine"))
+    return _ranked(both, members, params, scratch)
+
+
+def _ranked(both: DataFrame, members: DataFrame, params: KnnParams, scratch: Scratch) -> DataFrame:
+    """From distinct vectors ``both(u, v, cosine)`` to the rows that hold them."""
     by_id = Window.partitionBy("vh").orderBy("id")
     heads = members.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= params.k + 1)
     heads = scratch.keep(heads.select("vh", "id"), "heads")
-    both = exact.select("u", "v", "cosine").union(exact.select(F.col("v"), F.col("u"), "cosine"))
     near = Window.partitionBy("u").orderBy(F.col("cosine").desc(), "v")
     # 2k distinct neighbours are more than k rows can need, ties among equal cosines included
     near_groups = both.withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * params.k).select(F.col("u").alias("own"), F.col("v").alias("vh"), "cosine")

@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.neighbours(_vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
+    return knn.all_neighbours(_vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

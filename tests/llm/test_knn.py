@@ -67,3 +67,14 @@ def test_hot_cells_split(spark):
 
 def test_empty(spark):
     assert knn.neighbours(spark.createDataFrame([], "id string, embedding array<float>")).count() == 0
+
+
+def test_five_of_every_vector(spark):
+    x = vectors(5, 700, 20)
+    ids = [f"{k:05d}" for k in range(len(x))]
+    same = [(f"c{k}", [float(v) for v in x[0]]) for k in range(3)]
+    got: dict[str, list] = {}
+    for r in knn.all_neighbours(frame(spark, ids, x, same), block=200).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    want = brute(ids + [i for i, _ in same], np.vstack([x, x[:1], x[:1], x[:1]]), least=-1)
+    assert got == want and all(len(n) == 5 for n in got.values())
