@@ -11,7 +11,7 @@ from palimpsest.runtime import table
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = history.linked_histories(table(spark, sf_dir, "semantic"))
-    return versions.where("next_id is not null").select(F.col("id").alias("id_a"), F.col("next_id").alias("id_b"))
+    return versions.where("next_id is not null").select(F.least("id", "next_id").alias("id_a"), F.greatest("id", "next_id").alias("id_b"))
 
 
 def p3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,6 @@ history AS (
 """
 
 SQL = {
-    "p3_found": _LINKED + "SELECT id AS id_a, next_id AS id_b FROM history WHERE next_id IS NOT NULL",
+    "p3_found": _LINKED + "SELECT least(id, next_id) AS id_a, greatest(id, next_id) AS id_b FROM history WHERE next_id IS NOT NULL",
     "p3_history": _LINKED + "SELECT entity, id, valid_from, valid_to, valid_to IS NULL AND next_id IS NULL AS is_current FROM history",
 }
