@@ -132,7 +132,7 @@ SQL = {
     t AS (SELECT *, lag(who) OVER w AS prev, row_number() OVER w AS first, lead(id) OVER w IS NULL AS last FROM m WHERE created_at IS NOT NULL AND who IN ('user', 'assistant')
       WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id))
     SELECT DISTINCT session_id, 'bad_row' AS defect FROM m WHERE created_at IS NULL OR who IS NULL
-    UNION SELECT session_id, 'empty' FROM m WHERE session_id NOT IN (SELECT session_id FROM t)
+    UNION SELECT session_id, 'empty' FROM episodes WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM t)
     UNION SELECT session_id, 'bad_order' FROM t WHERE prev = who OR (first = 1 AND who <> 'user')
     UNION SELECT session_id, 'no_reply' FROM t WHERE last AND who = 'user'""",
     "p5_found": BASE_SQL
