@@ -3,9 +3,9 @@
 * ``merge_versions`` - one merge step: a batch of changes against the current open versions.
   Attribute hashes are compared; a changed key's open version is closed at the change's time
   and a new open version inserted; unchanged keys keep their version.
-* ``build_history`` - the same result for a whole log of changes at once, by windows.
-* ``linked_histories`` - finds which records are versions of one fact from incomplete
-  replacement links (connected components by min-label propagation with pointer jumping).
+* ``linked_records`` - finds which records are versions of one fact from incomplete replacement
+  links (connected components by min-label propagation with pointer jumping).
+* ``linked_histories`` - the merged history of those; ``version_pairs`` - its neighbours.
 
 Unusual cases: null keys or times give no version; repeated rows count once; equal times are
 ordered by the tie column; consecutive changes with equal attributes extend the open version;
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.words import words
+from palimpsest.operators.skew import hot_keys, lookup
 from palimpsest.runtime import Scratch
 
 SEGMENT_S = 30 * 86_400
@@ -53,39 +54,38 @@ def neighbours(rows: DataFrame, key: str, order: Sequence[str], time_us: str, ca
     return out.select(*[c for c in rows.columns if not c.startswith("_")], *[found[c].alias(f"next_{c}") for c in carry])
 
 
-def build_history(changes: DataFrame, key: str, time: str, tie: str, attributes: Sequence[str]) -> DataFrame:
-    """(key, attributes.., tie, valid_from, valid_to, is_current) from a log of changes."""
-    used = changes.where(F.col(key).isNotNull() & F.col(time).isNotNull()).dropDuplicates([key, time, tie])
-    used = used.select(key, tie, F.col(time).alias("valid_from"), F.unix_micros(time).alias("_us"), *[c for c in attributes if c not in (key, tie, time)])
-    used = used.withColumnRenamed("_us", "us").withColumn("hash", attribute_hash(attributes))
-    marked = neighbours(used, key, ["us", tie], "us", ["us", tie, "hash"])
+def merge_versions(dimension: DataFrame | None, changes: DataFrame, key: str, time: str, tie: str, attributes: Sequence[str], segment_s: int = SEGMENT_S) -> DataFrame:
+    """One type-two merge: ``dimension`` (key, tie, attributes.., valid_from, valid_to, is_current;
+    ``None`` for an empty one) and a batch of changes -> the new dimension.
+
+    The attribute hash of every change is compared with that of the version before it: the key's
+    open version for the first change of the batch, the change before it for the others.  An
+    equal one extends that version; a different one closes it at its own time and opens a new
+    version.  Closed versions pass untouched (no shuffle), only open ones meet the batch.  A
+    change earlier than its key's open version is left out: batches come in order of time.
+    """
+    columns = [key, tie, *[c for c in attributes if c not in (key, tie)], "valid_from", "valid_to", "is_current"]
+    fresh = changes.where(F.col(key).isNotNull() & F.col(time).isNotNull()).dropDuplicates([key, time, tie])
+    fresh = fresh.withColumn("valid_from", F.col(time)).select(*columns[:-2], F.lit(False).alias("_held"))
+    steps = fresh
+    if dimension is not None:
+        held = dimension.where("is_current").select(*columns[:-2], F.lit(True).alias("_held"))
+        since = held.select(key, F.struct("valid_from", tie).alias("_since"))
+        steps = fresh.join(since, key, "left").where(F.col("_since").isNull() | (F.struct("valid_from", tie) > F.col("_since"))).drop("_since").unionByName(held)
+    steps = steps.withColumn("_us", F.unix_micros("valid_from")).withColumn("_hash", attribute_hash(attributes))
+    slim = steps.select(key, tie, "valid_from", F.col("_us").alias("us"), F.col("_hash").alias("hash"))
     # a row opens a version when the row before it differs: look at the pair from its later end
-    later = marked.where(F.col("next_hash").isNotNull() & (F.col("next_hash") == F.col("hash"))).select(key, F.col("next_us").alias("us"), F.col(f"next_{tie}").alias(tie))
-    opened = used.join(later, [key, "us", tie], "left_anti")
-    ends = neighbours(opened, key, ["us", tie], "us", ["valid_from"])
-    return ends.withColumnRenamed("next_valid_from", "valid_to").withColumn("is_current", F.col("valid_to").isNull()).drop("us", "hash")
-
-
-def merge_versions(dimension: DataFrame, changes: DataFrame, key: str, time: str, attributes: Sequence[str]) -> DataFrame:
-    """One type-two merge: ``dimension`` (key, attributes, valid_from, valid_to, is_current) and a
-    batch with at most one change a key -> the new dimension.  Closed versions pass untouched
-    (no shuffle); only open versions meet the batch.  A change not later than its key's open
-    version is ignored (late updates need ``build_history``)."""
-    closed = dimension.where(~F.col("is_current"))
-    current = dimension.where("is_current").withColumn("_old", attribute_hash(attributes))
-    fresh = changes.where(F.col(key).isNotNull() & F.col(time).isNotNull()).dropDuplicates([key])
-    fresh = fresh.select(key, F.col(time).alias("_at"), attribute_hash(attributes).alias("_new"), F.struct(*attributes).alias("_attrs"))
-    met = current.join(fresh, key, "full_outer")
-    changed = F.col("_old").isNotNull() & F.col("_new").isNotNull() & (F.col("_old") != F.col("_new")) & (F.col("_at") > F.col("valid_from"))
-    added = F.col("_old").isNull()
-    met = met.withColumn("_changed", changed).withColumn("_added", added)
-    kept = met.where(F.col("_old").isNotNull())
-    kept = kept.withColumn("valid_to", F.when(F.col("_changed"), F.col("_at")).otherwise(F.col("valid_to"))).withColumn("is_current", ~F.col("_changed"))
-    kept = kept.select(*dimension.columns)
-    null_to = F.lit(None).cast(dimension.schema["valid_to"].dataType)
-    fields = {c: F.col(f"_attrs.{c}") for c in attributes} | {key: F.col(key), "valid_from": F.col("_at"), "valid_to": null_to, "is_current": F.lit(True)}
-    opened = met.where("_changed or _added").select(*[fields[c].alias(c) for c in dimension.columns])
-    return closed.unionByName(kept).unionByName(opened)
+    marked = neighbours(slim, key, ["us", tie], "us", ["us", tie, "hash"], segment_s)
+    same = marked.where(F.col("next_hash") == F.col("hash")).select(key, F.col("next_us").alias("us"), F.col(f"next_{tie}").alias(tie))
+    opened = slim.join(same, [key, "us", tie], "left_anti")
+    ends = neighbours(opened, key, ["us", tie], "us", ["valid_from"], segment_s).select(key, tie, "us", F.col("next_valid_from").alias("valid_to"))
+    out = steps.withColumn("us", F.col("_us")).join(ends, [key, "us", tie]).withColumn("is_current", F.col("valid_to").isNull()).select(*columns)
+    return out if dimension is None else dimension.where("not is_current").select(*columns).unionByName(out)
+
+
+def build_history(changes: DataFrame, key: str, time: str, tie: str, attributes: Sequence[str]) -> DataFrame:
+    """(key, tie, attributes.., valid_from, valid_to, is_current) of a whole log of changes."""
+    return merge_versions(None, changes, key, time, tie, attributes)
 
 
 def topic_words(rows: DataFrame, key: str, topic: str) -> DataFrame:
@@ -108,11 +108,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = held = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
+    hubs = hot_keys(both, "b", scratch)
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
+        near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b", scratch, hot=hubs).groupBy("a").agg(F.min("root").alias("least"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "least").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
-        step = step.join(up, "low").select("node", F.col("root").alias("was"), F.least("low", "jump").alias("root"))
+        # in a large component most nodes carry one label
+        step = lookup(scratch.keep(step, "lower"), up, "low", scratch).select("node", F.col("root").alias("was"), F.least("low", "jump").alias("root"))
         new = scratch.keep(step, "round")
         moved = not new.where("was <> root").isEmpty()
         scratch.drop(held)
@@ -129,29 +131,54 @@ def latest_records(rows: DataFrame) -> DataFrame:
     return rows.where("id is not null").groupBy("id").agg(best.alias("r")).select("id", *[F.col(f"r.{c}") for c in rest])
 
 
-def linked_histories(rows: DataFrame) -> DataFrame:
-    """Type-two history of linked records.
+#: what a version of a semantic record holds
+ATTRIBUTES = ("topic", "content", "confidence", "project_id")
+
+
+def linked_records(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(id, topic, supersedes, superseded_by, created_at, updated_at, ..)`` -> the latest row of
+    each id with ``entity``, the least id of its history, and ``at``, its time.
 
-    ``rows(id, topic, supersedes, superseded_by, created_at, updated_at)`` -> (entity, id,
-    valid_from, valid_to, is_current, next_id).  A link Y replaces X holds if both records
-    exist and differ, their topics have the same words in order, and X is not later than Y.
-    Records without a link that holds are histories of one version.  A record without any
-    time gets no version.
+    A link Y replaces X holds if both records exist and differ, their topics have the same words
+    in order, and X is not later than Y.  Records without a link that holds are histories of
+    their own.  A record without any time is left out.
     """
-    scratch = Scratch(rows.sparkSession, "history")
-    slim = latest_records(rows.select("id", "topic", "supersedes", "superseded_by", "created_at", "updated_at"))
-    slim = scratch.keep(slim.withColumn("us", F.coalesce(F.unix_micros("updated_at"), F.unix_micros("created_at"))), "records")
+    slim = scratch.keep(latest_records(rows).withColumn("us", F.coalesce(F.unix_micros("updated_at"), F.unix_micros("created_at"))), "records")
     links = slim.where("supersedes is not null").select(F.col("supersedes").alias("x"), F.col("id").alias("y"))
     links = links.union(slim.where("superseded_by is not null").select(F.col("id").alias("x"), F.col("superseded_by").alias("y"))).where("x <> y").distinct()
     topics = topic_words(slim, "id", "topic")
     facts = scratch.keep(slim.select("id", "us").join(topics, "id"), "facts")
     old = facts.select(F.col("id").alias("x"), F.col("us").alias("us_x"), F.col("topic_key").alias("topic_x"))
     new = facts.select(F.col("id").alias("y"), F.col("us").alias("us_y"), F.col("topic_key").alias("topic_y"))
-    held = links.join(old, "x").join(new, "y").where("topic_x = topic_y and us_x <= us_y")
+    # a record may be named by a third of all others, on either side
+    links = scratch.keep(links, "links")
+    held = lookup(lookup(links, old, "x", scratch), new, "y", scratch, hot=hot_keys(links, "y", scratch)).where("topic_x = topic_y and us_x <= us_y")
     roots = components(held.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    entity = facts.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.coalesce("root", "id").alias("entity"), "id", "us")
-    versions = entity.where("us is not null").withColumn("at", F.timestamp_micros("us"))
-    history = build_history(versions, "entity", "at", "id", ["id"])
-    history = history.withColumn("us", F.unix_micros("valid_from"))
-    out = neighbours(history, "entity", ["us", "id"], "us", ["id"])
-    return out.select("entity", "id", "valid_from", "valid_to", "is_current", "next_id")
+    named = slim.drop("entity", "at").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("entity", F.coalesce("root", "id")).drop("root")
+    return named.where("us is not null").withColumn("at", F.timestamp_micros("us")).drop("us")
+
+
+def linked_histories(rows: DataFrame, attributes: Sequence[str] = ATTRIBUTES, every_record: bool = False, last_days: int = 30) -> DataFrame:
+    """(entity, id, attributes.., valid_from, valid_to, is_current): the type-two history of linked
+    records, merged in two steps, the records of the last ``last_days`` upon all before them.
+
+    Records that follow one another with equal attributes are one version, named by the first;
+    with ``every_record`` the record itself is a tracked attribute, so each is a version.
+    """
+    scratch = Scratch(rows.sparkSession, "history")
+    tracked = [*(["id"] if every_record else []), *attributes]
+    fields = dict.fromkeys(("id", "topic", "supersedes", "superseded_by", "created_at", "updated_at", *attributes))
+    records = scratch.keep(linked_records(rows.select(*fields), scratch).select("entity", "id", "at", *attributes), "named")
+    last = records.agg(F.date_sub(F.max("at"), last_days).cast("timestamp").alias("t")).first()["t"]
+    before = records if last is None else records.where(F.col("at") < last)
+    dimension = scratch.keep(merge_versions(None, before, "entity", "at", "id", tracked), "dimension")
+    if last is None:
+        return dimension
+    return merge_versions(dimension, records.where(F.col("at") >= last), "entity", "at", "id", tracked)
+
+
+def version_pairs(rows: DataFrame, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+    """(id, next_id): each record with the one that follows it in its history."""
+    scratch = Scratch(rows.sparkSession, "history")
+    versions = linked_histories(rows, attributes, every_record=True).select("entity", "id", F.unix_micros("valid_from").alias("us"))
+    return neighbours(scratch.keep(versions, "versions"), "entity", ["us", "id"], "us", ["id"]).where("next_id is not null").select("id", "next_id")

@@ -10,16 +10,24 @@ from palimpsest.runtime import Scratch
 HOT_ROWS = 100_000
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(left: DataFrame, key: str, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of more than ``hot_rows`` rows, counted with partial sums; None if there are none."""
+    if left.count() <= hot_rows:  # from the footers alone where the left side is a kept table
+        return None
+    hot = scratch.keep(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(key), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, hot_rows: int = HOT_ROWS, hot: DataFrame | str | None = "unknown") -> DataFrame:
     """Inner join on ``key``, of which ``right`` has one row a value.
 
-    Keys of more than ``hot_rows`` rows on the left are counted with partial sums first; their
-    right rows, at most left rows / ``hot_rows`` of them, go to the tasks of the left side.  The
-    rest is an ordinary join.  A null key meets nothing; empty sides give an empty result.
+    The right rows of hot keys, at most left rows / ``hot_rows`` of them, go to the tasks of the
+    left side; the rest is an ordinary join.  ``hot`` gives known hot keys.  A null key meets
+    nothing; empty sides give an empty result.
     """
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > hot_rows) & F.col(key).isNotNull()).select(key)
-    hot = scratch.keep(hot, "hot-keys")
-    if hot.isEmpty():
+    if isinstance(hot, str):
+        hot = hot_keys(left, key, scratch, hot_rows)
+    if hot is None:
         return left.join(right, key)
     known = F.broadcast(hot)
     loud = left.join(F.broadcast(right.join(known, key)), key)

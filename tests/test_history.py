@@ -13,7 +13,7 @@ def records(spark, *rs):
 
 
 def links(spark, *rs):
-    return [(r["id"], r["next_id"]) for r in history.linked_histories(records(spark, *rs)).where("next_id is not null").orderBy("id").collect()]
+    return [tuple(r) for r in history.version_pairs(records(spark, *rs), ["topic"]).orderBy("id").collect()]
 
 
 def test_links_from_either_side(spark):
@@ -44,16 +44,69 @@ def test_long_chain_over_segments(spark):
     assert links(spark, *rs) == [(f"{i:03d}", f"{i + 1:03d}") for i in range(59)]
 
 
-def test_merge_equals_build(spark):
-    log = [("k1", "2024-01-01", "x"), ("k1", "2024-01-02", "x"), ("k1", "2024-01-03", "y"), ("k2", "2024-01-02", None), ("k2", "2024-01-04", "z"), ("k1", "2024-01-04", "x"), (None, "2024-01-01", "q")]
-    df = spark.createDataFrame(log, "k string, t string, v string").withColumn("at", F.col("t").cast("timestamp"))
-    built = history.build_history(df.withColumn("n", F.col("t")), "k", "at", "n", ["v"]).select("k", "v", "valid_from", "valid_to", "is_current")
-    dim = spark.createDataFrame([], "k string, v string, valid_from timestamp, valid_to timestamp, is_current boolean")
-    for day in sorted({t for _, t, _ in log}):
-        dim = spark.createDataFrame(history.merge_versions(dim, df.where(F.col("t") == day), "k", "at", ["v"]).collect(), dim.schema)
-    key = lambda d: sorted(map(str, d.collect()))
-    assert key(built) == key(dim)
-    assert built.count() == 5
+LOG = [
+    ("k1", "2024-01-01", "x"), ("k1", "2024-01-02", "x"), ("k1", "2024-01-03", "y"), ("k2", "2024-01-02", None), ("k2", "2024-01-04", "z"), ("k1", "2024-01-04", "x"),
+    ("k3", "2024-01-02", "q"), ("k3", "2024-01-03", "q"), ("k3", "2024-01-03", "q"), (None, "2024-01-01", "q"), ("k4", None, "q"),
+]
+#: by hand: closed, reopened with its old value, unchanged over three deliveries, null to a value
+VERSIONS = {
+    ("k1", "x", "2024-01-01", "2024-01-03"), ("k1", "y", "2024-01-03", "2024-01-04"), ("k1", "x", "2024-01-04", None),
+    ("k2", None, "2024-01-02", "2024-01-04"), ("k2", "z", "2024-01-04", None), ("k3", "q", "2024-01-02", None),
+}
+
+
+def log_of(spark, log):
+    return spark.createDataFrame(log, "k string, t string, v string").withColumn("at", F.col("t").cast("timestamp")).withColumns({"n": F.col("t"), "us": F.lit(1), "hash": F.lit("clash")})
+
+
+def versions(df):
+    day = lambda t: None if t is None else str(t.date())
+    got = [(r["k"], r["v"], day(r["valid_from"]), day(r["valid_to"])) for r in df.collect()]
+    assert len(got) == len(set(got)) and all(r["is_current"] == (r["valid_to"] is None) for r in df.collect())
+    return set(got)
+
+
+def test_merge_in_batches_or_at_once(spark):
+    df = log_of(spark, LOG)
+    assert versions(history.build_history(df, "k", "at", "n", ["v"])) == VERSIONS
+    for bounds in (("2024-01-02",), ("2024-01-02", "2024-01-03", "2024-01-04"), ("2024-01-04",)):
+        dim, low = None, "2000"
+        for high in (*bounds, "2999"):
+            dim = history.merge_versions(dim, df.where((F.col("t") >= low) & (F.col("t") < high)), "k", "at", "n", ["v"], segment_s=86_400)
+            dim = spark.createDataFrame(dim.collect(), dim.schema)
+            low = high
+        assert versions(dim) == VERSIONS
+
+
+def test_late_changes_and_empty_batches(spark):
+    dim = history.build_history(log_of(spark, LOG), "k", "at", "n", ["v"])
+    late = log_of(spark, [("k1", "2024-01-02", "late")])
+    assert versions(history.merge_versions(dim, late, "k", "at", "n", ["v"])) == VERSIONS
+    none = log_of(spark, LOG).limit(0)
+    assert versions(history.merge_versions(dim, none, "k", "at", "n", ["v"])) == VERSIONS
+    assert versions(history.build_history(none, "k", "at", "n", ["v"])) == set()
+
+
+def test_equal_records_are_one_version(spark):
+    rs = [("a", "t", None, "b", "2024-01-01", None), ("b", "t", None, "c", "2024-02-01", None), ("c", "T", None, None, "2024-04-01", None)]
+    got = {(r["entity"], r["id"], r["topic"], str(r["valid_from"].date()), r["is_current"]) for r in history.linked_histories(records(spark, *rs), ["topic"]).collect()}
+    assert got == {("a", "a", "t", "2024-01-01", False), ("a", "c", "T", "2024-04-01", True)}
+
+
+def test_smaller_id_first(spark, tmp_path):
+    from palimpsest.plans import problem3
+
+    records(spark, ("z", "t", None, "y", "2024-01-01", None), ("y", "t", None, None, "2024-01-02", None)).drop("us").withColumns({"content": F.lit("c"), "confidence": F.lit(1.0), "project_id": F.lit(None).cast("string")}).write.parquet(f"{tmp_path}/semantic.parquet")
+    assert rows(problem3.p3_found(spark, str(tmp_path))) == [("y", "z")]
+
+
+def test_hot_keys_are_met_by_broadcast(spark):
+    from palimpsest.operators.skew import lookup
+    from palimpsest.runtime import Scratch
+
+    left = spark.range(200).selectExpr("if(id % 3 = 0, null, if(id < 100, 7, id)) as k", "id as n")
+    right = spark.range(200).selectExpr("id as k", "id * 2 as v")
+    assert rows(lookup(left, right, "k", Scratch(spark, "t"), hot_rows=10)) == rows(left.join(right, "k"))
 
 
 def test_components_random(spark):
