@@ -10,15 +10,17 @@ from palimpsest.runtime import Scratch
 HOT_ROWS = 100_000
 
 
-def hot_keys(left: DataFrame, key: str, scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(left: DataFrame, key: str | list[str], scratch: Scratch, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys of more than ``hot_rows`` rows, counted with partial sums; None if there are none."""
     if left.count() <= hot_rows:  # from the footers alone where the left side is a kept table
         return None
-    hot = scratch.keep(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(key), "hot-keys")
+    keys = [key] if isinstance(key, str) else key
+    hot = left.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*keys)
+    hot = scratch.keep(hot, "hot-keys")
     return None if hot.isEmpty() else hot
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, hot_rows: int = HOT_ROWS, hot: DataFrame | str | None = "unknown") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], scratch: Scratch, hot_rows: int = HOT_ROWS, hot: DataFrame | str | None = "unknown") -> DataFrame:
     """Inner join on ``key``, of which ``right`` has one row a value.
 
     The right rows of hot keys, at most left rows / ``hot_rows`` of them, go to the tasks of the

@@ -19,10 +19,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none."""
+    """The cluster's checkpoint folder; a temporary one only in local mode where the session names
+    none.  A cluster without one is an error: executors share no machine's folder."""
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or getattr(sc, "_palimpsest_folder", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = sc._palimpsest_folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return folder.rstrip("/")
 
@@ -63,8 +66,17 @@ class Scratch:
         if path:
             delete_path(self.spark, path)
 
-    def clear(self) -> None:
-        delete_path(self.spark, self.root)
+    def clear(self, but: DataFrame | None = None) -> None:
+        """Delete all tables of the run, or all but one."""
+        if but is None:
+            delete_path(self.spark, self.root)
+            return
+        last = self._paths[id(but)]
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(fs_path(self.root)):
+            if status.getPath().getName() != last.rsplit("/", 1)[-1]:
+                fs.delete(status.getPath(), True)
 
 
 def ship_code(spark: SparkSession) -> None:
