@@ -7,14 +7,15 @@ a persistent chunk-to-record table; records that share chunks get the total of s
 pairs whose shared bytes cover enough of the longer record are candidates; candidates are
 verified on the words themselves; the chunks of accepted records are appended.
 
-Scattered edits leave few whole chunks, and common chunks are only met in pairs, so chunks alone
-lose matches.  Every record therefore also meets others by its rarest words (``exact_pairs``): of
-``n`` words, two that match share at least one of the first ``n - ceil(0.8 n) + 1`` in one order
-of all words.  Parity sketches of the words drop the pairs that differ too much; neither step
-drops a pair that matches.
+Scattered edits leave few whole chunks, and chunks of more than ``hot_chunk`` records (boiler-plate)
+count for nothing, so chunks alone lose matches.  Every record therefore also meets others by its
+rarest words (``exact_pairs``), which finds every match: of ``n`` words, two that match share at
+least one of the first ``n - ceil(0.8 n) + 1`` in one order of all words.  Parity sketches of the
+words drop the pairs that differ too much; neither step drops a pair that matches.
 
-A batch costs one pass over the batch plus a join of its chunk and word hashes with the stored
-columns of them: texts of the history are never read again except those of verified candidates.
+A batch costs passes over the batch, and one scan of the key columns of the stored tables in those
+hash buckets that the batch touches, against a broadcast of the batch's keys (behind a check of
+its size).  Texts of the history are read in the buckets of candidates only.
 
 Result for the unusual cases
 * null id, null or blank content, null time, fewer than ``min_words`` words: not taken, no row.
@@ -23,11 +24,12 @@ Result for the unusual cases
 * a text of any length is chunked whole.
 
 Scale and skew: texts with the same bag of words are folded into their first row before any
-chunk is shuffled (a third of all rows may be one text).  A chunk that occurs in more than
-``hot_chunk`` records (boiler-plate) is replaced by itself joined with its next chunk, and by
-itself joined with its previous one, so that records meet in smaller groups; pairs that this
-separates come from the rare words.  A word of more than ``hot_token`` postings is cut into
-blocks, and every pair of blocks is work of its own.
+chunk is shuffled (a third of all rows may be one text), and told apart again by a join that sends
+hot bags to the rows.  A group of near copies would give all its pairs: where more than ``crowd``
+records share a rare word, its earliest record is compared with all others first; records that
+match one which has no earlier match are copies for certain, and two of those are not compared.
+A word of more than ``hot_token`` postings is cut into blocks, and every pair of blocks is work of
+its own.
 """
 
 from __future__ import annotations
@@ -36,10 +38,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.words import WordHasher, words
+from palimpsest.operators.skew import hot_keys, lookup
 from palimpsest.runtime import Scratch
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +53,7 @@ BAG_FAMILY = 2
 
 SIGNATURE = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, chunks array<struct<h:long,bytes:int>>, tokens array<int>"
 
-PREFIXES = "k int, rid long, n_words int, s0 long, s1 long, s2 long, s3 long"
+PREFIXES = "k int, rid long, id string, ts long, n_words int, s0 long, s1 long, s2 long, s3 long"
 
 
 @dataclass(frozen=True)
@@ -72,15 +75,20 @@ class ChunkParams:
     fine_mean: int = 2
     #: shared bytes (over all families) as a part of the longer record's bytes
     coverage: float = 0.05
+    #: records that share a chunk; a chunk of more gives no candidates (the rare words do)
     hot_chunk: int = 32
     #: shared keys that a record carries with each of its postings; beyond, pairs are summed up
     carried_keys: int = 64
-    #: candidate pairs (to find their texts) and common chunks that may be broadcast
+    #: candidate pairs (to find their texts) and keys that may be broadcast
     broadcast_pairs: int = 1_000_000
     #: words with a place of their own in the order by frequency, the rest counts as rarest
     ranked_tokens: int = 1_000_000
     #: postings of one word that are compared in one task
     hot_token: int = 32_768
+    #: postings of one word from which on its earliest record is compared with all others first
+    crowd: int = 2_000
+    #: hash ranges of the stored tables
+    buckets: int = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -185,7 +193,7 @@ def signature_arrays(texts: list[str | None], params: ChunkParams, hasher: WordH
         prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(words_) * power[:-1], dtype=np.uint64)])
         reach = np.concatenate([[0], np.cumsum(sizes)])
         tag = np.uint64(family)
-        value = _mix((prefix[b] - prefix[a]) * back[a] + tag * _ROLL)
+        value = _mix((prefix[b] - prefix[a]) * back[a] + np.array([tag]) * _ROLL)
         # the lowest two bits name the family, so that neighbours in the list are known to be neighbours in the text
         parts.append((doc_of[a], np.full(len(a), family), a, (value & ~np.uint64(3)) | tag, (reach[b] - reach[a]).astype(np.int32)))
     doc, fam, a, value, size = (np.concatenate(c) for c in zip(*parts))
@@ -222,32 +230,22 @@ def signatures(texts: DataFrame, params: ChunkParams) -> DataFrame:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(k, rid, n_words, n_bytes, bytes, prev, next): a row a chunk, with the chunks beside it."""
-
-    def beside(c, at, i):
-        other = F.get("chunks", at + i)["h"]
-        return F.when(other.bitwiseAND(F.lit(3)) == c["h"].bitwiseAND(F.lit(3)), other)
-
-    wide = F.transform("chunks", lambda c, at: F.struct(c["h"].alias("k"), c["bytes"].alias("bytes"), beside(c, at, -1).alias("prev"), beside(c, at, 1).alias("next")))
-    return reps.select("rid", "n_words", "n_bytes", F.explode(wide).alias("c")).select("c.k", "rid", "n_words", "n_bytes", "c.bytes", "c.prev", "c.next")
+    """(k, rid, n_words, n_bytes, bytes): a row a chunk."""
+    return reps.select("rid", "n_words", "n_bytes", F.explode("chunks").alias("c")).select(F.col("c.h").alias("k"), "rid", "n_words", "n_bytes", "c.bytes")
 
 
 def _shared_postings(postings: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
-    """Postings of the chunks that several records hold.
+    """Postings of the chunks that 2 to ``hot_chunk`` records hold.
 
-    Chunks of too many records become chunk pairs: the chunk with its next one, and with its
-    previous one.  They are counted before anything is shuffled by chunk (one row a task and
-    chunk), so a chunk of a third of all records gathers nowhere.  Chunks of one record drop out.
+    Chunks are counted before anything is shuffled by chunk (one row a task and chunk), so a
+    chunk of a third of all records gathers nowhere.
     """
-    counts = postings.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
-    hot = scratch.keep(counts.where(F.col("df") > params.hot_chunk).select("k", F.lit(True).alias("hot")), "hot")
-    small = F.broadcast if hot.count() <= params.broadcast_pairs else (lambda df: df)
-    marked = postings.join(small(hot), "k", "left")
-    pairs = F.array_compact(F.array(F.when(F.col("next").isNotNull(), F.xxhash64("k", "next")), F.when(F.col("prev").isNotNull(), F.xxhash64("prev", "k"))))
-    keys = F.explode(F.when(F.col("hot"), pairs).otherwise(F.array("k"))).alias("k")
-    spread = marked.select(keys, "rid", "old", "n_words", "n_bytes", "bytes")
-    df = F.count(F.lit(1)).over(Window.partitionBy("k"))
-    return scratch.keep(spread.withColumn("df", df).where("df > 1").drop("df"), "shared")
+    counts = scratch.keep(postings.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "chunk-counts")
+    hot = counts.where(F.col("df") > params.hot_chunk).select("k")
+    few = hot.count() <= params.broadcast_pairs
+    calm = postings.join(F.broadcast(hot), "k", "left_anti") if few else postings
+    shared = counts.where(F.col("df") <= params.hot_chunk).select("k")
+    return scratch.keep(calm.join(shared, "k", "left_semi").select("k", "rid", "old", "n_words", "n_bytes", "bytes"), "shared")
 
 
 def candidate_pairs(reps: DataFrame, params: ChunkParams, scratch: Scratch, history: DataFrame | None = None) -> DataFrame:
@@ -333,11 +331,11 @@ def prefix_postings(reps: DataFrame, order: DataFrame, params: ChunkParams) -> D
             # the position in the sorted run is the position in the text's range, as runs keep their place
             owner = pa.array(doc[taken])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[taken]), batch.column("rid").take(owner), batch.column("n_words").take(owner), *(pa.array(s[doc[taken]]) for s in sketch)],
-                names=["k", "rid", "n_words", "s0", "s1", "s2", "s3"],
+                [pa.array(token[taken]), *(batch.column(c).take(owner) for c in ("rid", "id", "ts", "n_words")), *(pa.array(s[doc[taken]]) for s in sketch)],
+                names=["k", "rid", "id", "ts", "n_words", "s0", "s1", "s2", "s3"],
             )
 
-    return reps.select("rid", "n_words", "tokens").mapInArrow(run, PREFIXES)
+    return reps.select("rid", "id", "ts", "n_words", "tokens").mapInArrow(run, PREFIXES)
 
 
 def _close(rid: np.ndarray, n: np.ndarray, s: np.ndarray, left: np.ndarray, right: np.ndarray | None, params: ChunkParams):
@@ -370,7 +368,7 @@ def _close(rid: np.ndarray, n: np.ndarray, s: np.ndarray, left: np.ndarray, righ
 
 def _met(columns: list[np.ndarray], params: ChunkParams) -> pa.RecordBatch:
     """Pairs of whole groups: rows sorted by (k, block_a, block_b)."""
-    k, block_a, block_b, side, old, rid, n, *s = columns
+    k, block_a, block_b, side, old, free, rid, n, *s = columns
     s = [c.view(np.uint64) for c in s]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1])
@@ -394,7 +392,7 @@ def _met(columns: list[np.ndarray], params: ChunkParams) -> pa.RecordBatch:
         live = live[group[live] == group[live + d]]
         i, j = live, live + d
         differ = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int32) for c in s) if len(i) else np.empty(0)
-        ok = (differ <= n[i] + n[j] - np.maximum(need[i], need[j])) & ~(old[i] & old[j])
+        ok = (differ <= n[i] + n[j] - np.maximum(need[i], need[j])) & ~(old[i] & old[j]) & (free[i] | free[j])
         out_i.append(i[ok])
         out_j.append(j[ok])
         d += 1
@@ -402,13 +400,20 @@ def _met(columns: list[np.ndarray], params: ChunkParams) -> pa.RecordBatch:
         if m < 2 or small[a]:
             continue
         at = np.arange(a, a + m)
-        o, right = old[a : a + m], side[a : a + m] == 1
+        o, f, right = old[a : a + m], free[a : a + m], side[a : a + m] == 1
         if block_a[a] == block_b[a]:
-            add(at[~o])
-            add(at[~o], at[o])
+            # two free rows, or a free row and a tied one; at least one of them new
+            add(at[f & ~o])
+            add(at[f & ~o], at[o])
+            add(at[f & ~o], at[~f & ~o])
+            add(at[f & o], at[~f & ~o])
         else:
-            add(at[~o & ~right], at[right])
-            add(at[o & ~right], at[~o & right])
+            for one, other in ((~right, right), (right, ~right)):
+                if one is not right:
+                    add(at[f & one & ~o], at[f & other])
+                    add(at[f & one & o], at[f & other & ~o])
+                add(at[f & one & ~o], at[~f & other])
+                add(at[f & one & o], at[~f & other & ~o])
     i, j = (np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in (out_i, out_j))
     # a stored record comes first, else the smaller number
     swap = ~old[i] & (old[j] | (rid[j] < rid[i]))
@@ -420,11 +425,12 @@ def _met(columns: list[np.ndarray], params: ChunkParams) -> pa.RecordBatch:
 def exact_pairs(postings: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
     """(a, b, old): pairs that share one of their rarest words and may match by their sketches.
 
-    ``postings``: those of ``prefix_postings`` with ``old``; two stored records do not meet.
+    ``postings``: those of ``prefix_postings`` with ``old`` and ``free``; two stored records do not
+    meet, nor do two that are not free.
     """
     counts = postings.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > params.hot_token)
     hot = scratch.keep(counts.select("k", F.ceil(F.col("held") / params.hot_token).cast("int").alias("blocks")), "hot-tokens")
-    rest = ["old", "rid", "n_words", "s0", "s1", "s2", "s3"]
+    rest = ["old", "free", "rid", "n_words", "s0", "s1", "s2", "s3"]
     whole = [F.lit(-1).alias("block_a"), F.lit(-1).alias("block_b"), F.lit(0).alias("side")]
     if hot.isEmpty():
         work = postings.select("k", *whole, *rest)
@@ -478,7 +484,29 @@ def _numbered_words(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "id", "ts", "content").mapInArrow(run, "rid long, id string, ts long, w array<string>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, params: ChunkParams) -> DataFrame:
+def word_matches(postings: DataFrame, texts: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
+    """Candidates (a, b, old) by rare words over ``postings`` (those of ``prefix_postings`` with
+    ``old``): all pairs that may match, but for pairs of records that are copies for certain."""
+    free = postings.withColumn("free", F.lit(True))
+    crowded = scratch.keep(postings.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > params.crowd).select("k"), "crowded")
+    if crowded.isEmpty():
+        return exact_pairs(free, params, scratch)
+    known = F.broadcast(crowded)  # at most postings / crowd rows
+    first = postings.join(known, "k").groupBy("k").agg(F.min(F.struct("ts", "id", "rid")).alias("first"))
+    leaders = scratch.keep(first.select("first.rid", F.lit(True).alias("leads")).distinct(), "leaders")
+    marked = scratch.keep(postings.join(F.broadcast(leaders), "rid", "left").withColumn("free", F.coalesce("leads", F.lit(False))).drop("leads"), "led")
+    # only words that a leader holds can bring a pair
+    held = marked.where("free").select("k").distinct()
+    led = scratch.keep(exact_pairs(marked.join(held, "k", "left_semi"), params, scratch), "led-pairs")
+    matches = scratch.keep(verified(led, texts, params, scratch), "led-matches").select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
+    # a leader without an earlier match is accepted whatever comes
+    sure = leaders.select(F.col("rid").alias("a")).join(matches.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    copies = scratch.keep(matches.join(F.broadcast(sure), "a").select(F.col("b").alias("rid"), F.lit(True).alias("copy")).distinct(), "sure-copies")
+    rest = marked.where("not free").join(copies, "rid", "left").withColumn("free", F.col("copy").isNull()).drop("copy")
+    return led.unionByName(exact_pairs(scratch.keep(rest, "rest"), params, scratch))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
     """Exact check: words shared with repeats against the words of the longer text.
 
     Returns (a, b) as structs (ts, id, rid), a being the earlier of the two, or the stored one.
@@ -486,12 +514,15 @@ def verified(pairs: DataFrame, texts: DataFrame, params: ChunkParams) -> DataFra
     wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     if pairs.count() <= params.broadcast_pairs:
         wanted = F.broadcast(wanted)  # at most two numbers a pair
-    found = texts.where("id is not null and ts is not null and content is not null").select(F.xxhash64("id").alias("rid"), "id", "ts", "content").join(wanted, "rid", "left_semi").dropDuplicates(["rid"])
-    bags = _numbered_words(found)
+    found = texts.where("id is not null and ts is not null and content is not null").select(F.xxhash64("id").alias("rid"), "id", "ts", "content").join(wanted, "rid", "left_semi")
+    # a row delivered twice counts at its earliest time
     place = F.struct("ts", "id", "rid")
+    found = found.groupBy("rid").agg(F.min(place).alias("p"), F.min_by("content", place).alias("content")).select("rid", "p.id", "p.ts", "content")
+    bags = scratch.keep(_numbered_words(found), "bags")
     left = bags.select(F.col("rid").alias("a"), place.alias("at_a"), F.col("w").alias("w_a"))
     right = bags.select(F.col("rid").alias("b"), place.alias("at_b"), F.col("w").alias("w_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    # one original may have a third of all records as its copies
+    both = lookup(lookup(pairs, left, "a", scratch), right, "b", scratch, hot=hot_keys(pairs, "b", scratch))
     shared = F.size(F.array_intersect("w_a", "w_b"))
     same = both.where(shared >= F.lit(params.similarity) * F.greatest(F.size("w_a"), F.size("w_b")) - 1e-9)
     first = F.when(F.col("old"), F.col("at_a")).otherwise(F.least("at_a", "at_b"))
@@ -530,50 +561,23 @@ def accept_in_order(matches: DataFrame, scratch: Scratch, settled: DataFrame | N
 
 
 def find_copies(texts: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
-    """All batches at once: ``texts(id, ts long, content)`` -> (original_id, copy_id).
-
-    The same decisions as feeding the batches one by one, since records are taken in order
-    of (ts, id) either way.
-    """
-    scratch = Scratch(texts.sparkSession, "dedup")
-    marked = signatures(texts, params)
-    first = F.struct("ts", "id", "rid")
-    one = marked.groupBy("bag_a", "bag_b").agg(
-        F.min(first).alias("first"), F.min("n_words").alias("n_words"), F.min("n_bytes").alias("n_bytes"), F.min_by("chunks", first).alias("chunks"), F.min_by("tokens", first).alias("tokens")
-    )
-    reps = scratch.keep(one.select("bag_a", "bag_b", "first.ts", "first.id", "first.rid", "n_words", "n_bytes", "chunks", "tokens"), "records")
-    chunked = scratch.keep(candidate_pairs(reps, params, scratch), "chunked")
-    prefixes = scratch.keep(prefix_postings(reps, token_counts(reps, params, scratch), params), "prefixes")
-    exact = exact_pairs(prefixes.withColumn("old", F.lit(False)), params, scratch)
-    pairs = scratch.keep(chunked.unionByName(exact).distinct(), "candidates")
-    copies = scratch.keep(accept_in_order(verified(pairs, texts, params), scratch), "copies")
-    # a second reading of the texts, for the bag hashes alone, takes less than carrying the rows along
-    members = signatures(texts, replace(params, families=0))
-    return _expand(reps, copies, members)
-
-
-def _expand(reps: DataFrame, copies: DataFrame, members: DataFrame) -> DataFrame:
-    """From records to rows: each row of a bag follows its first row's decision."""
-    names = reps.select("rid", F.col("id").alias("name"))
-    near = copies.select(F.col("b.rid").alias("rid"), F.col("a.rid").alias("rid_a"))
-    near = near.join(names.select(F.col("rid").alias("rid_a"), F.col("name").alias("original")), "rid_a").select("rid", "original")
-    groups = reps.select("bag_a", "bag_b", "rid", F.col("id").alias("rep_id")).join(near, "rid", "left")
-    rows = members.select("id", "bag_a", "bag_b").join(groups, ["bag_a", "bag_b"])
-    out = rows.select(F.coalesce("original", "rep_id").alias("original_id"), F.col("id").alias("copy_id"))
-    return out.where("original_id <> copy_id").distinct()
+    """One batch upon an empty state: ``texts(id, ts long, content)`` -> (original_id, copy_id)."""
+    return AcceptedTexts(texts.sparkSession, Scratch(texts.sparkSession, "accepted").root, params).process(texts)
 
 
 class AcceptedTexts:
-    """Persistent state: ``records`` (bag hashes, ids, texts), ``postings`` (chunk -> record),
-    ``order`` (frequent words of the first batch) and ``prefixes`` (rare word -> record).
+    """Persistent state, each table in hash ranges of its key (``bucket``, a partition column):
+    ``records`` (by record: bag, id, text), ``postings`` (by chunk: its records), ``prefixes`` (by
+    rare word: its records); and ``order``, the frequent words of the first batch.
 
-    ``postings`` is written in ``buckets`` hash ranges of the chunk, sorted by chunk, so that a
-    batch reads the two needed columns of it and shuffles only its own side's keys plus what
-    meets them.
+    A batch of any size gives the same decisions, one week or all of them, since records are
+    taken in order of (ts, id) either way.  Accepted texts are appended; ``compact`` rewrites a
+    table whose batches left many small files.
     """
 
-    RECORDS = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, content string"
-    POSTINGS = "k long, rid long, n_words int, n_bytes int, bytes int, prev long, next long"
+    RECORDS = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, content string, bucket int"
+    POSTINGS = "k long, rid long, n_words int, n_bytes int, bytes int, bucket int"
+    PREFIX_ROWS = PREFIXES + ", bucket int"
 
     def __init__(self, spark: SparkSession, path: str, params: ChunkParams = ChunkParams()):
         self.spark, self.path, self.params = spark, path.rstrip("/"), params
@@ -586,19 +590,40 @@ class AcceptedTexts:
             return self.spark.read.schema(schema).parquet(path)
         return self.spark.createDataFrame([], schema)
 
-    def _order(self, reps: DataFrame, records: DataFrame, scratch: Scratch) -> DataFrame:
-        """The order of words, fixed by the first batch: prefixes meet under one order only.
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.params.buckets)).cast("int")
 
-        A state that has records but no order yet gets both order and prefixes from its texts.
-        """
-        order = self._read("order", "k int, df long")
-        if order.isEmpty():
-            stored = scratch.keep(signatures(records.select("id", "ts", "content"), self.params), "stored")
-            both = stored.select("tokens").unionByName(reps.select("tokens"))
-            token_counts(both, self.params, scratch).write.mode("overwrite").parquet(f"{self.path}/order")
-            order = self._read("order", "k int, df long")
-            if not stored.isEmpty():
-                prefix_postings(stored, order, self.params).write.mode("overwrite").parquet(f"{self.path}/prefixes")
+    def _append(self, df: DataFrame, name: str, key: str) -> None:
+        rows = df.withColumn("bucket", self._bucket(key)).repartition(self.params.buckets, "bucket")
+        rows.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
+    def compact(self, name: str) -> None:
+        """One file a bucket; the old files go only after the new ones are written."""
+        schema = {"records": self.RECORDS, "postings": self.POSTINGS, "prefixes": self.PREFIX_ROWS}[name]
+        rows = self._read(name, schema).repartition(self.params.buckets, "bucket")
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}-new")
+        jvm = self.spark.sparkContext._jvm
+        old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}{end}") for end in ("", "-new"))
+        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(new, old)
+
+    def _touched(self, name: str, schema: str, keys: DataFrame, key: str) -> DataFrame:
+        """The stored rows of the given keys: the buckets they lie in, and a join that shuffles the
+        stored side only where the keys are too many to send."""
+        stored = self._read(name, schema)
+        there = sorted(r[0] for r in keys.select(self._bucket(key)).distinct().collect())  # at most ``buckets`` numbers
+        few = keys.count() <= self.params.broadcast_pairs
+        met = stored.where(F.col("bucket").isin(there)).join(F.broadcast(keys) if few else keys, key, "left_semi")
+        return met.drop("bucket")
+
+    def _order(self, reps: DataFrame, scratch: Scratch) -> DataFrame:
+        """The order of words, fixed by the first batch: prefixes meet under one order only."""
+        schema = "k int, df long"
+        order = self._read("order", schema)
+        if order.isEmpty() and self._read("prefixes", self.PREFIX_ROWS).isEmpty():
+            token_counts(reps, self.params, scratch).write.mode("overwrite").parquet(f"{self.path}/order")
+            order = self._read("order", schema)
         return order
 
     def process(self, batch: DataFrame) -> DataFrame:
@@ -607,44 +632,66 @@ class AcceptedTexts:
         Batches must come in order of time; a row older than the history is compared with it
         all the same and its match in the history counts as the earlier one.
         """
-        p, scratch = self.params, Scratch(self.spark, "dedup-batch")
-        records, stored = self._read("records", self.RECORDS), self._read("postings", self.POSTINGS)
-        marked = scratch.keep(signatures(batch, p), "signatures")
+        p, scratch = self.params, Scratch(self.spark, "dedup")
+        batch = batch.select("id", "ts", "content")
         first = F.struct("ts", "id", "rid")
-        one = marked.groupBy("bag_a", "bag_b").agg(
+        one = signatures(batch, p).groupBy("bag_a", "bag_b").agg(
             F.min(first).alias("first"), F.min("n_words").alias("n_words"), F.min("n_bytes").alias("n_bytes"), F.min_by("chunks", first).alias("chunks"), F.min_by("tokens", first).alias("tokens")
         )
         reps = scratch.keep(one.select("bag_a", "bag_b", "first.ts", "first.id", "first.rid", "n_words", "n_bytes", "chunks", "tokens"), "records")
-        touched = stored.join(_postings(reps).select("k").distinct(), "k", "left_semi")
-        chunked = scratch.keep(candidate_pairs(reps, p, scratch, touched), "chunked")
-        order = self._order(reps, records, scratch)
-        prefixes = scratch.keep(prefix_postings(reps, order, p), "prefixes")
-        known_words = self._read("prefixes", PREFIXES).join(prefixes.select("k").distinct(), "k", "left_semi")
-        exact = exact_pairs(prefixes.withColumn("old", F.lit(False)).unionByName(known_words.withColumn("old", F.lit(True))), p, scratch)
-        pairs = scratch.keep(chunked.unionByName(exact).distinct(), "candidates")
-        met = pairs.where("old").select(F.col("a").alias("rid")).distinct()
-        old_texts = records.join(met, "rid", "left_semi").select("id", "ts", "content")
-        matches = scratch.keep(verified(pairs, old_texts.unionByName(batch.select("id", "ts", "content")), p), "verified")
-        in_old = records.select(F.col("rid")).join(met, "rid", "left_semi")
-        settled = scratch.keep(matches.join(in_old, F.col("a.rid") == F.col("rid"), "left_semi"), "settled")
-        inner = matches.join(in_old, F.col("a.rid") == F.col("rid"), "left_anti")
-        copies = scratch.keep(accept_in_order(inner, scratch, settled), "copies")
-        accepted = scratch.keep(reps.join(copies.select(F.col("b.rid").alias("rid")), "rid", "left_anti"), "accepted")
-        text = batch.where("id is not null").select(F.xxhash64("id").alias("rid"), "content").dropDuplicates(["rid"])
-        known = records.select("rid", "id").join(met, "rid", "left_semi")
-        out = scratch.keep(_expand_batch(reps, known, copies, marked), "result")
-        accepted.join(text, "rid").select("rid", "id", "ts", "n_words", "bag_a", "bag_b", "n_bytes", "content").write.mode("append").parquet(f"{self.path}/records")
-        prefixes.join(accepted.select("rid"), "rid", "left_semi").select("k", "rid", "n_words", "s0", "s1", "s2", "s3").repartition("k").sortWithinPartitions("k").write.mode("append").parquet(f"{self.path}/prefixes")
-        posting = _postings(accepted)
-        posting.repartition("k").sortWithinPartitions("k").write.mode("append").parquet(f"{self.path}/postings")
+        empty = self._read("records", self.RECORDS).isEmpty()
+        chunks = None
+        if not empty:
+            keys = scratch.keep(reps.select(F.explode("chunks.h").alias("k")).distinct(), "chunk-keys")
+            chunks = scratch.keep(self._touched("postings", self.POSTINGS, keys, "k"), "met-chunks")
+        chunked = scratch.keep(candidate_pairs(reps, p, scratch, chunks), "chunked")
+        prefixes = scratch.keep(prefix_postings(reps, self._order(reps, scratch), p), "prefixes")
+        postings = prefixes.withColumn("old", F.lit(False))
+        if not empty:
+            keys = scratch.keep(prefixes.select("k").distinct(), "word-keys")
+            postings = scratch.keep(postings.unionByName(self._touched("prefixes", self.PREFIX_ROWS, keys, "k").withColumn("old", F.lit(True))), "met-words")
+        old = scratch.keep(chunked.where("old").select(F.col("a").alias("rid")).union(postings.where("old").select("rid")).distinct(), "met-records") if not empty else None
+        texts = batch if empty else batch.unionByName(self._touched("records", self.RECORDS, old, "rid").select("id", "ts", "content"))
+        by_words = word_matches(postings, texts, p, scratch)
+        pairs = scratch.keep(chunked.unionByName(by_words).distinct(), "candidates")
+        matches = scratch.keep(verified(pairs, texts, p, scratch), "verified")
+        if empty:
+            copies = scratch.keep(accept_in_order(matches, scratch), "copies")
+        else:
+            stored = old.select("rid")
+            settled = scratch.keep(matches.join(stored, F.col("a.rid") == F.col("rid"), "left_semi"), "settled")
+            inner = matches.join(stored, F.col("a.rid") == F.col("rid"), "left_anti")
+            copies = scratch.keep(accept_in_order(inner, scratch, settled), "copies")
+        out = scratch.keep(self._expand(reps, copies, batch, scratch), "result")
+        # what else was kept is of no use once the state is written
+        accepted = reps.join(copies.select(F.col("b.rid").alias("rid")), "rid", "left_anti")
+        text = batch.where("id is not null").groupBy(F.xxhash64("id").alias("rid")).agg(F.min_by("content", "ts").alias("content"))
+        self._append(accepted.join(text, "rid").select("rid", "id", "ts", "n_words", "bag_a", "bag_b", "n_bytes", "content"), "records", "rid")
+        self._append(prefixes.join(copies.select(F.col("b.rid").alias("rid")), "rid", "left_anti"), "prefixes", "k")
+        self._append(_postings(accepted), "postings", "k")
+        scratch.clear(but=out)
         return out
 
-
-def _expand_batch(reps: DataFrame, known: DataFrame, copies: DataFrame, members: DataFrame) -> DataFrame:
-    names = reps.select("rid", "id").unionByName(known)
-    near = copies.select(F.col("b.rid").alias("rid"), F.col("a.rid").alias("rid_a"))
-    near = near.join(names.select(F.col("rid").alias("rid_a"), F.col("id").alias("original")), "rid_a").select("rid", "original")
-    groups = reps.select("bag_a", "bag_b", "rid", F.col("id").alias("rep_id")).join(near, "rid", "left")
-    rows = members.select("id", "bag_a", "bag_b").join(groups, ["bag_a", "bag_b"])
-    out = rows.select(F.coalesce("original", "rep_id").alias("original_id"), F.col("id").alias("copy_id"))
-    return out.where("original_id <> copy_id").distinct()
+    def _expand(self, reps: DataFrame, copies: DataFrame, batch: DataFrame, scratch: Scratch) -> DataFrame:
+        """From records to rows: each row of a bag follows its first row's decision."""
+        near = copies.select("b.rid", F.col("a.id").alias("original"))
+        groups = reps.select("bag_a", "bag_b", "rid", F.col("id").alias("rep_id")).join(near, "rid", "left").drop("rid")
+        # a second reading of the texts, for the bag hashes alone, takes less than carrying the rows along
+        rows = scratch.keep(signatures(batch, replace(self.params, families=0)).select("id", "bag_a", "bag_b"), "members")
+        out = lookup(rows, groups, ["bag_a", "bag_b"], scratch).select(F.coalesce("original", "rep_id").alias("original_id"), F.col("id").alias("copy_id"))
+        return out.where("original_id <> copy_id").distinct()
+
+
+def feed(state: AcceptedTexts, texts: DataFrame, bounds: list[int]) -> list[DataFrame]:
+    """The results of feeding ``texts(id, ts, content)`` to the state in batches that end at ``bounds``
+    (exclusive; the last one has no end)."""
+    edges = [None, *sorted(set(bounds)), None]
+    out = []
+    for low, high in zip(edges, edges[1:]):
+        part = texts
+        if low is not None:
+            part = part.where(F.col("ts") >= low)
+        if high is not None:
+            part = part.where(F.col("ts") < high)
+        out.append(state.process(part))
+    return out

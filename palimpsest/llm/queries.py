@@ -11,20 +11,24 @@ from palimpsest.operators.history import latest_records
 from palimpsest.runtime import Scratch, table
 
 
+def _fed(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All episodes through one stored state: what came before the last weekly batch that is closed
+    as one load, then that batch and what came after it."""
+    rows = table(spark, sf_dir, "episodes").select("id", F.unix_micros("created_at").alias("ts"), "content").where("created_at is not null")
+    last = rows.agg(F.max("ts")).first()[0] or 0
+    batch = table(spark, sf_dir, "ingest_batches").select(F.unix_micros("opened_at").alias("a"), F.unix_micros("closed_at").alias("b")).where(F.col("b") <= last).orderBy(F.col("b").desc()).first()
+    state = dedup.AcceptedTexts(spark, Scratch(spark, "accepted").root)
+    return dedup.feed(state, rows, [batch["a"] if batch else last + 1])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "episodes").select("id", F.unix_micros("created_at").alias("ts"), "content")
-    return dedup.find_copies(rows)
+    before, after = _fed(spark, sf_dir)
+    return before.unionByName(after)
 
 
 def p1_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last weekly batch that is closed, against the stored state of all rows before it."""
-    rows = table(spark, sf_dir, "episodes").select("id", F.unix_micros("created_at").alias("ts"), "content").where("ts is not null")
-    last = rows.agg(F.max("ts")).first()[0] or 0
-    batch = table(spark, sf_dir, "ingest_batches").select(F.unix_micros("opened_at").alias("a"), F.unix_micros("closed_at").alias("b")).where(F.col("b") <= last).orderBy(F.col("b").desc()).first()
-    opened, closed = (batch["a"], batch["b"]) if batch else (0, last + 1)
-    state = dedup.AcceptedTexts(spark, Scratch(spark, "accepted").root)
-    state.process(rows.where(F.col("ts") < opened))
-    return state.process(rows.where((F.col("ts") >= opened) & (F.col("ts") < closed)))
+    """The rows since the last closed weekly batch opened, against the stored state of all before."""
+    return _fed(spark, sf_dir)[1]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
