@@ -7,6 +7,7 @@ compressed, and gives the next stage a clean lineage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -66,17 +67,21 @@ class Scratch:
         if path:
             delete_path(self.spark, path)
 
-    def clear(self, but: DataFrame | None = None) -> None:
-        """Delete all tables of the run, or all but one."""
-        if but is None:
-            delete_path(self.spark, self.root)
-            return
-        last = self._paths[id(but)]
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.listStatus(fs_path(self.root)):
-            if status.getPath().getName() != last.rsplit("/", 1)[-1]:
-                fs.delete(status.getPath(), True)
+    def clear(self, but: tuple[DataFrame, ...] = ()) -> None:
+        """Delete the tables of the run, all but the named ones, and let the session drop the shuffle
+        files of plans that are done."""
+        kept = {self._paths[id(df)].rsplit("/", 1)[-1] for df in but}
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not kept:
+            fs.delete(root, True)
+        else:
+            for status in fs.listStatus(root):
+                if status.getPath().getName() not in kept:
+                    fs.delete(status.getPath(), True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def ship_code(spark: SparkSession) -> None:
