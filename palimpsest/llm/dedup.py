@@ -5,7 +5,7 @@ from the content alone, so an edit moves only the boundaries next to it.  One of
 the words ordered by hash, since texts match by their words whatever the order.  Chunk hashes go to
 a persistent chunk-to-record table; records that share chunks get the total of shared bytes;
 pairs whose shared bytes cover enough of the longer record are candidates; candidates are
-verified on the words themselves; the chunks of accepted records are appended.
+verified on all their words; the chunks of accepted records are appended.
 
 Scattered edits leave few whole chunks, and chunks of more than ``hot_chunk`` records (boiler-plate)
 count for nothing, so chunks alone lose matches.  Every record therefore also meets others by its
@@ -15,7 +15,8 @@ words drop the pairs that differ too much; neither step drops a pair that matche
 
 A batch costs passes over the batch, and one scan of the key columns of the stored tables in those
 hash buckets that the batch touches, against a broadcast of the batch's keys (behind a check of
-its size).  Texts of the history are read in the buckets of candidates only.
+its size).  Texts are read once; of the history only the words of candidates are read again, as
+hashes, in the buckets they lie in.
 
 Result for the unusual cases
 * null id, null or blank content, null time, fewer than ``min_words`` words: not taken, no row.
@@ -53,7 +54,7 @@ BAG_FAMILY = 2
 
 SIGNATURE = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, chunks array<struct<h:long,bytes:int>>, tokens array<int>"
 
-PREFIXES = "k int, rid long, id string, ts long, n_words int, s0 long, s1 long, s2 long, s3 long"
+PREFIXES = "k int, rid long, n_words int, s0 long, s1 long, s2 long, s3 long"
 
 
 @dataclass(frozen=True)
@@ -331,11 +332,11 @@ def prefix_postings(reps: DataFrame, order: DataFrame, params: ChunkParams) -> D
             # the position in the sorted run is the position in the text's range, as runs keep their place
             owner = pa.array(doc[taken])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[taken]), *(batch.column(c).take(owner) for c in ("rid", "id", "ts", "n_words")), *(pa.array(s[doc[taken]]) for s in sketch)],
-                names=["k", "rid", "id", "ts", "n_words", "s0", "s1", "s2", "s3"],
+                [pa.array(token[taken]), batch.column("rid").take(owner), batch.column("n_words").take(owner), *(pa.array(s[doc[taken]]) for s in sketch)],
+                names=["k", "rid", "n_words", "s0", "s1", "s2", "s3"],
             )
 
-    return reps.select("rid", "id", "ts", "n_words", "tokens").mapInArrow(run, PREFIXES)
+    return reps.select("rid", "n_words", "tokens").mapInArrow(run, PREFIXES)
 
 
 def _close(rid: np.ndarray, n: np.ndarray, s: np.ndarray, left: np.ndarray, right: np.ndarray | None, params: ChunkParams):
@@ -466,25 +467,7 @@ def exact_pairs(postings: DataFrame, params: ChunkParams, scratch: Scratch) -> D
     return sorted_.mapInArrow(run, "a long, b long, old boolean").distinct()
 
 
-def _numbered_words(texts: DataFrame) -> DataFrame:
-    """rid -> words numbered by repeat, so that set intersection is bag intersection."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column("content").to_pylist():
-                seen: dict[str, int] = {}
-                row = []
-                for w in words(text):
-                    seen[w] = k = seen.get(w, 0) + 1
-                    row.append(w if k == 1 else f"{w}\x1f{k}")
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), batch.column("ts"), pa.array(out, pa.list_(pa.string()))], names=["rid", "id", "ts", "w"])
-
-    return texts.select("rid", "id", "ts", "content").mapInArrow(run, "rid long, id string, ts long, w array<string>")
-
-
-def word_matches(postings: DataFrame, texts: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
+def word_matches(postings: DataFrame, records: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
     """Candidates (a, b, old) by rare words over ``postings`` (those of ``prefix_postings`` with
     ``old``): all pairs that may match, but for pairs of records that are copies for certain."""
     free = postings.withColumn("free", F.lit(True))
@@ -492,13 +475,13 @@ def word_matches(postings: DataFrame, texts: DataFrame, params: ChunkParams, scr
     if crowded.isEmpty():
         return exact_pairs(free, params, scratch)
     known = F.broadcast(crowded)  # at most postings / crowd rows
-    first = postings.join(known, "k").groupBy("k").agg(F.min(F.struct("ts", "id", "rid")).alias("first"))
+    first = postings.select("k", "rid").join(known, "k").join(records.select("rid", "ts", "id"), "rid").groupBy("k").agg(F.min(F.struct("ts", "id", "rid")).alias("first"))
     leaders = scratch.keep(first.select("first.rid", F.lit(True).alias("leads")).distinct(), "leaders")
     marked = scratch.keep(postings.join(F.broadcast(leaders), "rid", "left").withColumn("free", F.coalesce("leads", F.lit(False))).drop("leads"), "led")
     # only words that a leader holds can bring a pair
     held = marked.where("free").select("k").distinct()
     led = scratch.keep(exact_pairs(marked.join(held, "k", "left_semi"), params, scratch), "led-pairs")
-    matches = scratch.keep(verified(led, texts, params, scratch), "led-matches").select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
+    matches = scratch.keep(verified(led, records, params, scratch), "led-matches").select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
     # a leader without an earlier match is accepted whatever comes
     sure = leaders.select(F.col("rid").alias("a")).join(matches.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     copies = scratch.keep(matches.join(F.broadcast(sure), "a").select(F.col("b").alias("rid"), F.lit(True).alias("copy")).distinct(), "sure-copies")
@@ -506,21 +489,17 @@ def word_matches(postings: DataFrame, texts: DataFrame, params: ChunkParams, scr
     return led.unionByName(exact_pairs(scratch.keep(rest, "rest"), params, scratch))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
-    """Exact check: words shared with repeats against the words of the longer text.
+def verified(pairs: DataFrame, records: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
+    """The check of every pair: words shared with repeats against the words of the longer text.
 
-    Returns (a, b) as structs (ts, id, rid), a being the earlier of the two, or the stored one.
+    Words are compared as the 32-bit hashes, numbered by repeat, of ``records(rid, id, ts,
+    tokens)``: two words of a pair of 30 words each clash once in five million pairs, which tells
+    only where the pair is a word short.  Returns (a, b) as structs (ts, id, rid), a being the
+    earlier of the two, or the stored one.
     """
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    if pairs.count() <= params.broadcast_pairs:
-        wanted = F.broadcast(wanted)  # at most two numbers a pair
-    found = texts.where("id is not null and ts is not null and content is not null").select(F.xxhash64("id").alias("rid"), "id", "ts", "content").join(wanted, "rid", "left_semi")
-    # a row delivered twice counts at its earliest time
     place = F.struct("ts", "id", "rid")
-    found = found.groupBy("rid").agg(F.min(place).alias("p"), F.min_by("content", place).alias("content")).select("rid", "p.id", "p.ts", "content")
-    bags = scratch.keep(_numbered_words(found), "bags")
-    left = bags.select(F.col("rid").alias("a"), place.alias("at_a"), F.col("w").alias("w_a"))
-    right = bags.select(F.col("rid").alias("b"), place.alias("at_b"), F.col("w").alias("w_b"))
+    left = records.select(F.col("rid").alias("a"), place.alias("at_a"), F.col("tokens").alias("w_a"))
+    right = records.select(F.col("rid").alias("b"), place.alias("at_b"), F.col("tokens").alias("w_b"))
     # one original may have a third of all records as its copies
     both = lookup(lookup(pairs, left, "a", scratch), right, "b", scratch, hot=hot_keys(pairs, "b", scratch))
     shared = F.size(F.array_intersect("w_a", "w_b"))
@@ -567,7 +546,7 @@ def find_copies(texts: DataFrame, params: ChunkParams = ChunkParams()) -> DataFr
 
 class AcceptedTexts:
     """Persistent state, each table in hash ranges of its key (``bucket``, a partition column):
-    ``records`` (by record: bag, id, text), ``postings`` (by chunk: its records), ``prefixes`` (by
+    ``records`` (by record: id, time, words as hashes), ``postings`` (by chunk: its records), ``prefixes`` (by
     rare word: its records); and ``order``, the frequent words of the first batch.
 
     A batch of any size gives the same decisions, one week or all of them, since records are
@@ -575,7 +554,7 @@ class AcceptedTexts:
     table whose batches left many small files.
     """
 
-    RECORDS = "rid long, id string, ts long, n_words int, bag_a long, bag_b long, n_bytes int, content string, bucket int"
+    RECORDS = "rid long, id string, ts long, tokens array<int>, bucket int"
     POSTINGS = "k long, rid long, n_words int, n_bytes int, bytes int, bucket int"
     PREFIX_ROWS = PREFIXES + ", bucket int"
 
@@ -651,10 +630,12 @@ class AcceptedTexts:
             keys = scratch.keep(prefixes.select("k").distinct(), "word-keys")
             postings = scratch.keep(postings.unionByName(self._touched("prefixes", self.PREFIX_ROWS, keys, "k").withColumn("old", F.lit(True))), "met-words")
         old = scratch.keep(chunked.where("old").select(F.col("a").alias("rid")).union(postings.where("old").select("rid")).distinct(), "met-records") if not empty else None
-        texts = batch if empty else batch.unionByName(self._touched("records", self.RECORDS, old, "rid").select("id", "ts", "content"))
-        by_words = word_matches(postings, texts, p, scratch)
+        known = reps.select("rid", "id", "ts", "tokens")
+        if not empty:
+            known = known.unionByName(scratch.keep(self._touched("records", self.RECORDS, old, "rid"), "met-words-of"))
+        by_words = word_matches(postings, known, p, scratch)
         pairs = scratch.keep(chunked.unionByName(by_words).distinct(), "candidates")
-        matches = scratch.keep(verified(pairs, texts, p, scratch), "verified")
+        matches = scratch.keep(verified(pairs, known, p, scratch), "verified")
         if empty:
             copies = scratch.keep(accept_in_order(matches, scratch), "copies")
         else:
@@ -663,13 +644,13 @@ class AcceptedTexts:
             inner = matches.join(stored, F.col("a.rid") == F.col("rid"), "left_anti")
             copies = scratch.keep(accept_in_order(inner, scratch, settled), "copies")
         out = scratch.keep(self._expand(reps, copies, batch, scratch), "result")
-        # what else was kept is of no use once the state is written
-        accepted = reps.join(copies.select(F.col("b.rid").alias("rid")), "rid", "left_anti")
-        text = batch.where("id is not null").groupBy(F.xxhash64("id").alias("rid")).agg(F.min_by("content", "ts").alias("content"))
-        self._append(accepted.join(text, "rid").select("rid", "id", "ts", "n_words", "bag_a", "bag_b", "n_bytes", "content"), "records", "rid")
-        self._append(prefixes.join(copies.select(F.col("b.rid").alias("rid")), "rid", "left_anti"), "prefixes", "k")
+        copied = copies.select(F.col("b.rid").alias("rid"))
+        accepted = reps.join(copied, "rid", "left_anti")
+        scratch.clear(but=(out, copies, reps, prefixes))
+        self._append(accepted.select("rid", "id", "ts", "tokens"), "records", "rid")
+        self._append(prefixes.join(copied, "rid", "left_anti"), "prefixes", "k")
         self._append(_postings(accepted), "postings", "k")
-        scratch.clear(but=out)
+        scratch.clear(but=(out,))
         return out
 
     def _expand(self, reps: DataFrame, copies: DataFrame, batch: DataFrame, scratch: Scratch) -> DataFrame:
