@@ -1,8 +1,8 @@
 """Problem 6 - items that appear together.
 
-Method: large-basket blocking.  Baskets are cut into chunks of at most ``block`` items; every
-pair of chunks of a basket is one unit of work, so a huge basket is spread over tasks while an
-ordinary basket is one unit; pair counts of all units are combined (partially aggregated before
+Method: large-basket blocking.  Baskets are cut into chunks of at most ``block`` items on their
+array, first of all; every pair of chunks of a basket is one unit of work, so a huge basket is
+spread over tasks while an ordinary basket is one unit; pair counts of all units are combined (partially aggregated before
 the shuffle) and turned into association scores.
 
 An item below the minimum support cannot be in a pair that reaches it, so such items leave
@@ -53,17 +53,29 @@ def baskets_from_json(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return source.mapInArrow(run, "basket string, items array<string>").dropDuplicates(["basket"])
 
 
-def pair_counts(baskets: DataFrame, block: int = 64) -> DataFrame:
-    """(item_a, item_b, together), item_a < item_b, over ``baskets(basket, items)``."""
+def chunks(baskets: DataFrame, block: int = 64) -> DataFrame:
+    """``baskets(basket, items)`` -> (basket, n_chunks, i, items): at most ``block`` items a row."""
     pieces = F.expr(f"transform(sequence(0, cast((size(items) - 1) / {block} as int)), i -> slice(items, i * {block} + 1, {block}))")
-    cut = baskets.select("basket", F.array_sort("items").alias("items")).select("basket", pieces.alias("pieces"))
-    small = cut.where(F.size("pieces") == 1).select(F.col("pieces")[0].alias("left"), F.col("pieces")[0].alias("right"), F.lit(True).alias("same"))
-    large = cut.where(F.size("pieces") > 1).select("basket", F.posexplode("pieces").alias("i", "left"), "pieces")
-    large = large.select("basket", "i", "left", F.posexplode("pieces").alias("j", "right")).where("j >= i")
-    large = large.repartition(F.xxhash64("basket", "i", "j")).select("left", "right", (F.col("i") == F.col("j")).alias("same"))
-    units = small.unionByName(large)
-    pairs = units.select(F.explode("left").alias("item_a"), "right", "same").select("item_a", F.explode("right").alias("item_b"), "same")
-    return pairs.where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together"))
+    cut = baskets.where(F.size("items") > 0).select("basket", pieces.alias("pieces"))
+    return cut.select("basket", F.size("pieces").alias("n_chunks"), F.posexplode("pieces").alias("i", "items"))
+
+
+def pair_counts(parts: DataFrame) -> DataFrame:
+    """(item_a, item_b, together), item_a < item_b, over the rows of ``chunks``.
+
+    A basket of one chunk is paired where it stands.  Of a larger one every chunk goes to the tasks
+    of its chunk pairs, named (basket, i, j); no row and no task holds more than two chunks of it.
+    """
+    small = parts.where("n_chunks = 1").select(F.col("items").alias("one"), F.col("items").alias("other"), F.lit(True).alias("same"))
+    others = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("j")
+    spread = parts.where("n_chunks > 1").select("basket", "i", others, "items")
+    pair = spread.groupBy("basket", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
+    large = pair.agg(F.min_by("items", "i").alias("one"), F.max_by("items", "i").alias("other"), F.count(F.lit(1)).alias("n"))
+    # a chunk that lost all its items leaves its pairs with one side
+    large = large.where("low = high or n = 2").select("one", "other", (F.col("low") == F.col("high")).alias("same"))
+    pairs = small.unionByName(large).select(F.explode("one").alias("x"), "other", "same").select("x", F.explode("other").alias("y"), "same")
+    pairs = pairs.where("x <> y and (not same or x < y)").select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together"))
 
 
 def associations(baskets: DataFrame, min_support: float = 0.001, block: int = 64, broadcast_items: int = 500_000) -> DataFrame:
@@ -77,9 +89,12 @@ def associations(baskets: DataFrame, min_support: float = 0.001, block: int = 64
     # at most (mean basket size) / min_support items; sent to all tasks only behind a check, so that
     # an item of a third of all baskets is not gathered in one task
     small = F.broadcast if frequent.count() <= broadcast_items else (lambda df: df)
-    reduced = kept.select("basket", F.explode("items").alias("item")).join(small(frequent.select("item")), "item")
-    reduced = reduced.groupBy("basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1)
-    pairs = pair_counts(reduced, block).where(F.col("together") >= F.lit(min_support) * n - 1e-9)
+    parts = chunks(kept, block)
+    if min_support > 0:
+        # rare items leave; what is left of a chunk, at most ``block`` items, comes together again
+        single_items = parts.select("basket", "n_chunks", "i", F.explode("items").alias("item")).join(small(frequent.select("item")), "item")
+        parts = single_items.groupBy("basket", "n_chunks", "i").agg(F.collect_list("item").alias("items"))
+    pairs = pair_counts(parts).where(F.col("together") >= F.lit(min_support) * n - 1e-9)
     a = frequent.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = frequent.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
     scored = pairs.join(small(a), "item_a").join(small(b), "item_b").withColumn("n", F.lit(n))

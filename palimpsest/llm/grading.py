@@ -10,7 +10,7 @@ Prose is what a reader reads: front matter, headings, fenced code, tables, page
 and speaker marks are taken off.
 
 Result for the unusual cases
-* null text, no prose, or a kind without a grade: value and grade null.
+* null text, no prose, or a kind without a grade: no row.
 * a text none of whose words occurs elsewhere: value null.  Repeated documents each count.
 * no graded samples: all null.
 
@@ -52,7 +52,10 @@ def prose(text: str) -> str:
 @dataclass(frozen=True)
 class GradeParams:
     word_nodes: int = 1 << 17
-    rounds: int = 3
+    #: rounds go on until the words' values move by no more than ``settled`` on average (weighted
+    #: by their occurrences), or there were ``rounds``
+    rounds: int = 20
+    settled: float = 0.005
     #: weight of all clamped samples together against all documents together
     graded_part: float = 6.0
 
@@ -73,7 +76,7 @@ def word_edges(texts: DataFrame, params: GradeParams) -> DataFrame:
                 key.append(k)
                 grade.append(g)
                 nodes.append(node.astype(np.int32))
-                counts.append(np.minimum(count, 32_767).astype(np.int16))
+                counts.append(count.astype(np.int32))
                 sizes.append(sizes[-1] + len(node))
             if key:
                 offsets = pa.array(np.array(sizes, dtype=np.int32))
@@ -82,7 +85,7 @@ def word_edges(texts: DataFrame, params: GradeParams) -> DataFrame:
                     names=["key", "grade", "nodes", "counts"],
                 )
 
-    return texts.where("key is not null and text is not null").select("key", "text", F.col("grade").cast("double").alias("grade")).mapInArrow(run, "key long, grade double, nodes array<int>, counts array<smallint>")
+    return texts.where("key is not null and text is not null").select("key", "text", F.col("grade").cast("double").alias("grade")).mapInArrow(run, "key long, grade double, nodes array<int>, counts array<int>")
 
 
 def _text_values(batch: pa.RecordBatch, score: np.ndarray, mass: np.ndarray, own: np.ndarray | None, weight: np.ndarray):
@@ -137,9 +140,20 @@ def _propagate(graph: DataFrame, params: GradeParams, sample_weight: float) -> l
         score[at] = got["score"].to_numpy()
         mass[at] = got["mass"].to_numpy()
         history.append((score, mass))
+        if len(history) > 1 and _moved(*history[-2:]) <= params.settled:
+            break
     return history
 
 
+def _moved(before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> float:
+    """Mean change of the words' values over the mass they have after the round; a word without a
+    value before counts whole."""
+    (s0, m0), (s1, m1) = before, after
+    old = np.where(m0 > 0, s0 / np.where(m0 > 0, m0, 1), 0)
+    new = np.where(m1 > 0, s1 / np.where(m1 > 0, m1, 1), 0)
+    return float((np.abs(new - old) * m1).sum() / max(m1.sum(), 1e-12))
+
+
 def current_values(batch: pa.RecordBatch, history: list, sample_weight: float) -> tuple[np.ndarray, np.ndarray]:
     """Each text's value after the rounds so far, and its edge weight: the clamped grade of a
     sample; for a document nothing at first, then the left-out mean of its words."""

@@ -71,9 +71,9 @@ def item_windows(items: DataFrame, id_col: str, text_cols: list[str], window: in
     return all_texts.where("item_id is not null and text is not null").mapInArrow(run, "item_id long, field string, start int, text string, shingles array<long>")
 
 
-def document_shingles(documents: DataFrame, id_col: str, text_col: str, window: int, known: np.ndarray | None) -> DataFrame:
-    """(doc_id, shingle, before, around): the shingles of each document (those in ``known`` if
-    given) with the words around, ``before`` of which stand in front of the shingle."""
+def document_shingles(documents: DataFrame, id_col: str, text_col: str, window: int, known: np.ndarray) -> DataFrame:
+    """(doc_id, shingle, before, around): the shingles of each document that are in ``known``, with
+    the words around, ``before`` of which stand in front of the shingle."""
     reach = window - SHINGLE
 
     def run(batches):
@@ -85,9 +85,7 @@ def document_shingles(documents: DataFrame, id_col: str, text_col: str, window:
                 if len(w) < window:
                     continue
                 s = shingle_hashes(hasher.array(w))
-                if known is None:
-                    at = range(len(s))
-                elif len(known):
+                if len(known):
                     k = np.searchsorted(known, s)
                     at = np.flatnonzero(known[np.minimum(k, len(known) - 1)] == s).tolist()
                 else:
@@ -105,6 +103,49 @@ def document_shingles(documents: DataFrame, id_col: str, text_col: str, window:
     return source.mapInArrow(run, "doc_id long, shingle long, before int, around string")
 
 
+def _around(documents: DataFrame, hits: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """``hits(doc_id, shingle, at)`` with the words around, as ``document_shingles`` gives them."""
+    reach = window - SHINGLE
+
+    def run(batches):
+        for batch in batches:
+            doc, sh, before, around = [], [], [], []
+            for d, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits"))):
+                w = words(text)
+                for hit in found:
+                    p = hit["at"]
+                    a = max(0, p - reach)
+                    doc.append(d)
+                    sh.append(hit["shingle"])
+                    before.append(p - a)
+                    around.append(" ".join(w[a : p + window]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sh, pa.int64()), pa.array(before, pa.int32()), pa.array(around, pa.string())], names=["doc_id", "shingle", "before", "around"])
+
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("shingle", "at")).alias("hits"))  # of one text
+    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(lists, "doc_id")
+    return source.mapInArrow(run, "doc_id long, shingle long, before int, around string")
+
+
+def _positions(documents: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(doc_id, shingle, at): every shingle of every document, hashes alone."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            doc, sh, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                w = words(text)
+                if len(w) >= window:
+                    s = shingle_hashes(hasher.array(w)).view(np.int64)
+                    doc.append(np.full(len(s), d, np.int64))
+                    sh.append(s)
+                    at.append(np.arange(len(s), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (doc, sh, at)], names=["doc_id", "shingle", "at"])
+
+    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    return source.mapInArrow(run, "doc_id long, shingle long, at int")
+
+
 def leaks(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_texts: tuple[str, ...] = ("question", "passage"), window: int = WINDOW, broadcast_shingles: int = 1_000_000, broadcast_windows: int = 500_000,
@@ -118,7 +159,9 @@ def leaks(
         known = np.sort(np.array([r[0] for r in vocabulary.collect()], dtype=np.int64).view(np.uint64))
         met = document_shingles(documents, doc_id, text, window, known)
     else:
-        met = document_shingles(documents, doc_id, text, window, None).join(vocabulary, "shingle", "left_semi")
+        # hashes alone are shuffled; the words around are read where a document has a known shingle
+        hits = scratch.keep(_positions(documents, doc_id, text, window).join(vocabulary, "shingle", "left_semi"), "hits")
+        met = _around(documents, hits, doc_id, text, window)
     met = scratch.keep(met, "document-shingles")
     rarity = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     sized = wins.select("*", F.posexplode("shingles").alias("offset", "shingle")).drop("shingles").join(rarity, "shingle")

@@ -41,23 +41,26 @@ LARGE = 5  # a large length is more than capacity / LARGE
 
 
 @cache
-def tokenizer(folder: str, vocabulary: str):
+def tokenizer(file: str, pattern: str):
     """A public byte-level vocabulary, loaded once a worker."""
     import tiktoken
+    from pyspark import SparkFiles
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers_files", f"{folder}/__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(f"{folder}/{vocabulary}", "rb") as f:
+    with open(SparkFiles.get(file), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of the whole texts."""
+    """(doc_id, n_tokens) of the whole texts.  The vocabulary file travels with the job."""
+    spec = importlib.util.spec_from_file_location("public_tokenizers_files", f"{folder}/__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    pattern = module.PATTERN
+    documents.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
 
     def run(batches):
-        encode = tokenizer(folder, vocabulary).encode_ordinary
+        encode = tokenizer(vocabulary, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -190,3 +193,16 @@ def pack_documents(counts: DataFrame, capacity: int, shard_docs: int = 20_000) -
 
     sharded = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     return sharded.groupBy("shard").applyInPandas(run, "window string, doc_id long, piece long, first_token long, tokens long, pieces long")
+
+
+def fill_rates(counts: DataFrame, capacities: dict[str, int], shard_docs: int = 20_000) -> DataFrame:
+    """(window_name, capacity, documents, windows, tokens, unused): for each capacity the windows
+    that ``pack_documents`` fills and the unused part of their space."""
+    out = None
+    for name, capacity in sorted(capacities.items()):
+        packed = pack_documents(counts, capacity, shard_docs).groupBy("window").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("piece") == 0).alias("documents"))
+        total = packed.agg(F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
+        unused = F.when(F.col("windows") > 0, F.round(1 - F.col("tokens") / (F.col("windows") * capacity), 6))
+        row = total.select(F.lit(name).alias("window_name"), F.lit(capacity).alias("capacity"), "documents", "windows", "tokens", unused.alias("unused"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -113,6 +113,13 @@ def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir, "standard")
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the windows of every capacity come out."""
+    names = {r["window_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "context_windows").select("window_name", "capacity_tokens").distinct().collect()}
+    scratch = Scratch(spark, "fill")
+    return packing.fill_rates(scratch.keep(packing.token_counts(table(spark, sf_dir, "documents")), "lengths"), names)
+
+
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_samples"))
 
@@ -125,7 +132,7 @@ def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(spark, sf_dir).withColumn("value", F.round("value", 3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_last_batch, p2_found, p2_threads, p2_conversations, p4_found, p4_redacted, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p8_found, p8_report, p9_found, p9_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_last_batch, p2_found, p2_threads, p2_conversations, p4_found, p4_redacted, p5_found, p5_neighbours, p6_found, p6_associations, p7_found, p7_windows, p7_fill, p8_found, p8_report, p9_found, p9_grades)}
 
 _ROLES = ", ".join(f"'{k}': '{v}'" for k, v in threads.ROLE_NAMES.items())
 

@@ -27,7 +27,8 @@ def test_counts_with_huge_and_hot_baskets(spark):
     for block in (7, 64):
         got = {(x["item_a"], x["item_b"]): (x["together"], x["n_a"], x["n_b"]) for x in cooccur.associations(df, 0.01, block).collect()}
         assert got == brute(baskets, 0.01)
-    whole = {(x["item_a"], x["item_b"]): x["together"] for x in cooccur.pair_counts(df, 16).collect()}
+    assert max(len(r["items"]) for r in cooccur.chunks(df, 16).collect()) == 16
+    whole = {(x["item_a"], x["item_b"]): x["together"] for x in cooccur.pair_counts(cooccur.chunks(df, 16)).collect()}
     assert whole == {p: c for p, (c, _, _) in brute(baskets, 0).items()}
 
 

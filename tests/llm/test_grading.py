@@ -39,3 +39,18 @@ def test_no_samples_and_no_documents(spark):
     none = spark.createDataFrame([], SAMPLES)
     assert [r["grade"] for r in grading.grade_documents(docs, none).collect()] == [None]
     assert grading.grade_documents(docs.limit(0), none).count() == 0
+
+
+def test_rounds_end_when_values_rest():
+    import numpy as np
+
+    mass = np.array([2.0, 1.0, 0.0])
+    assert grading._moved((mass * 3, mass), (mass * 3, mass)) == 0
+    assert abs(grading._moved((mass * 3, mass), (mass * 4, mass)) - 1) < 1e-9
+    # a word that had no value before
+    assert grading._moved((np.zeros(3), np.zeros(3)), (mass * 2, mass)) == 2
+
+
+def test_counts_beyond_two_bytes(spark):
+    df = spark.createDataFrame([(1, "cat " * 70_000, None)], "key long, text string, grade double")
+    assert grading.word_edges(df, grading.GradeParams()).first()["counts"] == [70_000]

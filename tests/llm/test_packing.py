@@ -70,3 +70,28 @@ def test_all_documents_are_packed_once(spark, data):
     got = packing.pack_documents(counts, 2048)
     total = {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "n").collect()}
     assert total == {r["doc_id"]: r["n_tokens"] for r in counts.collect()}
+
+
+def first_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        for k, room in enumerate(rooms):
+            if room >= n:
+                rooms[k] -= n
+                break
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_fill_of_every_capacity(spark, data):
+    """The lengths of the documents: no more windows than first-fit of the sorted pieces needs, and one."""
+    counts = packing.token_counts(spark.read.parquet(f"{data}/documents.parquet"))
+    rows = packing.fill_rates(counts, {"small": 512, "standard": 2048, "large": 8192}).collect()
+    n = [r["n_tokens"] for r in counts.collect()]
+    for r in rows:
+        c = r["capacity"]
+        pieces = [c] * sum(x // c for x in n) + [x % c for x in n if x % c]
+        assert r["tokens"] == sum(n) and r["documents"] == len(n)
+        assert -(-sum(n) // c) <= r["windows"] <= first_fit_decreasing(pieces, c) + 1
+    assert packing.fill_rates(counts.limit(0), {"small": 512}).first()["windows"] == 0
