@@ -4,8 +4,8 @@ Method: linear grouping scheme.  Lengths above a fifth of the capacity are sorte
 groups of equal cardinality; every length is rounded up to the largest of its group; with few
 sizes and at most four of them in a window, all configurations are listed and the covering
 linear programme over them is solved; its whole part is laid out, the rest by first-fit; then
-the actual documents take the places of their group's size, and the small documents go best-fit
-into what is left.
+actual documents take the places, each the longest that still fits, and the small documents go
+best-fit into what is left; windows that stay loose are filled once more.
 
 A document is cut only if it is longer than the window: into full windows and one remainder.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import itertools
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import cache
 
 import numpy as np
@@ -111,42 +111,53 @@ def cover(columns: np.ndarray, demand: np.ndarray) -> np.ndarray:
 
 def pack(lengths: np.ndarray, capacity: int, groups: int = GROUPS) -> np.ndarray:
     """Window number of each length (all between 1 and the capacity)."""
-    window = np.full(len(lengths), -1, dtype=np.int64)
-    large = np.flatnonzero(lengths * LARGE > capacity)
-    left: list[int] = []
+    full = lengths == capacity
+    window = np.where(full, np.cumsum(full) - 1, -1).astype(np.int64)
+    left = [0] * int(full.sum())
+    large = np.flatnonzero((lengths * LARGE > capacity) & ~full)
     if len(large):
         order = large[np.argsort(-lengths[large], kind="stable")]
         parts = [g for g in np.array_split(order, min(groups, len(order))) if len(g)]
-        tops = np.array([lengths[g[0]] for g in parts])
-        sizes, which = np.unique(tops, return_inverse=True)
-        queues: list[list[int]] = [[] for _ in sizes]
-        for g, w in zip(parts, which):
-            queues[w].extend(g.tolist())
-        for q in queues:
-            q.sort(key=lambda i: lengths[i])
+        sizes, which = np.unique([lengths[g[0]] for g in parts], return_inverse=True)
+        demand = np.bincount(which, weights=[len(g) for g in parts])
         columns = configurations(sizes, capacity)
-        plan = np.floor(cover(columns, np.array([len(q) for q in queues], dtype=np.float64)) + 1e-9).astype(int)
-
-        def open_window(counts: np.ndarray) -> None:
-            room, used = capacity, False
-            for s, n in enumerate(counts):
-                for _ in range(int(n)):
-                    if queues[s]:
-                        i = queues[s].pop()
-                        window[i] = len(left)
-                        room -= int(lengths[i])
-                        used = True
-            if used:
-                left.append(room)
-
-        for c in np.flatnonzero(plan):
+        plan = np.floor(cover(columns, demand) + 1e-9).astype(int)
+        waiting = order[::-1].tolist()
+        size_of = lengths[order[::-1]].tolist()
+        # fullest configurations first; a place takes the longest document that leaves room for the
+        # places after it, at least the one that its group promises
+        for c in sorted(np.flatnonzero(plan), key=lambda c: -(columns[c] @ sizes)):
+            places = np.repeat(sizes, columns[c].astype(int))[::-1].tolist()
             for _ in range(plan[c]):
-                open_window(columns[c].astype(int))
-        rest = sorted((i for q in queues for i in q), key=lambda i: -lengths[i])
-        _best_fit(rest, lengths, window, left, capacity)
+                room, used = capacity, False
+                for k in range(len(places)):
+                    at = bisect_right(size_of, room - sum(places[k + 1 :])) - 1
+                    if at >= 0:
+                        i, n = waiting.pop(at), size_of.pop(at)
+                        window[i], used = len(left), True
+                        room -= n
+                if used:
+                    left.append(room)
+        _best_fit(waiting[::-1], lengths, window, left, capacity)
     small = np.flatnonzero(lengths * LARGE <= capacity)
     _best_fit(small[np.argsort(-lengths[small], kind="stable")].tolist(), lengths, window, left, capacity)
-    return window
+    return _refilled(lengths, window, np.array(left, dtype=np.int64), capacity)
+
+
+def _refilled(lengths: np.ndarray, window: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """Windows with room left, where rounding up was too coarse, are emptied and filled again best-fit
+    from the longest on; that stands if it takes fewer windows."""
+    poor = left * 64 > capacity
+    loose = np.flatnonzero(poor[window]) if len(window) else window
+    if not len(loose):
+        return window
+    again = np.full(len(lengths), -1, dtype=np.int64)
+    rooms: list[int] = []
+    _best_fit(loose[np.argsort(-lengths[loose], kind="stable")].tolist(), lengths, again, rooms, capacity)
+    if len(rooms) >= poor.sum():
+        return window
+    number = np.cumsum(~poor) - 1
+    return np.where(again >= 0, again + (~poor).sum(), number[window])
 
 
 def _best_fit(items: list[int], lengths: np.ndarray, window: np.ndarray, left: list[int], capacity: int) -> None:
