@@ -1,21 +1,25 @@
 """Problem 5 - the most similar vectors of every vector.
 
 Method: collision-counting hashing.  The coordinates of a randomly rotated vector are its single
-projections, kept as small integers.  Vectors are first gathered in cells (three cross-polytope
-hashes, ``tables`` times over).  Within a cell the rows are sorted by one projection; every row's
-query-centred window on it is walked, projections that fall within the radius are counted as
-collisions, and pairs with enough collisions are scored on the codes.  Virtual rehashing: the
-walk is done at a small radius first, and only rows that lack ``k`` neighbours are walked again
-at the full radius.  Survivors are verified with the exact cosine.
+projections.
 
-Neighbours are sought down to ``min_cosine``: the radius and the collision threshold follow from
-it.  The loss is the chance that a pair meets in no table; it is measured against brute force
-in the tests.
+* ``search`` - given queries against all vectors: sorted arrays of each projection, query-centred
+  windows that are expanded by virtual rehashing, collisions counted, vectors beyond the threshold
+  verified with the exact cosine.
+* ``neighbours`` - all vectors as queries, down to ``min_cosine``.  Windows over the whole
+  collection would be quadratic in all, so vectors are first gathered in cells (three
+  cross-polytope hashes, ``tables`` times over).  Within a cell the rows are sorted by one
+  projection; every row's window on it is walked, projections within the radius are counted as
+  collisions, and pairs with enough collisions are scored on small integer codes, first at a small
+  radius, then, for rows that lack ``k`` neighbours, at the full one.  Survivors are verified.
+
+The loss is measured against brute force in the tests.
 
 Result for the unusual cases
 * null, wrong length, a null, NaN or infinite element, all zero: not usable, in no pair.
 * rows delivered twice: once.  Equal vectors: each row's first neighbours, ordered by id.
 * ties in cosine: the smaller id first.  Empty tables: empty result.
+* a query that is no row, or has no usable vector: no row.
 
 Scale and skew: equal vectors are folded before cells are formed.  A cell beyond ``hot_cell``
 rows is cut into blocks and worked off as block pairs in separate tasks.  A row emits at most
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,12 @@ class KnnParams:
     hot_cell: int = 20_000
     #: candidate pairs that may be broadcast for verification (16 bytes each)
     broadcast_pairs: int = 200_000
+    #: search: the first half width of the windows, its growth, base vectors in a sorted shard, and
+    #: queries that are sent to the tasks at once (260 bytes each)
+    first_radius: float = 0.02
+    widening: float = 2.0
+    shard: int = 20_000
+    query_block: int = 50_000
 
     @property
     def sigma(self) -> float:
@@ -106,7 +116,7 @@ def hashed_vectors(rows: DataFrame, params: KnnParams) -> DataFrame:
                     cell = cell * (2 * params.dims) + axis * 2 + (y[line, axis] > 0)
                 cells[:, t] = cell
             raw = [v.tobytes() for v in x]
-            offsets = pa.array(np.arange(0, len(at) * params.tables + 1, params.tables, dtype=np.int32))
+            offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * np.int32(params.tables))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pa.array(at)),
@@ -221,63 +231,118 @@ def _split_hot(cells: DataFrame, params: KnnParams, scratch: Scratch) -> DataFra
     return calm.unionByName(loud)
 
 
-def all_neighbours(rows: DataFrame, params: KnnParams = KnnParams(), block: int = 4096) -> DataFrame:
-    """``rows(id, embedding)``, one row an id -> (id, neighbour, cosine, rank): the ``k`` most
-    similar others of every usable vector, however far away they are.
-
-    Exact: blocks of distinct vectors meet each other block, so the work is quadratic; nothing is
-    shuffled but the blocks and the best of each vector.
+class _Shelf:
+    """Base vectors of one shard, with the sorted array of every single projection."""
+
+    def __init__(self, vh: np.ndarray, x: np.ndarray, rotation: np.ndarray):
+        self.vh = vh
+        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        y = self.unit @ rotation
+        self.order = np.argsort(y, axis=0, kind="stable").T.astype(np.int32)
+        self.value = np.take_along_axis(y, self.order.T, axis=0).T.copy()
+
+    def nearest(self, unit: np.ndarray, y: np.ndarray, top_v: np.ndarray, top_c: np.ndarray, params: KnnParams) -> None:
+        """Bring the best of this shard into one query's running best (``top_v``, ``top_c``).
+
+        The windows around the query start at ``first_radius`` on every projection and are widened
+        by ``widening`` (virtual rehashing): only what a window gains is counted.  A vector that
+        collides on ``threshold`` projections is verified once.  The query ends when the windows
+        are as wide as neighbours at the distance of its k-th best are apart, or hold everything.
+        """
+        m = params.dims
+        hits = np.zeros(len(self.vh), dtype=np.int16)
+        seen = np.zeros(len(self.vh), dtype=bool)
+        low = high = None
+        radius = params.first_radius
+        while True:
+            new_low = np.array([self.value[j].searchsorted(y[j] - radius) for j in range(m)])
+            new_high = np.array([self.value[j].searchsorted(y[j] + radius, "right") for j in range(m)])
+            for j in range(m):
+                if low is None:
+                    hits[self.order[j, new_low[j] : new_high[j]]] += 1
+                else:
+                    hits[self.order[j, new_low[j] : low[j]]] += 1
+                    hits[self.order[j, high[j] : new_high[j]]] += 1
+            low, high = new_low, new_high
+            at = np.flatnonzero((hits >= params.threshold) & ~seen)
+            if len(at):
+                seen[at] = True
+                c = self.unit[at] @ unit
+                if len(at) > len(top_v):
+                    best = np.argpartition(-c, len(top_v) - 1)[: len(top_v)]
+                    at, c = at[best], c[best]
+                both_c, both_v = np.concatenate([top_c, c]), np.concatenate([top_v, self.vh[at]])
+                best = np.argsort(-both_c, kind="stable")[: len(top_v)]
+                top_c[:], top_v[:] = both_c[best], both_v[best]
+            # the vector itself is among the best, so the k-th neighbour stands at k
+            kth = top_c[params.k]
+            enough = 2 * math.sqrt(max(0.0, 2 - 2 * kth) / m) if np.isfinite(kth) else math.inf
+            if radius >= enough or (low == 0).all() and (high == len(self.vh)).all():
+                return
+            radius = min(radius * params.widening, enough) if radius * params.widening < 2 else 2.0
+
+
+def search(queries: DataFrame, rows: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
+    """``queries(id)``, ``rows(id, embedding)``, one row an id -> (id, neighbour, cosine, rank): the
+    ``k`` most similar others of every query that has a usable vector, however far away.
+
+    Collision counting over single projections: every task sorts its shards of the base on each
+    projection and lets all queries of a block expand their windows there.  Queries are worked off
+    in blocks of ``query_block`` distinct vectors, the bound of what is sent to the tasks; a task
+    returns its best of each query.
     """
-    scratch = Scratch(rows.sparkSession, "knn-all")
-    hashed = scratch.keep(hashed_vectors(rows, params).select("vh", "id", "vec"), "hashed")
+    scratch = Scratch(rows.sparkSession, "knn-search")
+    hashed = scratch.keep(hashed_vectors(rows, replace(params, tables=0)).select("vh", "id", "vec"), "hashed")
     members = hashed.select("vh", "id").distinct()
-    vectors = hashed.groupBy("vh").agg(F.first("vec").alias("vec"))
-    blocks = max(1, math.ceil(vectors.count() / block))
-    packed = vectors.groupBy(F.pmod(F.xxhash64("vh"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vh", "vec")).alias("rows"))
-    packed = scratch.keep(packed.select("block", F.col("rows.vh").alias("vhs"), F.col("rows.vec").alias("vecs")), "blocks")
+    vectors = scratch.keep(hashed.groupBy("vh").agg(F.first("vec").alias("vec")), "vectors")
+    asked = scratch.keep(hashed.join(queries.select("id").distinct(), "id").select("vh", "id"), "asked")
+    blocks = max(1, math.ceil(asked.select("vh").distinct().count() / params.query_block))
+    wanted = scratch.keep(vectors.join(asked.select("vh").distinct(), "vh").withColumn("block", F.pmod(F.xxhash64("vh"), F.lit(blocks)).cast("int")), "queries")
+    found = None
+    for block in range(blocks):
+        part = _searched(vectors, wanted.where(F.col("block") == block), params)
+        found = part if found is None else found.unionByName(part)
+    both = scratch.keep(found.where("u <> v"), "found")
+    return _ranked(both, members, params, scratch, asked)
 
-    def unit(vecs: pa.Array) -> np.ndarray:
-        x = np.frombuffer(b"".join(vecs.to_pylist()), dtype=np.float32).reshape(-1, params.dims).astype(np.float64)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def run(batches):
-        held, u, top_v, top_c = None, None, None, None
+def _decoded(vecs: pa.Array, params: KnnParams) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs.to_pylist()), dtype=np.float32).reshape(-1, params.dims).astype(np.float64)
+
 
-        def told():
-            good = top_v != u[:, None]
-            good &= np.isfinite(top_c)
-            i, j = np.nonzero(good)
-            return pa.RecordBatch.from_arrays([pa.array(u[i]), pa.array(top_v[i, j]), pa.array(top_c[i, j])], names=["u", "v", "cosine"])
+def _searched(vectors: DataFrame, queries: DataFrame, params: KnnParams) -> DataFrame:
+    """(u, v, cosine): each query's best of every task; the query itself may be among them."""
+    block = queries.select("vh", "vec").toArrow()  # about ``query_block`` vectors
+    q_vh = block.column("vh").to_numpy()
+    q = _decoded(block.column("vec").combine_chunks(), params) if len(q_vh) else np.empty((0, params.dims))
+    sent = vectors.sparkSession.sparkContext.broadcast((q_vh, q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+    def run(batches):
+        vh, unit = sent.value
+        rotation = rotations(params, 1)[0].astype(np.float64)
+        turned = unit @ rotation
+        top_v = np.zeros((len(vh), 2 * params.k + 1), dtype=np.int64)
+        top_c = np.full(top_v.shape, -np.inf)
+        waiting, held = [], 0
+
+        def work():
+            shelf = _Shelf(np.concatenate([v for v, _ in waiting]), np.concatenate([x for _, x in waiting]), rotation)
+            for i in range(len(vh)):
+                shelf.nearest(unit[i], turned[i], top_v[i], top_c[i], params)
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                block = batch.column("block")[r].as_py()
-                if block != held:
-                    if held is not None:
-                        yield told()
-                    held, u, x = block, batch.column("vhs")[r].values.to_numpy(), unit(batch.column("vecs")[r].values)
-                    # the vector itself may be among them
-                    top_v = np.zeros((len(u), 2 * params.k + 1), dtype=np.int64)
-                    top_c = np.full(top_v.shape, -np.inf)
-                v, y = batch.column("vhs_b")[r].values.to_numpy(), unit(batch.column("vecs_b")[r].values)
-                take = min(top_v.shape[1], len(v))
-                for a in range(0, len(u), 512):
-                    cosine = x[a : a + 512] @ y.T
-                    near = np.argpartition(-cosine, take - 1, axis=1)[:, :take]
-                    c = np.hstack([top_c[a : a + 512], np.take_along_axis(cosine, near, axis=1)])
-                    w = np.hstack([top_v[a : a + 512], v[near]])
-                    best = np.argpartition(-c, top_v.shape[1] - 1, axis=1)[:, : top_v.shape[1]]
-                    top_c[a : a + 512], top_v[a : a + 512] = np.take_along_axis(c, best, axis=1), np.take_along_axis(w, best, axis=1)
-        if held is not None:
-            yield told()
-
-    other = packed.select(F.col("vhs").alias("vhs_b"), F.col("vecs").alias("vecs_b"))
-    # one partition on the right, so that a block meets all others in one task, one after the other
-    other = other.coalesce(1)
-    met = packed.select("block", "vhs", "vecs").repartition(blocks).hint("shuffle_replicate_nl").crossJoin(other)
-    near = Window.partitionBy("u").orderBy(F.col("cosine").desc(), "v")
-    best = met.mapInArrow(run, "u long, v long, cosine double").withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * params.k).drop("r")
-    return _ranked(scratch.keep(best, "best"), members, params, scratch)
+            if batch.num_rows:
+                waiting.append((batch.column("vh").to_numpy(), _decoded(batch.column("vec"), params)))
+                held += batch.num_rows
+            if held >= params.shard:
+                work()
+                waiting, held = [], 0
+        if held:
+            work()
+        i, j = np.nonzero(np.isfinite(top_c))
+        yield pa.RecordBatch.from_arrays([pa.array(vh[i]), pa.array(top_v[i, j]), pa.array(top_c[i, j])], names=["u", "v", "cosine"])
+
+    return vectors.select("vh", "vec").mapInArrow(run, "u long, v long, cosine double")
 
 
 def neighbours(rows: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
@@ -294,8 +359,8 @@ def neighbours(rows: DataFrame, params: KnnParams = KnnParams()) -> DataFrame:
     return _ranked(both, members, params, scratch)
 
 
-def _ranked(both: DataFrame, members: DataFrame, params: KnnParams, scratch: Scratch) -> DataFrame:
-    """From distinct vectors ``both(u, v, cosine)`` to the rows that hold them."""
+def _ranked(both: DataFrame, members: DataFrame, params: KnnParams, scratch: Scratch, asked: DataFrame | None = None) -> DataFrame:
+    """From distinct vectors ``both(u, v, cosine)`` to the rows that hold them, or those ``asked``."""
     by_id = Window.partitionBy("vh").orderBy("id")
     heads = members.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= params.k + 1)
     heads = scratch.keep(heads.select("vh", "id"), "heads")
@@ -305,7 +370,7 @@ def _ranked(both: DataFrame, members: DataFrame, params: KnnParams, scratch: Scr
     own = heads.groupBy("vh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("vh").alias("own"), "vh", F.lit(1.0).alias("cosine"))
     groups = near_groups.unionByName(own).join(heads, "vh").select(F.col("own").alias("vh"), F.col("id").alias("neighbour"), "cosine")
     lists = groups.groupBy("vh").agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), F.col("neighbour").alias("id"))).alias("near"))
-    found = members.join(lists, "vh").select("id", F.slice(F.array_sort(F.filter("near", lambda x: x["id"] != F.col("id"))), 1, params.k).alias("near"))
+    found = (members if asked is None else asked).join(lists, "vh").select("id", F.slice(F.array_sort(F.filter("near", lambda x: x["id"] != F.col("id"))), 1, params.k).alias("near"))
     return found.select("id", F.posexplode("near").alias("rank", "n")).select("id", F.col("n.id").alias("neighbour"), (-F.col("n.far")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 

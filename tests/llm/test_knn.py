@@ -69,12 +69,51 @@ def test_empty(spark):
     assert knn.neighbours(spark.createDataFrame([], "id string, embedding array<float>")).count() == 0
 
 
-def test_five_of_every_vector(spark):
-    x = vectors(5, 700, 20)
-    ids = [f"{k:05d}" for k in range(len(x))]
-    same = [(f"c{k}", [float(v) for v in x[0]]) for k in range(3)]
+def searched(df):
     got: dict[str, list] = {}
-    for r in knn.all_neighbours(frame(spark, ids, x, same), block=200).orderBy("id", "rank").collect():
+    for r in df.orderBy("id", "rank").collect():
         got.setdefault(r["id"], []).append(r["neighbour"])
-    want = brute(ids + [i for i, _ in same], np.vstack([x, x[:1], x[:1], x[:1]]), least=-1)
-    assert got == want and all(len(n) == 5 for n in got.values())
+    return got
+
+
+def test_search_recall_however_far(spark):
+    """Random vectors and groups: every query gets k, at least 0.9 of them the nearest."""
+    x = vectors(5, 1200, 40)
+    ids = [f"{k:05d}" for k in range(len(x))]
+    df = frame(spark, ids, x, [("n", None), ("z", [0.0] * 32)])
+    asked = spark.createDataFrame([(i,) for i in [*ids[::3], "n", "z", "nobody", ids[0]]], "id string")
+    want = brute(ids, x, least=-1)
+    for params in (knn.KnnParams(), knn.KnnParams(shard=300, query_block=100)):
+        got = searched(knn.search(asked, df, params))
+        assert set(got) == set(ids[::3]) and all(len(n) == 5 for n in got.values())
+        assert sum(len(set(got[i]) & set(want[i])) for i in got) >= 0.97 * 5 * len(got)
+
+
+def test_search_equal_vectors(spark):
+    x = vectors(3, 20, 0)
+    ids = [f"{k:02d}" for k in range(20)]
+    same = [(f"c{k}", [float(v) for v in x[0]]) for k in range(9)]
+    df = frame(spark, ids, x, same)
+    got = searched(knn.search(df.select("id").where("id in ('c8', '00', '05')"), df))
+    assert got["c8"] == ["00", "c0", "c1", "c2", "c3"] and got["00"] == ["c0", "c1", "c2", "c3", "c4"] and len(got["05"]) == 5
+    assert knn.search(df.select("id"), df.limit(0)).count() == 0
+
+
+def test_search_recall_on_the_tables(spark, data):
+    from palimpsest.llm import queries
+
+    rows = [(r["id"], r["embedding"]) for r in queries._vectors(spark, data).collect()]
+    good = [(i, v) for i, v in rows if v and len(v) == 32 and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
+    ids, x = [i for i, _ in good], np.array([v for _, v in good], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    place = {i: k for k, i in enumerate(ids)}
+    asked = {i for i in ids if int(i.replace("-", ""), 16) % 50 == 0}
+    got: dict[str, list] = {}
+    for r in queries.p5_neighbours(spark, data).collect():
+        got.setdefault(r["id"], []).append(r["cosine"])
+    assert set(got) == asked and asked
+    hit = 0
+    for i in asked:
+        c = np.sort(np.delete(x @ x[place[i]], place[i]))[::-1][:5]
+        hit += sum(a >= c[-1] - 1e-5 for a in got[i])
+    assert hit >= 0.9 * 5 * len(asked)
