@@ -7,6 +7,7 @@ Sentences with personal data in many formats and contexts, and sentences with wh
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 ONSETS = "b br c cl d dr f fl g gr h j k kl l m n p pl qu r s sk st t tr v w z".split()
@@ -105,6 +106,8 @@ class Maker:
         r, n = self.r, self.r.randint(1, 240)
         s, city, code = self.word().capitalize(), self.word().capitalize() + r.choice(("mouth", "haven", "stead", "burgh", "minster")), self.digits(5)
         k = r.random()
+        if k > 0.95:
+            return f"{r.choice(('P.O. Box', 'PO Box', 'P. O. Box'))} {self.digits(r.randint(2, 5))}{r.choice(('', f', {city}', f', {city} {code}'))}"
         if k < 0.5:
             num = f"{n}{r.choice(('', '', 'A', 'B', 'C'))}"
             flat = f"Flat {r.randint(1, 40)}, " if r.random() < 0.2 else ""
@@ -117,55 +120,61 @@ class Maker:
             return f"calle {s} {n}, {code} {city}"
         return f"{s}{r.choice(('weg', 'straße', 'gasse', 'allee'))} {n}, {code} {city}"
 
-    def personal(self) -> list[tuple[str, str | None]]:
-        """Pieces of a sentence, each with its kind or None."""
-        r, noun, svc = self.r, self.r.choice(NOUNS), f"{self.word()}-{self.r.choice(('hub', 'api', 'core', 'queue'))}"
-        n, e, p, a = (self.name(), "name"), (self.email(), "email"), (self.phone(), "phone"), (self.address(), "address")
-        label, num = self.id_number()
-        i = (num, "id_number")
-        at = ("@" if r.random() < 0.1 and n[0][0].isupper() else "", None)
-        bracket = r.choice((("(", ")"), ("<", ">"), ("(<", ">)"), ("", "")))
-        forms = [
-            [("Regards, ", None), n], [("Thanks, ", None), n], [("Could you tell ", None), at, n, (f" that {svc} is back?", None)],
-            [("Please loop in ", None), at, n, (f" before the {noun} review.", None)], [("Remember that ", None), n, (f" prefers the {noun}.", None)],
-            [at, n, (f" asked for the {noun}, write to ", None), e, (" when it is ready.", None)], [at, n, (f" asked about the {noun}.", None)],
-            [("My name is ", None), n, (" and I live at ", None), a, (".", None)], [("The invoice goes to ", None), n, (", ", None), a, (".", None)],
-            [("New hire ", None), n, (f", {label}", None), i, (f", starts with the {noun} crew.", None)],
-            [("Forwarded by ", None), at, n, (f" {bracket[0]}", None), e, (f"{bracket[1]}.", None)], [n, (" | ", None), p, (" | ", None), e],
-            [("Text ", None), p, (" and ask for ", None), n, (".", None)], [("Contact on file is ", None), e, (", backup ", None), p, (".", None)],
-            [("You can call me on ", None), p, (f" if {svc} goes down.", None)], [("Their desk line is ", None), p, (f" since the {noun} move.", None)],
-            [("The courier wants ", None), p, (" and ", None), a, (" on the label.", None)], [("Ship the spare board to ", None), a, (" this week.", None)],
-            [("I moved, so save ", None), a, (" as home.", None)], [("Please send it to ", None), a, (".", None)],
-            [(f"For the badge they need {label}", None), i, (" on the form.", None)], [(f"Payroll still lists {label}", None), i, (" for me.", None)],
-            [("Account recovery used ", None), e, (f" with {label}", None), i, (".", None)], [("cc ", None), e, (f" on the {noun} thread.", None)],
-            [("Mail ", None), e, (f" about the {noun}.", None)], [("Hi ", None), n, (f", the {noun} is ready.", None)], [("Ring ", None), p, (" after six.", None)],
-            [("We met ", None), n, (" yesterday.", None)], [(f"My {label or 'SSN '}is ", None), i, (".", None)],
-        ]
-        return r.choice(forms)
-
-    def harmless(self) -> str:
+    def piece(self, slot: str) -> tuple[str, str | None]:
+        """The text of a slot of a frame, and its kind if it is personal."""
         r, d, w = self.r, self.digits, self.word
-        W = (self.word() if r.random() < 0.8 else r.choice(self.given + self.family)).capitalize()
-        noun, prod, verb = r.choice(NOUNS), f"{self.word().capitalize()} {r.choice(PRODUCTS)}", r.choice(VERBS)
-        svc = f"{w()}-{r.choice(('hub', 'api', 'core', 'queue', 'lens'))}"
-        given = r.choice(self.given)
-        forms = (
-            f"Log in as root@{w()} on port {d(r.randint(2, 4))}, run job {d(4)}-{d(2)}-{d(3)} and see how {svc} {verb} the {noun}.",
-            f"Our {noun} uses @{w()}/{w()}@{r.randint(0, 9)}.{r.randint(0, 20)} now, and {w()} {verb} the {noun} within {d(3)} edges.",
-            f"Lane {d(r.randint(1, 4))} of {W} {noun} at 10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)} {verb} {d(3)} rows for {prod} on 2025-0{r.randint(1, 9)}-1{r.randint(0, 9)}T{r.randint(10, 23)}:{r.randint(10, 59)}Z.",
-            f"Host 10.{r.randint(0, 255)}.{r.randint(100, 255)}.{r.randint(100, 255)} logged {d(4)} reads for {w()} when {svc} {verb} its {noun}.",
-            f"Ask {prod} for the {noun}, since {W} {noun} lists {d(4)} shards under build {d(4)}-{d(2)}-{d(3)}.",
-            f"Ticket {w()[:3].upper()}-{d(5)} says the {noun} from {w()} was {verb} at 2025-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}Z by {svc}.",
-            f"For {prod} we prefer a {noun} with {d(2)} nodes, since {w()} made every {noun} slow.", f"Commit {r.getrandbits(28):07x} {verb} the {noun} in {svc}, so {w()} returns {d(4)} rows.",
-            f"Between 2025-0{r.randint(1, 9)}-{r.randint(10, 28)}T10:23Z and 2025-1{r.randint(0, 2)}-{r.randint(10, 28)}T17:14Z the {noun} of {w()} went from {d(2)}.{d(1)} to {d(3)} rows.",
-            f"I {verb} the {noun} named {given if r.random() < 0.3 else w()}, then moved {svc} to v{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 30)} and left it alone.",
-            f"Without a {noun}, {given if r.random() < 0.3 else w()} {verb} {d(4)} sessions and {prod} showed a {noun}.", f"Please remember that {prod} wants {d(4)} hops per {noun}.",
-            f"It looks like {given if r.random() < 0.3 else w()} {verb} the {noun}, which left {d(3)} rows inside {svc}.", f"See {w()[:3].upper()}-{d(5)}, {r.getrandbits(28):07x} and {svc}.",
-            f"Trace {r.getrandbits(28):07x} {w()} {w()[:3].upper()}-{d(5)}", f"({W} CI, {self.word().capitalize()})", f"({W}, {self.word().capitalize()}{r.choice(('js', 'db', '', 'ops'))})", f"({w()}, {svc}, {r.getrandbits(28):07x}, OPS-{d(5)}, v{d(1)}.{d(2)}.{d(1)})",
-            f"Setting {w()}_{noun} to {d(4)} {verb} the {noun}, yet {svc} is still slow.", f"{w()}/{svc}#{r.getrandbits(28):07x}: the {noun} was {verb}.", f"Order {d(8)} and batch {d(9)} are in the {noun}.",
-            f"The parcel {w()[:2].upper()}{d(9)}{w()[:2].upper()} left.", f"We meet at noon. Dot the list in {w()} at {w()} today.", f"Sum {d(3)} {d(3)} {d(3)} bytes.", f"The {noun} at {svc} ran {d(10)} ms.",
-        )
-        return r.choice(forms)
+        if slot in ("email", "phone", "address"):
+            return getattr(self, slot)(), slot
+        if slot == "name":
+            return self.name(), "name"
+        if slot == "handle":
+            return self.name().title(), "name"
+        if slot == "number":
+            return self.label_and_number[1], "id_number"
+        if slot == "label":
+            return self.label_and_number[0], None
+        word = w() if r.random() < 0.8 else r.choice(self.given + self.family)
+        plain = {
+            "noun": lambda: r.choice(NOUNS), "verb": lambda: r.choice(VERBS), "word": lambda: word, "Word": lambda: word.capitalize(), "WORD": lambda: w()[:3].upper(),
+            "prod": lambda: f"{word.capitalize()} {r.choice(PRODUCTS)}", "svc": lambda: f"{w()}-{r.choice(('hub', 'api', 'core', 'queue', 'lens'))}", "hex": lambda: f"{r.getrandbits(28):07x}",
+            "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "ver": lambda: f"{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 30)}", **{f"d{n}": lambda n=n: str(r.randint(1, 9)) + d(n - 1) for n in (2, 3, 4, 5)},
+            "big": lambda: str(r.randint(1, 9)) + d(r.randint(6, 11)), "run": lambda: f"{d(4)}-{d(2)}-{d(3)}", "time": lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}Z",
+        }
+        return plain[slot](), None
+
+    def sentence(self, frame: str) -> list[tuple[str, str | None]]:
+        """Pieces of a frame, each with its kind or None."""
+        self.label_and_number = self.id_number()
+        parts = re.split(r"{(\w+)}", frame)
+        return [self.piece(p) if k % 2 else (p, None) for k, p in enumerate(parts) if k % 2 or p]
+
+
+#: frames with personal data; slots are filled by ``Maker.piece``
+PERSONAL = (
+    "Yours, {name}", "Cheers, {name}", "-- {name}", "Best wishes\n{name}", "{name} called twice about the {noun}.", "Yesterday {name} explained why {svc} stalls.", "I owe {name} a coffee.",
+    "Is {name} back from leave?", "Our accountant is {name}, reachable at {email}.", "@{handle} can you look at the {noun}?", "Thank you @{handle} for the quick help.", "{name} <{email}>", "From: {name} ({email})",
+    "{name}, {phone}, {email}", "{name} - {phone}", "Meeting with {name} at four.", "According to {name} the {noun} was never {verb}.", "Let us ask whether {name} still owns {svc}.", "My sister {name} rents {address}.",
+    "Dear {name}, your {noun} has been {verb}.", "Hello {name}, welcome aboard.", "{name} has moved to {address} with the kids.", "Patient: {name}, {label}{number}", "{name} signed, {label}{number}.", "Reviewed by {name} on Tuesday.",
+    "{name} said yes, {name} said no.", "Drop a note to {email} once {svc} is up.", "Invite {email} and {email} as well.", "address for replies: {email}", "{email} bounced again.", "Her mailbox, {email}, is full.",
+    "{phone} is good all week.", "we wrote down {phone} for {name}", "the front desk has {phone} now", "{name} / {phone} / {email}", "is {phone} still right?", "{phone} rings but no one is there", "leave {phone} with the driver", "{name} gave me {phone} and {address}",
+    "{name}: {phone}", "since June it is {phone}", "{email}, {phone}", "say {phone} if they ask", "{phone}", "My new number: {phone}", "Tel. {phone}", "Fax {phone}, or phone {phone} at night.", "If nobody answers try {phone}.", "On call today: {phone}", "voicemail left at {phone} by {name}", "Mobile {phone}, office {phone}.",
+    "Our flat is at {address}, second floor.", "Billing address: {address}", "The workshop on {address} closes at noon.", "Come by {address} tonight.", "She lives at {address}.", "write to us at {address}", "Parcel returned from {address}.", "Registered office {address}",
+    "{label}{number} was printed on the letter.", "They typed {label}{number} into the chat.", "applicant with {label}{number}", "copy of {label}{number} attached", "Please check {label}{number} against the file.",
+    "Kontakt: {name}, {email}", "Merci de prévenir {name} au {phone}.", "Wohnhaft {address}", "Vive en {address} desde mayo.", "Llama a {name}: {phone}",
+)
+
+#: frames with what looks alike
+HARMLESS = (
+    "ssh deploy@{word} -p {d4}", "{word}@{svc}:~$ tail -n {d3} {noun}.log", "git@{word}:{word}/{svc}", "user admin@{word} may restart run {run}", "npm i @{word}/{word}@{ver}", "bump @{word}/{svc} to {ver}, see {WORD}-{d5}",
+    "ping {ip} took {d3} ms", "{ip} and {ip} answer, {ip} does not", "listening on {ip}:{d4}", "upgrade {svc} from {ver} to {ver}", "v{ver} broke the {noun} of {word}", "revert {hex}, keep {hex}", "{svc}#{hex} {verb} {d4} keys",
+    "pipeline {run} failed at {time}", "job {run} of {Word} {noun} used {d4} MB", "{time} {svc} {verb} {d3} of {d4} rows", "from {time} until {time} nothing was {verb}", "{WORD}-{d5} duplicates {WORD}-{d5}",
+    "{prod} now reads {noun} files", "we bought {prod} instead of {prod}", "is {prod} faster than {Word}?", "{Word} {noun} grew by {d2} percent", "the {noun} called {word} was {verb} twice", "{word} and {word} share one {noun}",
+    "order {big} is paid", "tracking code {big}", "error {d4}: {noun} {big} not found", "offset {big} of partition {d2}", "size {d3} {d3} {d3} bytes", "{d4} {d4} {d4} samples in {word}", "ratio {d2}.{d3} after {d4} steps",
+    "lines {d3}-{d3} and {d3}-{d4}", "{d2}/{d2}/{d4} {d2}:{d2} backup done", "the {Word} branch was {verb}", "new cluster: {word}{d2}, zone {word}-{d2}", "{Word} wrote nothing to disk", "({Word}, {Word}, {word}js)", "{Word} CI is green",
+    "kubectl get pod {svc}-{hex} on {word}", "{svc} answers at {word} today", "look at noon, stop at {word}", "the {noun} was {verb} at {time} by {svc}", "{word} {verb} at {time}", "seen at {d2}:{d2} at {svc}", "{verb} at {time}, {verb} at {time}", "it {verb} at {d2} rows", "alert at {time} for {word}", "Class{Word} extends {Word}Base", "row {d5}, column {d3}: {noun}", "set {word}_{noun}={d4}", "trace {hex} {word} {WORD}-{d5}",
+    "retry {d2} of {d3} in queue {word}", "way {d2} through the {noun}", "road {d2} of the {prod} plan", "drive {d2} of {svc} is full", "Drive {d3} at {ip} was {verb}", "close {d4} {noun}s", "row {d4} of {Word} {noun}", "Court {d2} of {prod}", "square {d2}, square {d3}", "lane {d2} is slower than lane {d2}.{d2}", "{Word} {noun} and {Word} {noun} were {verb}", "uses {d4} {Word} {noun}s a day", "shard {d4} {verb} {Word} for {prod}",
+    "without {word} the {noun} {verb} {d4} times", "since {word} left {svc} at {ver}", "it seems that {word} {verb} {d3} {noun}s", "{prod}, {prod} and {prod} are equal here", "place {d2} went to {prod}", "{Word} has {d4} open {noun}s",
+)
 
 
 def jumbled(sentence: str, rng: random.Random) -> str:
@@ -177,19 +186,23 @@ def jumbled(sentence: str, rng: random.Random) -> str:
     return " ".join(w)
 
 
-def labelled_texts(names, count: int, rng: random.Random) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_texts(names, count: int, rng: random.Random, part: int | None = None) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with their spans.  ``part`` 0 has three quarters of the frames, 1 the others, None all."""
     m = Maker(names, rng)
+    personal, harmless = ([f for k, f in enumerate(frames) if part is None or (k % 4 == 3) == bool(part)] for frames in (PERSONAL, HARMLESS))
     for _ in range(count):
         text, spans = "", []
         for _ in range(rng.choice((1, 2, 2, 3))):
             if text:
-                text += rng.choice((" ", " ", "\n", " -- "))
+                text += rng.choice((" ", " ", "\n", " -- ", ". ", ", "))
             if rng.random() < 0.5:
-                for piece, kind in m.personal():
+                for piece, kind in m.sentence(rng.choice(personal)):
                     if kind:
                         spans.append((len(text), len(text) + len(piece), kind))
                     text += piece
             else:
-                plain = m.harmless()
+                plain = "".join(p for p, _ in m.sentence(rng.choice(harmless)))
+                if rng.random() < 0.5:
+                    plain = plain[:1].upper() + plain[1:] + "."
                 text += rng.choice((plain, plain, plain, plain, plain, plain, plain.upper(), plain.replace(" ", "  "), jumbled(plain, rng)))
         yield text, spans
