@@ -165,3 +165,10 @@ def embed_text(text: Column, previous: Column, preamble: Column) -> Column:
         .when((F.length(text) > 20) & (F.size(previous) > 0), F.concat_ws("\n", tail(context, 500), tail(text, 1000)))
         .otherwise(text)
     )
+
+
+def divisible_id(id_: Column, n: int = 50) -> Column:
+    """Whether an id, read as a hexadecimal number of its digits (32 at most), is divisible by ``n``."""
+    digits = F.lpad(F.regexp_replace(id_, "[^0-9a-fA-F]", ""), 32, "0")
+    high, low = (F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)") % n for at in (1, 17))
+    return (high * (2**64 % n) + low) % n == 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators.sequence import day_bucket, numbered
 
 
 def evidence_scope(evidence: DataFrame, sessions: DataFrame, most: int = 5) -> DataFrame:
@@ -27,7 +28,8 @@ def chronology(evidence: DataFrame) -> DataFrame:
 def distinct_instances(items: DataFrame, label: str, at: str) -> DataFrame:
     """One row a normalised label with its count and earliest date; undated ones last."""
     g = items.groupBy(F.lower(F.trim(label)).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("earliest"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.col("earliest").asc_nulls_last(), "label")))
+    order = [F.col("earliest").asc_nulls_last(), F.col("label")]
+    return numbered(g.withColumn("_all", F.lit(0)), "_all", day_bucket("earliest"), order, "place").drop("_all")
 
 
 def blocks(evidence: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(rows: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``queries(query_id, query)`` -> (query_id, id, score), unnormalised.
 
-    One pass over the texts: only the postings of query terms leave the scan; document count and
-    average length come from the same tokens.
+    Only the postings of query terms leave the scan; document count and average length come from a
+    second pass over the tokens.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
     tokens = rows.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -45,8 +45,9 @@ def bm25(rows: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str
 
 
 def normalised(scores: DataFrame) -> DataFrame:
-    """Scores divided by the best of their query."""
-    return scores.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
+    """Scores divided by the best of their query (a partial maximum, not a window over all hits)."""
+    best = scores.groupBy("query_id").agg(F.max("score").alias("_best"))
+    return scores.join(best, "query_id").withColumn("score", F.col("score") / F.col("_best")).drop("_best")
 
 
 def top(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:

@@ -2,7 +2,7 @@
 
 ``scan_topk`` scores one or many query vectors against a scan in Arrow batches and keeps only
 the best k a query in each partition, so that what is shuffled is partitions x queries x k rows.
-The queries are broadcast; their count is checked against ``MAX_QUERIES``.
+The queries are broadcast in blocks of ``MAX_QUERIES``, a scan each.
 
 Unusual cases: null vectors, other lengths, null or NaN elements, zero norms are never hits; a
 query that is not usable has no hits; ties by id.
@@ -10,6 +10,8 @@ query that is not usable has no hits; ties by id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -49,7 +51,8 @@ def scan_topk(rows: DataFrame, queries: list[tuple[str, list[float]]], k: int, i
     """``rows(id, embedding)`` -> (query_id, id, similarity, rank): the k best a query, ranked on
     the rounded cosine and id."""
     if len(queries) > MAX_QUERIES:
-        raise ValueError(f"{len(queries)} queries at once; feed at most {MAX_QUERIES} a scan")
+        parts = [scan_topk(rows, queries[a : a + MAX_QUERIES], k, id_type, min_similarity, exclude_self, digits) for a in range(0, len(queries), MAX_QUERIES)]
+        return reduce(DataFrame.unionByName, parts)
     spark = rows.sparkSession
     queries = [(q, np.asarray(v, dtype=np.float64)) for q, v in queries if v is not None]
     queries = [(q, v) for q, v in queries if np.isfinite(v).all() and v.any()]

@@ -71,11 +71,10 @@ def content_intents(t: Tables) -> DataFrame:
 _EMOST, _ENAME = _best("content", tuple(L.EMOTIONS), L.EMOTIONS)
 
 
-@R.query(f"SELECT id, CASE WHEN {_EMOST} >= 2 THEN {_ENAME} ELSE 'neutral' END AS label, CASE WHEN {_EMOST} >= 2 THEN 0.5 ELSE 0.1 END AS intensity FROM ep WHERE content IS NOT NULL AND {_EMOST} < 3")
+@R.query(f"SELECT id, CASE WHEN {_EMOST} >= 2 THEN {_ENAME} ELSE 'neutral' END AS label, round(CASE WHEN {_EMOST} >= 3 THEN least(0.95, 0.7 + 0.1 * ({_EMOST} - 3)) WHEN {_EMOST} = 2 THEN 0.5 ELSE 0.1 END, 3) AS intensity FROM ep WHERE content IS NOT NULL")
 def emotion_class(t: Tables) -> DataFrame:
     e = L.emotion(F.col("content"))
-    rows = t.episodes.where("content is not null").select("id", e.alias("e")).select("id", "e.label", "e.intensity")
-    return rows.where("intensity in (0.1, 0.5)")
+    return t.episodes.where("content is not null").select("id", e.alias("e")).select("id", "e.label", F.round("e.intensity", 3).alias("intensity"))
 
 
 @R.query(f"SELECT id, list_filter([{', '.join(f'CASE WHEN {_hit('content', chr(92) + 'b(' + p + ')' + chr(92) + 'b')} THEN {chr(39)}{n}{chr(39)} END' for n, p in L.EMOTION_WORDS.items())}], lambda x: x IS NOT NULL) AS labels FROM ep WHERE content IS NOT NULL")

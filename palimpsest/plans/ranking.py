@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Tables
+from palimpsest.functions import lexicon as L
 from palimpsest.functions import text as T
 from palimpsest.operators import fusion, metrics, sequence, text_search, vectors
 from palimpsest.plans import lexical
@@ -103,39 +104,60 @@ def interleave_rounds(t: Tables) -> DataFrame:
     return fusion.interleave(both, 40).select("id", "position")
 
 
-_PAIR = f"""WITH {lexical._BM25}, t AS (SELECT query_id, id, score AS boost FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
-qv AS (SELECT * FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), sv AS (SELECT e.vec_id AS id, {_SIM.format(a='e', b='qv')} AS similarity FROM embeddings e, qv),
-v AS (SELECT item_id AS query_id, 1000000 + id AS id, similarity FROM (SELECT * FROM sv ORDER BY similarity DESC, id LIMIT 50), (SELECT item_id FROM eval_items WHERE item_id % 50 = 0))"""
+# the queries: facts whose id is divisible by 50, by their topic and by their own vector, against episodes
+_USABLE = "len(embedding) = 32 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_DIVISIBLE = "list_reduce(list_transform(string_split(replace(id, '-', ''), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: (a * 16 + b) % 50) = 0"
+_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_PAIR = f"""+ asked AS (SELECT id AS query_id, topic, embedding FROM se WHERE {_DIVISIBLE}),
+d AS (SELECT id, w, len(w) AS length FROM (SELECT id, {_TOKENS.format('content')} AS w FROM ep WHERE content IS NOT NULL) WHERE len(w) > 0), stats AS (SELECT count(*) AS n_docs, avg(length) AS avg_length FROM d),
+q AS (SELECT query_id, unnest(list_distinct({_TOKENS.format('topic')})) AS term FROM asked),
+tf AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, length, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT query_id, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), stats GROUP BY 1, 2),
+bm AS (SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM raw),
+t AS (SELECT query_id, id, score AS boost FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 200),
+sv AS (SELECT query_id, e.id, {_SIM.format(a='e', b='asked')} AS similarity FROM asked JOIN ep e ON true WHERE {_USABLE.replace('embedding', 'e.embedding')} AND {_USABLE.replace('embedding', 'asked.embedding')}),
+v AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 200)"""
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.semantic.where(T.divisible_id(F.col("id")))
 
 
 def _text_hits(t: Tables) -> DataFrame:
-    return text_search.top(lexical.bm25_scores(t), 50).select("query_id", "id", F.col("score").alias("boost"))
+    queries = _asked(t).select(F.col("id").alias("query_id"), F.col("topic").alias("query"))
+    scores = text_search.normalised(text_search.bm25(t.episodes.where("content is not null"), queries))
+    return text_search.top(scores, 200).select("query_id", "id", F.col("score").alias("boost"))
 
 
 def _vector_hits(t: Tables) -> DataFrame:
-    """The first vector's neighbours stand in for document vectors of every query."""
-    queries = [r["item_id"] for r in t.eval_items.where("item_id % 50 = 0").select("item_id").collect()]  # the evaluation items do not grow
-    near = vectors.scan_topk(_rows(t), _first_query(t), 50, "long").select((F.col("id") + 1_000_000).alias("id"), "similarity")
-    return near.select(F.explode(F.array(*[F.lit(q) for q in queries])).alias("query_id"), "id", "similarity")
+    """Episodes near the query's own vector: the same ids as the text hits."""
+    queries = [(r["id"], r["embedding"]) for r in _asked(t).where(vectors.usable(F.col("embedding"), 32)).select("id", "embedding").collect()]  # the stated queries
+    return vectors.scan_topk(t.episodes.select("id", "embedding"), queries, 200).select("query_id", "id", "similarity")
 
 
-@R.query(_PAIR + " SELECT query_id, id, round(0.4 * coalesce(boost, 0) + 0.6 * coalesce(similarity, 0), 6) AS score FROM t FULL OUTER JOIN v USING (query_id, id) WHERE 0.4 * coalesce(boost, 0) + 0.6 * coalesce(similarity, 0) > 0", base=False)
+@R.query(_PAIR + " SELECT query_id, id, round(0.4 * coalesce(boost, 0) + 0.6 * coalesce(similarity, 0), 6) AS score FROM t FULL OUTER JOIN v USING (query_id, id) WHERE 0.4 * coalesce(boost, 0) + 0.6 * coalesce(similarity, 0) > 0")
 def hybrid_score(t: Tables) -> DataFrame:
     return fusion.hybrid(_text_hits(t), _vector_hits(t)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@R.query(_PAIR + " SELECT query_id, id, coalesce(similarity, 0) AS similarity, coalesce(boost, 0) AS boost, similarity IS NULL AS rescued FROM t FULL OUTER JOIN v USING (query_id, id)", base=False)
+@R.query(_PAIR + " SELECT query_id, id, coalesce(similarity, 0) AS similarity, coalesce(boost, 0) AS boost, similarity IS NULL AS rescued FROM t FULL OUTER JOIN v USING (query_id, id)")
 def boost_and_rescue(t: Tables) -> DataFrame:
     return fusion.boost_and_rescue(_vector_hits(t), _text_hits(t))
 
 
+_FAILED = f"""(coalesce(role = 'assistant' AND regexp_matches(content, '(?is){L.RECALL_FAILURE.replace(chr(39), chr(39) * 2)}')
+    AND NOT regexp_matches(substr(content, strpos(content, regexp_extract(content, '(?is){L.RECALL_FAILURE.replace(chr(39), chr(39) * 2)}', 0)) + length(regexp_extract(content, '(?is){L.RECALL_FAILURE.replace(chr(39), chr(39) * 2)}', 0)), 80), '(?is){L.HEDGE.replace(chr(39), chr(39) * 2)}'), false))"""
+
+
 @R.query(
-    """SELECT id, round(salience + 0.4 * exp(-(epoch_us($NOW) - epoch_us(created_at)) / 3600000000.0 / 720) + least(0.1, coalesce(access_count, 0) * 0.01)
-    + CASE WHEN role = 'assistant' THEN 0.05 ELSE 0 END, 5) AS score FROM ep WHERE created_at IS NOT NULL AND content IS NOT NULL AND salience IS NOT NULL AND NOT contains(content, 'find')"""
+    """SELECT id, round((salience + 0.15 * least(1, length(content) / 400.0) + 0.4 * exp(-(epoch_us($NOW) - epoch_us(created_at)) / 3600000000.0 / 720) + least(0.1, coalesce(access_count, 0) * 0.01)
+    + CASE WHEN role = 'assistant' THEN 0.05 ELSE 0 END) * CASE WHEN """ + _FAILED + """ THEN 0.4 ELSE 1 END, 5) AS score FROM ep WHERE created_at IS NOT NULL AND content IS NOT NULL AND salience IS NOT NULL"""
 )
 def composite_score(t: Tables) -> DataFrame:
-    rows = t.episodes.where("created_at is not null and content is not null and salience is not null and not contains(content, 'find')")
-    score = fusion.composite_score(F.col("salience"), F.lit(0.0), F.col("created_at"), F.col("access_count"), F.col("role"), F.col("content"), NOW, 0.4)
+    rows = t.episodes.where("created_at is not null and content is not null and salience is not null")
+    boost = F.least(F.lit(1.0), F.length("content") / 400.0)
+    score = fusion.composite_score(F.col("salience"), boost, F.col("created_at"), F.col("access_count"), F.col("role"), F.col("content"), NOW, 0.4)
     return rows.select("id", F.round(score, 5).alias("score"))
 
 

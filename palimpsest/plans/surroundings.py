@@ -52,8 +52,9 @@ def abstentions(t: Tables) -> DataFrame:
 
 @R.query()
 def relative_days(t: Tables) -> DataFrame:
-    rows = t.episodes.where(F.col("content").rlike(r"(?i)\b(yesterday|last week|last month|recently)\b") & F.col("created_at").isNotNull())
-    return rows.select("id", L.resolve_relative_days(F.col("content"), F.col("created_at")).alias("content"))
+    rows = t.episodes.where("content is not null and created_at is not null")
+    said = L.resolve_relative_days(F.col("content"), F.col("created_at"))
+    return rows.select("id", said.alias("said"), "content").where("said <> content").select("id", F.col("said").alias("content"))
 
 
 @R.query(
@@ -109,8 +110,8 @@ def summary_cost(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").groupBy("kind").agg(F.round(F.sum(context.cost(n, F.lit(100), 0.15, 0.6)), 6).alias("usd"))
 
 
-@R.query("+ t AS (SELECT DISTINCT least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM ed WHERE edge_type = 'temporal') SELECT id, round(CASE WHEN x IS NOT NULL THEN least(1, strength + 0.02) ELSE strength END, 6) AS weight, CASE WHEN x IS NOT NULL THEN 1 ELSE 0 END AS traversals FROM ed LEFT JOIN t ON least(source_id, target_id) = x AND greatest(source_id, target_id) = y WHERE strength <= 1")
+@R.query("+ t AS (SELECT DISTINCT least(source_id, target_id) AS x, greatest(source_id, target_id) AS y FROM ed WHERE edge_type = 'temporal') SELECT id, round(CASE WHEN x IS NOT NULL THEN least(1, strength + 0.02) ELSE strength END, 6) AS weight, CASE WHEN x IS NOT NULL THEN 1 ELSE 0 END AS traversals FROM ed LEFT JOIN t ON least(source_id, target_id) = x AND greatest(source_id, target_id) = y")
 def strengthened_edges(t: Tables) -> DataFrame:
-    e = t.associations.where("strength <= 1").select("id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("strength").alias("weight"), F.lit(0).alias("traversals"), F.lit(None).cast("timestamp").alias("last_traversed"))
+    e = t.associations.select("id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("strength").alias("weight"), F.lit(0).alias("traversals"), F.lit(None).cast("timestamp").alias("last_traversed"))
     walked = t.associations.where("edge_type = 'temporal'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     return context.strengthen(e, walked, NOW).select("id", F.round("weight", 6).alias("weight"), "traversals")
