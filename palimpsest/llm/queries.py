@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import BASE_SQL
+from palimpsest.functions.text import divisible_id
 from palimpsest.llm import cooccur, dedup, grading, knn, leak, packing, pii, threads
 from palimpsest.operators.history import latest_records
 from palimpsest.runtime import Scratch, table
@@ -69,17 +70,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def _fiftieth(rows: DataFrame) -> DataFrame:
-    """The rows whose id, a hexadecimal number of 128 bits, is divisible by 50 (2^64 = 16 mod 50)."""
-    digits = F.regexp_replace("id", "[^0-9a-fA-F]", "")
-    part = [F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)") % 50 for at in (1, 17)]
-    return rows.where((part[0] * 16 + part[1]) % 50 == 0)
-
-
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar of every fiftieth record, among all records and however far away."""
     vectors = _vectors(spark, sf_dir)
-    return knn.search(_fiftieth(vectors).select("id"), vectors).withColumn("cosine", F.round("cosine", 6))
+    return knn.search(vectors.where(divisible_id(F.col("id"))).select("id"), vectors).withColumn("cosine", F.round("cosine", 6))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
