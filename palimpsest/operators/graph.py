@@ -10,6 +10,9 @@ parallel edges count by their greatest weight; no seeds give an empty result.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +103,10 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     both = symmetric(edges).where("weight > 0")
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = scratch.keep(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "moves")
+    # partitioned by source once, so that a round shuffles ranks and gains alone; blocks that are
+    # lost with an executor are read again from the table
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moves = moves.repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
     rank = held = scratch.keep(moves.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0)), "rank")
     done = 0
     while done < rounds:
@@ -114,6 +121,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
         held, rank = new, new.select("node", "rank")
         if moved < tolerance:
             break
+    moves.unpersist()
     return rank
 
 
@@ -144,29 +152,156 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(node, score): unnormalised betweenness from the given ``sources(node)`` over unweighted
-    shortest paths of at most ``max_depth`` edges, by level-wise counting of paths forward and of
-    dependencies backward (all sources at once, keyed by source)."""
+def louvain(edges: DataFrame, levels: int = 10, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(node, community) by modularity: in every round a node moves to the neighbouring community of
+    the greatest gain, half of the nodes (by hash) at a time; when no round gains any more the
+    communities become nodes and the next level begins.  A level ends early, and a round that
+    lowers the modularity is not taken.  A community is named by its least node.
+
+    Ties go to the least community.  No edges give an empty result.
+    """
+    scratch = Scratch(edges.sparkSession, "louvain")
+    graph = scratch.keep(symmetric(edges).where("weight > 0"), "graph")
+    total = graph.agg(F.sum("weight")).first()[0]  # twice the weight of all edges
+    names = scratch.keep(graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "names")
+    if total is None:
+        return names
+    best = -1.0
+    for _ in range(levels):
+        degree = scratch.keep(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "degree")
+        labels = scratch.keep(degree.select("node", F.col("node").alias("community"), "k"), "labels")
+        gained = False
+        for step in range(2 * rounds):
+            moved = scratch.keep(_moved(graph, labels, total, F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2)) == step % 2), "moved")
+            value = _modularity(graph, moved, total)
+            if value > best + 1e-9:
+                best, labels, gained = value, moved, True
+            elif step % 2:
+                break
+        if not gained:
+            break
+        # named by the least member, for all nodes of the level
+        least = labels.groupBy("community").agg(F.min("node").alias("name"))
+        level = scratch.keep(labels.join(least, "community").select("node", "name"), "level")
+        names = scratch.keep(names.join(level, names["community"] == level["node"]).select(names["node"], F.col("name").alias("community")), "names")
+        ends = [level.select(F.col("node").alias(end), F.col("name").alias(f"_{end}")) for end in ("src", "dst")]
+        graph = scratch.keep(graph.join(ends[0], "src").join(ends[1], "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
+    least = names.groupBy("community").agg(F.min("node").alias("name"))
+    return names.join(least, "community").select("node", F.col("name").alias("community"))
+
+
+def _moved(graph: DataFrame, labels: DataFrame, total: float, turn: Column) -> DataFrame:
+    """Labels after the nodes of ``turn`` have gone where the modularity gains most."""
+    mass = labels.groupBy("community").agg(F.sum("k").alias("mass"))
+    around = graph.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    own = labels.select("node", "community", F.lit(0.0).alias("w"))  # staying is a choice too
+    choice = around.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).join(mass, "community")
+    choice = choice.join(labels.select("node", F.col("community").alias("was"), "k"), "node")
+    others = F.col("mass") - F.when(F.col("community") == F.col("was"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("w") - F.col("k") * others / total, 9)
+    won = choice.groupBy("node", "was", "k").agg(F.min(F.struct(-gain, "community")).alias("best"))
+    return won.select("node", F.when(turn, F.col("best.community")).otherwise(F.col("was")).alias("community"), "k")
+
+
+def _modularity(graph: DataFrame, labels: DataFrame, total: float) -> float:
+    at = [labels.select(F.col("node").alias(end), F.col("community").alias(f"_{end}")) for end in ("src", "dst")]
+    inside = graph.join(at[0], "src").join(at[1], "dst").where("_src = _dst").agg(F.sum("weight")).first()[0] or 0.0
+    apart = labels.groupBy("community").agg(F.sum("k").alias("mass")).agg(F.sum(F.pow(F.col("mass") / total, 2))).first()[0] or 0.0
+    return inside / total - apart
+
+
+#: distinct edges that may be sent to the tasks (16 bytes each)
+SENT_EDGES = 2_000_000
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, sent_edges: int = SENT_EDGES, batch: int = 512) -> DataFrame:
+    """(node, score): unnormalised betweenness over unweighted shortest paths of any length, from all
+    nodes or the given ``sources(node)``.
+
+    Behind a check of its size the graph goes to the tasks, which work off the sources level by
+    level; a larger one stays in tables, and batches of sources are joined with it.
+    """
     scratch = Scratch(edges.sparkSession, "betweenness")
     both = scratch.keep(symmetric(edges).select("src", "dst"), "edges")
-    first = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("depth"))
-    levels = [scratch.keep(first, "level0")]
+    nodes = scratch.keep(both.select(F.col("src").alias("node")).distinct(), "nodes")
+    asked = nodes if sources is None else scratch.keep(sources.select("node").distinct().join(nodes, "node"), "sources")
+    if both.count() <= sent_edges:
+        scores = _sent_betweenness(both, nodes, asked)
+    else:
+        parts = max(1, -(-asked.count() // batch))
+        scores = None
+        for part in range(parts):
+            some = _joined_betweenness(both, asked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part), scratch)
+            scores = some if scores is None else scores.unionByName(some)
+    return nodes.join(scores.groupBy("node").agg(F.sum("score").alias("score")), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _sent_betweenness(both: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Dependencies of each source, summed up in the task that works it off."""
+    node = np.sort(np.array([r["node"] for r in nodes.collect()], dtype=object))
+    links = both.toArrow()  # at most ``sent_edges``
+    place = {n: i for i, n in enumerate(node)}
+    src = np.array([place[n] for n in links.column("src").to_pylist()], dtype=np.int32)
+    dst = np.array([place[n] for n in links.column("dst").to_pylist()], dtype=np.int32)
+    order = np.argsort(src, kind="stable")
+    start = np.searchsorted(src[order], np.arange(len(node) + 1))
+    sent = both.sparkSession.sparkContext.broadcast((node, start, dst[order]))
+
+    def step(start, dst, front):
+        """All edges out of the nodes of a level: (place in the level, target)."""
+        size = start[front + 1] - start[front]
+        owner = np.repeat(np.arange(len(front)), size)
+        return owner, dst[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[front], size)]
+
+    def run(batches):
+        node, start, dst = sent.value
+        at = {n: i for i, n in enumerate(node)}
+        score = np.zeros(len(node))
+        for source in (at[n] for b in batches for n in b.column("node").to_pylist()):
+            depth = np.full(len(node), -1, dtype=np.int32)
+            paths, delta = np.zeros(len(node)), np.zeros(len(node))
+            depth[source], paths[source] = 0, 1
+            levels = [np.array([source])]
+            while len(levels[-1]):
+                owner, to = step(start, dst, levels[-1])
+                fresh = depth[to] < 0
+                np.add.at(paths, to[fresh], paths[levels[-1][owner[fresh]]])
+                new = np.unique(to[fresh])
+                depth[new] = len(levels)
+                levels.append(new)
+            for front in reversed(levels[:-2]):
+                owner, to = step(start, dst, front)
+                down = depth[to] == depth[front[owner]] + 1
+                a, b = front[owner[down]], to[down]
+                np.add.at(delta, a, paths[a] / paths[b] * (1 + delta[b]))
+            delta[source] = 0
+            score += delta
+        some = np.flatnonzero(score)
+        yield pa.RecordBatch.from_arrays([pa.array(node[some].tolist(), pa.string()), pa.array(score[some])], names=["node", "score"])
+
+    tasks = 4 * both.sparkSession.sparkContext.defaultParallelism
+    return asked.select(F.col("node").cast("string").alias("node")).repartition(tasks, "node").mapInArrow(run, "node string, score double")
+
+
+def _joined_betweenness(both: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Level-wise counting of paths forward and of dependencies backward, keyed by source."""
+    first = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
+    levels = [scratch.keep(first, "level")]
     seen = levels[0].select("source", "node")
-    for depth in range(1, max_depth + 1):
+    while True:
         step = levels[-1].join(both, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        fresh = scratch.keep(step.join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), f"level{depth}")
+        fresh = scratch.keep(step.join(seen, ["source", "node"], "left_anti"), "level")
         if fresh.isEmpty():
             break
         levels.append(fresh)
-        seen = seen.unionByName(fresh.select("source", "node"))
+        # a neighbour of a level lies in the level before it, in it, or after it
+        seen = levels[-2].select("source", "node").unionByName(fresh.select("source", "node"))
     dependency = levels[-1].select("source", "node", "paths", F.lit(0.0).alias("delta"))
     every = [dependency]
     for upper in reversed(levels[:-1]):
         below = dependency.select("source", F.col("node").alias("child"), F.col("paths").alias("p"), F.col("delta").alias("d"))
         links = upper.join(both, F.col("node") == F.col("src")).select("source", "node", "paths", F.col("dst").alias("child"))
-        got = links.join(below, ["source", "child"])
-        gain = got.groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("d"))).alias("delta"))
+        gain = links.join(below, ["source", "child"]).groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("d"))).alias("delta"))
         dependency = scratch.keep(upper.join(gain, ["source", "node"], "left").select("source", "node", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta")
         every.append(dependency)
     out = every[0]

@@ -133,22 +133,22 @@ def pagerank(t: Tables) -> DataFrame:
 
 @R.query()
 def communities(t: Tables) -> DataFrame:
+    return graph.louvain(_edges(t))
+
+
+@R.query()
+def label_communities(t: Tables) -> DataFrame:
     return graph.communities(_edges(t))
 
 
 @R.query()
 def betweenness(t: Tables) -> DataFrame:
-    """From the nodes whose hash is 0 modulo 50: the stated source set of the sampled measure."""
-    edges = _edges(t).where("weight >= 0.5")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graph.betweenness(edges, nodes.where(F.pmod(F.xxhash64("node"), F.lit(50)) == 0)).withColumn("score", F.round("score", 6))
+    return graph.betweenness(_edges(t)).withColumn("score", F.round("score", 6))
 
 
-@R.query(f"+ {_EDGES}, d AS (SELECT node, CAST(count(*) AS DOUBLE) AS score FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1) SELECT node, score, score >= (SELECT quantile_cont(score, 0.95) FROM d) AS is_bridge FROM d")
+@R.query()
 def bridge_nodes_p95(t: Tables) -> DataFrame:
-    e = _edges(t)
-    degree = e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return graph.bridge_flags(degree)
+    return graph.bridge_flags(graph.betweenness(_edges(t)).withColumn("score", F.round("score", 6)))
 
 
 @R.query(

@@ -90,17 +90,17 @@ def edge_merge(t: Tables) -> DataFrame:
 
 @R.query()
 def replay_edges(t: Tables) -> DataFrame:
-    """The five newest linked episodes as replay seeds."""
-    edges = aggregates._edges(t)
-    both = graph.symmetric(edges, 0.01)
-    newest = t.episodes.where("created_at is not null").join(both.select(F.col("src").alias("id")).distinct(), "id").orderBy(F.col("created_at").desc(), "id").limit(5)
-    seeds = newest.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1.0).alias("value"))
-    return consolidation.replay_pairs(graph.spread(both, seeds, 2, 0.6, 0.01, by=["seed"]).where("depth > 0"), minimum=1)
+    """Every live episode with an edge replays what it activates; those that share three nodes or more
+    are linked.  (The nightly job takes the newest five of them as seeds.)"""
+    both = graph.symmetric(aggregates._edges(t), 0.01)
+    linked = t.episodes.where("created_at is not null and forgotten_at is null").join(both.select(F.col("src").alias("id")).distinct(), "id")
+    seeds = linked.where(T.divisible_id(F.col("id"))).select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1.0).alias("value"))
+    return consolidation.replay_pairs(graph.spread(both, seeds, 3, 0.6, 0.01, by=["seed"]).where("depth > 0"))
 
 
 @R.query()
 def community_summaries(t: Tables) -> DataFrame:
-    members = graph.communities(aggregates._edges(t))
+    members = graph.louvain(aggregates._edges(t))
     terms = t.digests.select(F.col("id").alias("node"), F.lit("topic").alias("kind"), F.explode("key_topics").alias("term")).where("term is not null")
     return consolidation.community_summaries(members, terms, minimum=2)
 

@@ -268,3 +268,74 @@ def test_context_tools(spark):
     act = spark.createDataFrame([("q", "person", "Ann", 0.5), ("q", "person", "ann", 0.4), ("q", "entity", "redis", 0.3), ("q", "intent", "QUESTION", 0.1), ("q", "intent", None, 0.1)], "query_id string, label string, name string, activation double")
     c = context.assemble(act).first()
     assert c["speakers"] == ["Ann"] and c["topics"] == ["redis"] and c["dominant_intent"] == "QUESTION"
+
+
+def random_graph(seed=6, n=24, m=40):
+    import random
+
+    r = random.Random(seed)
+    return sorted({tuple(sorted((f"n{r.randrange(n):02d}", f"n{r.randrange(n):02d}"))) for _ in range(m)})
+
+
+def brute_betweenness(pairs):
+    from collections import deque
+    from itertools import permutations
+
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def counted(source):
+        depth, paths, queue = {source: 0}, {source: 1}, deque([source])
+        while queue:
+            x = queue.popleft()
+            for y in near[x]:
+                if y not in depth:
+                    depth[y], paths[y] = depth[x] + 1, 0
+                    queue.append(y)
+                if depth[y] == depth[x] + 1:
+                    paths[y] += paths[x]
+        return depth, paths
+
+    every = {x: counted(x) for x in near}
+    out = dict.fromkeys(near, 0.0)
+    for s, t in permutations(near, 2):
+        depth, paths = every[s]
+        if t in depth:
+            for v in near:
+                if v not in (s, t) and v in depth and t in every[v][0] and depth[v] + every[v][0][t] == depth[t]:
+                    out[v] += paths[v] * every[v][1][t] / paths[t]
+    return {k: round(v, 6) for k, v in out.items()}
+
+
+def test_betweenness_equals_brute_force(spark):
+    pairs = random_graph()
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    want = brute_betweenness(pairs)
+    for bound in (10_000, 0):
+        got = {r["node"]: round(r["score"], 6) for r in graph.betweenness(e, sent_edges=bound, batch=9).collect()}
+        assert got == want
+    assert graph.betweenness(e.limit(0)).count() == 0
+
+
+def test_louvain_finds_planted_groups(spark):
+    import random
+
+    r = random.Random(2)
+    edges = []
+    for g in range(4):
+        members = [f"g{g}m{k}" for k in range(8)]
+        edges += [(a, b, 1.0) for i, a in enumerate(members) for b in members[:i] if r.random() < 0.8]
+    edges += [(f"g{g}m0", f"g{(g + 1) % 4}m1", 0.3) for g in range(4)]
+    got = dict(rows(graph.louvain(spark.createDataFrame(edges, "src string, dst string, weight double"))))
+    assert got == {f"g{g}m{k}": f"g{g}m0" for g in range(4) for k in range(8)}
+    assert graph.louvain(spark.createDataFrame([], "src string, dst string, weight double")).count() == 0
+
+
+def test_replay_links_seeds_that_share_three_nodes(spark):
+    from palimpsest.operators import consolidation
+
+    a = spark.createDataFrame([(s, n) for s, ns in {"s1": "abcd", "s2": "bcde", "s3": "xya"}.items() for n in ns], "seed string, node string")
+    assert [(r["a"], r["b"], r["shared"], round(r["weight"], 6)) for r in consolidation.replay_pairs(a).collect()] == [("s1", "s2", 3, 0.6)]
