@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from palimpsest import catalog, schema
 from palimpsest.functions import lexicon as L
 from palimpsest.functions import text as T
-from palimpsest.operators import consolidation, fusion, graph, scans, sequence, text_search, vectors
-from palimpsest.runtime import ship_code
+from palimpsest.operators import consolidation, fusion, graph, rounds, scans, sequence, synthesis, text_search, vectors
+from palimpsest.runtime import Scratch, ship_code
 
 
 @dataclass(frozen=True)
@@ -31,15 +31,37 @@ class Recall:
     deltas: dict[str, DataFrame]
 
 
+@dataclass(frozen=True)
+class Intelligence:
+    """The model-backed steps, each a plain function or None; without one the rule named stands in.
+
+    Functions run on the driver over one query or the bounded rows of one result.
+    """
+
+    #: text -> vector; without it recall is by text alone
+    embed: Callable[[str], list[float]] | None = None
+    #: query -> an invented answer, for the second pass; without it there is none
+    hypothetical: Callable[[str], str] | None = None
+    #: query -> further search terms; without it none
+    expand: Callable[[str], list[str]] | None = None
+    #: (query, texts) -> a score each; without it the order of relevance stands
+    rerank: Callable[[str, list[str]], list[float]] | None = None
+    #: (query, lines, mode) -> [(index, instance, date_text)]; without it the plain notes are made
+    select: Callable[[str, list[str], str], list[tuple[int, str | None, str | None]]] | None = None
+    #: (question, [(id, text)]) -> the next query of a multi-hop recall; without it one round
+    propose: Callable[[str, list[tuple[str, str]]], str | None] | None = None
+
+
 class Memory:
     """Memory over tables ``episodes, digests, semantic, procedural, associations, runs`` in a
     folder.  ``embed`` (optional) maps a query text to a vector; without it recall is by text."""
 
     TABLES = {"episodes": schema.EPISODES, "digests": schema.DIGESTS, "semantic": schema.SEMANTIC, "procedural": schema.PROCEDURAL, "associations": schema.ASSOCIATIONS, "runs": schema.RUNS}
 
-    def __init__(self, spark: SparkSession, folder: str, project: str | None = None, embed: Callable[[str], list[float]] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, project: str | None = None, embed: Callable[[str], list[float]] | None = None, intelligence: Intelligence | None = None):
         ship_code(spark)
-        self.spark, self.folder, self.project, self.embed = spark, folder.rstrip("/"), project, embed
+        self.model = intelligence or Intelligence(embed=embed)
+        self.spark, self.folder, self.project, self.embed = spark, folder.rstrip("/"), project, self.model.embed
 
     # --- tables ---------------------------------------------------------------------------------
 
@@ -114,14 +136,26 @@ class Memory:
             facts = scans.point_in_time(self.table("semantic"), as_of).select("id")
             view = view.where("memory_type <> 'semantic'").unionByName(view.where("memory_type = 'semantic'").join(facts, "id", "left_semi"))
         vector = embedding if embedding is not None else (self.embed(query) if self.embed else None)
-        terms = text_search.top(text_search.normalised(text_search.bm25(view, q)), 5 * max(top, 1)).select("query_id", "id", F.col("score").alias("boost"))
-        near = vectors.scan_topk(view.select("id", "embedding"), [("q", vector)] if vector is not None else [], 4 * max(top, 1)).where("similarity > 0")
-        pool = fusion.boost_and_rescue(near, terms)
-        rows = pool.join(view.drop("embedding"), "id")
-        score = fusion.composite_score(F.col("similarity"), F.col("boost"), F.coalesce("created_at", F.lit(now).cast("timestamp")), F.col("access_count"), F.col("role"), F.col("content"), now, recency)
-        rows = fusion.prefer_project(rows.withColumn("relevance", F.round(score, 6)), self.project)
-        best = fusion.ranked(rows, "relevance").where(F.col("rank") <= top)
-        order = fusion.mmr(best.select("query_id", "id", "relevance", "content"))
+        if self.model.expand:
+            q = self.spark.createDataFrame([("q", " ".join([query, *self.model.expand(query)]))], "query_id string, query string")
+        # the best rows, at most ``top``, are read by all that follows
+        scratch = Scratch(self.spark, "recall")
+        best = scratch.keep(self._searched(view, q, vector, top, now, recency), "first")
+        if self.model.hypothetical and self.embed:
+            high = best.agg(F.max("relevance")).first()[0]
+            if rounds.second_pass_due(high, found["m"], found["t"]):
+                again = scratch.keep(self._searched(view, q, self.embed(self.model.hypothetical(query)), top, now, recency), "second")
+                both = rounds.second_pass(best, again, top).select("id", F.col("rank").alias("_rank"))
+                rows = best.unionByName(again).dropDuplicates(["id"])
+                best = scratch.keep(rows.join(both, "id").withColumn("rank", F.col("_rank")).drop("_rank"), "fused")
+        if self.model.rerank:
+            some = best.where("rank <= 25").orderBy("rank").select("id", "content").collect()  # what a reranker reads at once
+            scores = self.spark.createDataFrame(list(zip((r["id"] for r in some), map(float, self.model.rerank(query, [r["content"] for r in some])))), "id string, _score double")
+            harder = F.lit(bool(found["m"] or found["t"]))
+            blended = fusion.rerank_blend(F.col("relevance"), F.col("_score"), harder)
+            best = best.join(scores, "id", "left").withColumn("relevance", F.when(F.col("rank") <= 25, F.round(blended, 6)).otherwise(F.col("relevance"))).drop("_score", "rank")
+            best = scratch.keep(fusion.ranked(best, "relevance"), "reranked")
+        order = scratch.keep(fusion.mmr(best.select("query_id", "id", "relevance", "content")), "order")
         memories = order.join(best.drop("relevance", "query_id"), "id").orderBy("position")
         sessions = fusion.session_ranking(best.withColumn("event_at", F.col("created_at")))
         edges = self.table("associations").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("strength").alias("weight"), "edge_type")
@@ -135,6 +169,33 @@ class Memory:
         pairs = graph.pairs_within(best.where("rank <= 5").select("query_id", "id", "rank"), "query_id", ["rank"], 4).select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
         return Recall(mode, memories, associated, sessions, primed, {"accessed": best.select("id", "memory_type"), "co_recalled": pairs})
 
+    def _searched(self, view: DataFrame, q: DataFrame, vector: list[float] | None, top: int, now: str, recency: float) -> DataFrame:
+        """The ``top`` rows of one pass, with relevance and rank."""
+        terms = text_search.top(text_search.normalised(text_search.bm25(view, q)), 5 * max(top, 1)).select("query_id", "id", F.col("score").alias("boost"))
+        near = vectors.scan_topk(view.select("id", "embedding"), [("q", vector)] if vector is not None else [], 4 * max(top, 1)).where("similarity > 0")
+        rows = fusion.boost_and_rescue(near, terms).join(view.drop("embedding"), "id")
+        score = fusion.composite_score(F.col("similarity"), F.col("boost"), F.coalesce("created_at", F.lit(now).cast("timestamp")), F.col("access_count"), F.col("role"), F.col("content"), now, recency)
+        rows = fusion.prefer_project(rows.withColumn("relevance", F.round(score, 6)), self.project)
+        return fusion.ranked(rows, "relevance").where(F.col("rank") <= top)
+
+    def recall_rounds(self, question: str, now: str, most: int = 3, limit: int = 20) -> tuple[DataFrame, list[str]]:
+        """Multi-hop recall: (query_id, id, position) over at most ``most`` rounds, and the queries asked."""
+        one = lambda query: self.recall(query, now).memories.select("id", "content", F.col("position").alias("rank"))
+        return rounds.iterate(question, one, self.model.propose or (lambda _, __: None), most, limit)
+
+    def notes(self, query: str, recall: Recall, now: str | None = None, most_sessions: int | None = None) -> DataFrame:
+        """Notes derived from a recall, at most one row (see ``synthesis.synthesize``)."""
+        asked = self.spark.createDataFrame([("q", query, now)], "query_id string, query string, n string").select("query_id", "query", F.col("n").cast("timestamp").alias("now"))
+        rows = recall.memories.select("query_id", F.col("position").alias("rank"), "id", "session_id", F.col("created_at").alias("event_at"), "content")
+        groups = recall.sessions.select("query_id", "session_id", "position", "earliest", F.size("memory_ids").alias("n"))
+        replies = None
+        mode = asked.select(L.synthesis_intent(F.col("query")).alias("i")).first()["i"]
+        if self.model.select and mode != "none":
+            lines = [r["content"][: synthesis.LINE_CHARS] for r in rows.where(F.col("rank") <= synthesis.MOST_LINES).orderBy("rank").select("content").collect()]
+            items = [tuple(x) for x in self.model.select(query, lines, mode)]
+            replies = self.spark.createDataFrame([("q", items)], "query_id string, items array<struct<index:int,instance:string,date_text:string>>")
+        return synthesis.synthesize(asked, rows, groups, replies, most_sessions)
+
     def commit(self, recall: Recall, now: str) -> None:
         """Writes a recall's access counts and co-recall edges."""
         for name, tier, boost in (("episodes", "episode", 0.0), ("semantic", "semantic", 0.05)):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Tables
@@ -163,3 +163,18 @@ def forget_preview(t: Tables) -> DataFrame:
     a = t.episodes.where("forgotten_at is null and salience >= 0.5").select(F.lit("episode").alias("memory_type"), "id")
     b = t.semantic.where("forgotten_at is null and confidence >= 0.5").select(F.lit("semantic").alias("memory_type"), "id")
     return a.unionByName(b).groupBy("memory_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query()
+def synthesis_notes(t: Tables) -> DataFrame:
+    """Notes on the sessions of each project, as the answer to one temporal and one counting question."""
+    asked = t.spark.createDataFrame([("temporal", "How long ago did we first talk about this?"), ("count", "How many different sessions did we have?")], "kind string, query string")
+    rows = t.episodes.where("session_id is not null and content is not null and project_id is not null")
+    rows = rows.select("project_id", "id", "session_id", F.coalesce(T.resolve_event_date(F.col("metadata")), "created_at").alias("event_at"), "content", "salience")
+    best = Window.partitionBy("project_id").orderBy(F.col("salience").desc_nulls_last(), "id")
+    hits = rows.withColumn("rank", F.row_number().over(best)).where("rank <= 30").drop("salience")
+    now = F.lit(NOW).cast("timestamp")
+    questions = hits.select("project_id").distinct().crossJoin(F.broadcast(asked)).select(F.concat_ws("/", "project_id", "kind").alias("query_id"), "project_id", "query", now.alias("now"))
+    evidence = questions.select("query_id", "project_id").join(hits, "project_id").drop("project_id")
+    groups = evidence.groupBy("query_id", "session_id").agg(F.min("event_at").alias("earliest"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("position"))
+    return synthesis.synthesize(questions.drop("project_id"), evidence, groups)

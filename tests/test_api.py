@@ -60,3 +60,26 @@ def test_empty_memory(spark, tmp_path):
     m = Memory(spark, f"file://{tmp_path}/empty")
     assert m.recall("anything about the gateway?", NOW).memories.count() == 0 and sum(count(m).values()) == 0
     assert m.timeline("x").count() == 0 and m.bridges("a", "b").count() == 0
+
+
+def test_model_backed_steps(spark, memory):
+    from palimpsest.api import Intelligence
+
+    asked: list = []
+    axes = {"gateway": [1.0, 0.0], "billing": [0.0, 1.0]}
+    embed = lambda text: next((v for k, v in axes.items() if k in text), [0.1, 0.1])
+    model = Intelligence(
+        embed=embed, hypothetical=lambda q: asked.append(q) or "something about billing", expand=lambda q: ["dashboards"],
+        rerank=lambda q, texts: [1.0 if "March" in t else 0.0 for t in texts], select=lambda q, lines, mode: [(0, "Friday move", None), (0, "again", None), (99, None, None)],
+        propose=lambda q, found: "billing dashboards project" if len(found) < 6 else None,
+    )
+    m = Memory(spark, memory.folder, intelligence=model)
+    got = m.recall("when did we decide about the gateway?", NOW)
+    assert asked and {r["id"] for r in got.memories.collect()} >= {"2", "7"}
+    top = got.memories.orderBy("relevance", ascending=False).first()
+    assert top["id"] == "7"
+    hops, queries = m.recall_rounds("gateway cluster", NOW, most=3)
+    assert queries == ["gateway cluster", "billing dashboards project"]
+    assert [r["position"] for r in hops.orderBy("position").collect()] == list(range(1, hops.count() + 1))
+    notes = m.notes("how many times did we talk about the gateway?", got, NOW).collect()
+    assert len(notes) == 1 and notes[0]["method"] == "count-enumerate" and "friday move" in notes[0]["text"] and "1 candidate instance from 1 selected evidence line across 1 session." in notes[0]["text"]
