@@ -573,13 +573,14 @@ class AcceptedTexts:
         return F.pmod(F.xxhash64(key), F.lit(self.params.buckets)).cast("int")
 
     def _append(self, df: DataFrame, name: str, key: str) -> None:
-        rows = df.withColumn("bucket", self._bucket(key)).repartition(self.params.buckets, "bucket")
+        # few files a bucket where the batch is small, more tasks a bucket where it is large
+        rows = df.withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket")
         rows.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def compact(self, name: str) -> None:
-        """One file a bucket; the old files go only after the new ones are written."""
+        """Few files a bucket; the old files go only after the new ones are written."""
         schema = {"records": self.RECORDS, "postings": self.POSTINGS, "prefixes": self.PREFIX_ROWS}[name]
-        rows = self._read(name, schema).repartition(self.params.buckets, "bucket")
+        rows = self._read(name, schema).hint("rebalance", "bucket")
         rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}-new")
         jvm = self.spark.sparkContext._jvm
         old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}{end}") for end in ("", "-new"))
