@@ -146,8 +146,14 @@ def test_needle_and_unusable_vectors(spark):
     got = vectors.scan_topk(df, [("q", target)], 3).orderBy("rank").collect()
     assert got[0]["id"] == "needle" and got[0]["similarity"] == 1.0 and not {r["id"] for r in got} & {i for i, _ in bad}
     assert vectors.scan_topk(df, [("q", [0.0] * 32)], 3).count() == 0
-    with pytest.raises(ValueError):
-        vectors.scan_topk(df, [("q", target)] * 10_001, 1)
+    # more queries than one scan takes are worked off in blocks, with the same result
+    many = [(f"q{k}", [float(x) for x in rng.normal(size=32)]) for k in range(5)]
+    whole = rows(vectors.scan_topk(df, many, 3))
+    vectors.MAX_QUERIES, most = 2, vectors.MAX_QUERIES
+    try:
+        assert rows(vectors.scan_topk(df, many, 3)) == whole and len(whole) == 15
+    finally:
+        vectors.MAX_QUERIES = most
 
 
 def test_quantized_contains_exact(spark):
