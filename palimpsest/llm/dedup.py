@@ -423,17 +423,20 @@ def _met(columns: list[np.ndarray], params: ChunkParams) -> pa.RecordBatch:
     return pairs.group_by(["a", "b", "old"]).aggregate([]).combine_chunks()
 
 
-def exact_pairs(postings: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
-    """(a, b, old): pairs that share one of their rarest words and may match by their sketches.
+def exact_pairs(postings: DataFrame, params: ChunkParams, scratch: Scratch, calm: bool = False) -> DataFrame:
+    """(a, b, old), with repeats: pairs that share one of their rarest words and may match by their
+    sketches.
 
     ``postings``: those of ``prefix_postings`` with ``old`` and ``free``; two stored records do not
-    meet, nor do two that are not free.
+    meet, nor do two that are not free.  ``calm``: no word is known to have too many postings.
     """
-    counts = postings.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > params.hot_token)
-    hot = scratch.keep(counts.select("k", F.ceil(F.col("held") / params.hot_token).cast("int").alias("blocks")), "hot-tokens")
+    hot = None
+    if not calm:
+        counts = postings.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > params.hot_token)
+        hot = scratch.keep(counts.select("k", F.ceil(F.col("held") / params.hot_token).cast("int").alias("blocks")), "hot-tokens")
     rest = ["old", "free", "rid", "n_words", "s0", "s1", "s2", "s3"]
     whole = [F.lit(-1).alias("block_a"), F.lit(-1).alias("block_b"), F.lit(0).alias("side")]
-    if hot.isEmpty():
+    if hot is None or hot.isEmpty():
         work = postings.select("k", *whole, *rest)
     else:
         marked = postings.join(F.broadcast(hot), "k", "left")  # at most postings / hot_token rows
@@ -464,7 +467,7 @@ def exact_pairs(postings: DataFrame, params: ChunkParams, scratch: Scratch) -> D
             yield from _met([np.concatenate(c) for c in zip(*waiting)], params).to_batches()
 
     sorted_ = work.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", *rest)
-    return sorted_.mapInArrow(run, "a long, b long, old boolean").distinct()
+    return sorted_.mapInArrow(run, "a long, b long, old boolean")
 
 
 def word_matches(postings: DataFrame, records: DataFrame, params: ChunkParams, scratch: Scratch) -> DataFrame:
@@ -473,14 +476,14 @@ def word_matches(postings: DataFrame, records: DataFrame, params: ChunkParams, s
     free = postings.withColumn("free", F.lit(True))
     crowded = scratch.keep(postings.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > params.crowd).select("k"), "crowded")
     if crowded.isEmpty():
-        return exact_pairs(free, params, scratch)
+        return exact_pairs(free, params, scratch, calm=params.crowd <= params.hot_token)
     known = F.broadcast(crowded)  # at most postings / crowd rows
     first = postings.select("k", "rid").join(known, "k").join(records.select("rid", "ts", "id"), "rid").groupBy("k").agg(F.min(F.struct("ts", "id", "rid")).alias("first"))
     leaders = scratch.keep(first.select("first.rid", F.lit(True).alias("leads")).distinct(), "leaders")
     marked = scratch.keep(postings.join(F.broadcast(leaders), "rid", "left").withColumn("free", F.coalesce("leads", F.lit(False))).drop("leads"), "led")
     # only words that a leader holds can bring a pair
     held = marked.where("free").select("k").distinct()
-    led = scratch.keep(exact_pairs(marked.join(held, "k", "left_semi"), params, scratch), "led-pairs")
+    led = scratch.keep(exact_pairs(marked.join(held, "k", "left_semi"), params, scratch).distinct(), "led-pairs")
     matches = scratch.keep(verified(led, records, params, scratch), "led-matches").select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
     # a leader without an earlier match is accepted whatever comes
     sure = leaders.select(F.col("rid").alias("a")).join(matches.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
