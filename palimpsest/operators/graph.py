@@ -106,7 +106,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, toleranc
     # partitioned by source once, so that a round shuffles ranks and gains alone; blocks that are
     # lost with an executor are read again from the table
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moves = moves.repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
+    moves = moves.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     rank = held = scratch.keep(moves.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0)), "rank")
     done = 0
     while done < rounds:
