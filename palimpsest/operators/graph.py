@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,69 +219,183 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, sent_edges:
     """(node, score): unnormalised betweenness over unweighted shortest paths of any length, from all
     nodes or the given ``sources(node)``.
 
-    Behind a check of its size the graph goes to the tasks, which work off the sources level by
-    level; a larger one stays in tables, and batches of sources are joined with it.
+    Behind a check of its size the graph is cut at its articulation points: pairs in different
+    branches at a node are counted by the sizes of the branches, and the tasks search the blocks of
+    three nodes and more alone.  A larger graph stays in tables, and batches of sources are joined
+    with it.
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
     both = scratch.keep(symmetric(edges).select("src", "dst"), "edges")
     nodes = scratch.keep(both.select(F.col("src").alias("node")).distinct(), "nodes")
     asked = nodes if sources is None else scratch.keep(sources.select("node").distinct().join(nodes, "node"), "sources")
     if both.count() <= sent_edges:
-        scores = _sent_betweenness(both, nodes, asked)
-    else:
-        parts = max(1, -(-asked.count() // batch))
-        scores = None
-        for part in range(parts):
-            some = _joined_betweenness(both, asked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part), scratch)
-            scores = some if scores is None else scores.unionByName(some)
+        return _sent_betweenness(both, nodes, asked)
+    parts = max(1, -(-asked.count() // batch))
+    scores = None
+    for part in range(parts):
+        some = _joined_betweenness(both, asked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part), scratch)
+        scores = some if scores is None else scores.unionByName(some)
     return nodes.join(scores.groupBy("node").agg(F.sum("score").alias("score")), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _blocks(start: np.ndarray, dst: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, list[tuple[int, list[int], list[tuple[int, int]]]], np.ndarray, np.ndarray]:
+    """Biconnected blocks of a symmetric graph without loops, depth first without recursion.
+
+    -> (score of the pairs that a node separates, blocks of three nodes and more as (head, other
+    nodes, edges), nodes hanging at each node away from its root, those of them that are asked).
+    The head's own weight in a block is the rest of its component.
+    """
+    n = len(start) - 1
+    first, near = start.tolist(), dst.tolist()
+    number, low, at, up = [-1] * n, [0] * n, first[:-1], [-1] * n
+    hang, hang_s = [1] * n, asked.astype(int).tolist()
+    pairs = [0] * n  # (asked, any) pairs that lie in one branch at a node
+    root = [0] * n
+    blocks = []
+    count = 0
+    for origin in range(n):
+        if number[origin] >= 0:
+            continue
+        number[origin] = low[origin] = count
+        count += 1
+        root[origin] = origin
+        path, links = [origin], []
+        while path:
+            x = path[-1]
+            if at[x] < first[x + 1]:
+                y = near[at[x]]
+                at[x] += 1
+                if number[y] < 0:
+                    links.append((x, y))
+                    number[y] = low[y] = count
+                    count += 1
+                    up[y], root[y] = x, origin
+                    path.append(y)
+                elif y != up[x] and number[y] < number[x]:
+                    links.append((x, y))
+                    low[x] = min(low[x], number[y])
+                continue
+            path.pop()
+            if not path:
+                continue
+            u = path[-1]
+            low[u] = min(low[u], low[x])
+            if low[x] >= number[u]:
+                own = []
+                while True:
+                    own.append(links.pop())
+                    if own[-1] == (u, x):
+                        break
+                if len(own) == 1:
+                    others = [x]
+                else:
+                    others = list({e for link in own for e in link} - {u})
+                    blocks.append((u, others, own))
+                below, below_s = sum(hang[v] for v in others), sum(hang_s[v] for v in others)
+                pairs[u] += below * below_s
+                hang[u] += below
+                hang_s[u] += below_s
+    hang, hang_s, root = (np.array(v, dtype=np.int64) for v in (hang, hang_s, root))
+    rest, rest_s = (hang[root] - hang).astype(float), (hang_s[root] - hang_s).astype(float)
+    score = (hang_s[root] - asked) * (hang[root] - 1.0) - np.array(pairs, dtype=float) - rest * rest_s
+    return score, blocks, np.stack([hang, hang[root]]), np.stack([hang_s, hang_s[root]])
+
+
+def _places(values: pa.ChunkedArray, known: pa.Array) -> np.ndarray:
+    return pc.index_in(values, value_set=known).to_numpy().astype(np.int32)
+
+
 def _sent_betweenness(both: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """Dependencies of each source, summed up in the task that works it off."""
-    node = np.sort(np.array([r["node"] for r in nodes.collect()], dtype=object))
+    """Pairs in different branches are counted here; the dependencies of each source within its
+    block are summed up in the task that works it off."""
+    spark = both.sparkSession
+    kind = both.schema["src"].dataType.simpleString()
+    schema = f"node {kind}, score double"
+    node = nodes.toArrow().column("node").combine_chunks()
+    if not len(node):
+        return spark.createDataFrame([], schema)
     links = both.toArrow()  # at most ``sent_edges``
-    place = {n: i for i, n in enumerate(node)}
-    src = np.array([place[n] for n in links.column("src").to_pylist()], dtype=np.int32)
-    dst = np.array([place[n] for n in links.column("dst").to_pylist()], dtype=np.int32)
+    src, dst = (_places(links.column(end), node) for end in ("src", "dst"))
     order = np.argsort(src, kind="stable")
     start = np.searchsorted(src[order], np.arange(len(node) + 1))
-    sent = both.sparkSession.sparkContext.broadcast((node, start, dst[order]))
-
-    def step(start, dst, front):
-        """All edges out of the nodes of a level: (place in the level, target)."""
-        size = start[front + 1] - start[front]
-        owner = np.repeat(np.arange(len(front)), size)
-        return owner, dst[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[front], size)]
+    wanted = np.zeros(len(node), dtype=np.int64)
+    wanted[_places(asked.toArrow().column("node"), node)] = 1
+    score, blocks, hang, hang_s = _blocks(start, dst[order], wanted)
+    apart = spark.createDataFrame(pa.table({"node": node, "score": score}), schema)
+    if not blocks:
+        return apart
+
+    # all blocks side by side: a node that lies in several has a place in each
+    name, weight, weight_s, ends = [], [], [], []
+    for head, others, own in blocks:
+        place = {v: len(name) + i for i, v in enumerate((head, *others))}
+        name += place
+        others = np.array(others)
+        weight.append(np.r_[hang[1, head] - hang[0, others].sum(), hang[0, others]])
+        weight_s.append(np.r_[hang_s[1, head] - hang_s[0, others].sum(), hang_s[0, others]])
+        ends += [(place[a], place[b]) for a, b in own]
+    name, ends = np.array(name), np.array(ends, dtype=np.int32)
+    weight, weight_s = np.concatenate(weight).astype(float), np.concatenate(weight_s).astype(float)
+    src, dst = np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]]
+    order = np.argsort(src, kind="stable")
+    start = np.searchsorted(src[order], np.arange(len(name) + 1))
+    sent = spark.sparkContext.broadcast((node.take(pa.array(name)), start, dst[order], weight, weight_s))
 
     def run(batches):
-        node, start, dst = sent.value
-        at = {n: i for i, n in enumerate(node)}
-        score = np.zeros(len(node))
-        for source in (at[n] for b in batches for n in b.column("node").to_pylist()):
-            depth = np.full(len(node), -1, dtype=np.int32)
-            paths, delta = np.zeros(len(node)), np.zeros(len(node))
-            depth[source], paths[source] = 0, 1
-            levels = [np.array([source])]
-            while len(levels[-1]):
-                owner, to = step(start, dst, levels[-1])
-                fresh = depth[to] < 0
-                np.add.at(paths, to[fresh], paths[levels[-1][owner[fresh]]])
-                new = np.unique(to[fresh])
-                depth[new] = len(levels)
-                levels.append(new)
-            for front in reversed(levels[:-2]):
-                owner, to = step(start, dst, front)
-                down = depth[to] == depth[front[owner]] + 1
-                a, b = front[owner[down]], to[down]
-                np.add.at(delta, a, paths[a] / paths[b] * (1 + delta[b]))
-            delta[source] = 0
-            score += delta
+        node, start, dst, weight, weight_s = sent.value
+        score = _dependencies(start, dst, weight, weight_s, np.concatenate([np.empty(0, dtype=np.int64), *(b.column("id").to_numpy() for b in batches)]))
         some = np.flatnonzero(score)
-        yield pa.RecordBatch.from_arrays([pa.array(node[some].tolist(), pa.string()), pa.array(score[some])], names=["node", "score"])
-
-    tasks = 4 * both.sparkSession.sparkContext.defaultParallelism
-    return asked.select(F.col("node").cast("string").alias("node")).repartition(tasks, "node").mapInArrow(run, "node string, score double")
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(score[some])], names=["node", "score"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    sources = spark.createDataFrame(pa.table({"id": np.flatnonzero(weight_s)})).repartition(tasks, "id")
+    within = sources.mapInArrow(run, schema)
+    return apart.unionByName(within).groupBy("node").agg(F.sum("score").alias("score"))
+
+
+def _dependencies(start: np.ndarray, dst: np.ndarray, weight: np.ndarray, weight_s: np.ndarray, sources: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+    """Sum over the sources of their dependency on each node; targets count by ``weight``, sources
+    by ``weight_s``.  Several sources are searched at once, level by level."""
+    n = len(start) - 1
+    score = np.zeros(n)
+    size, few = np.diff(start), max(1, at_once // n)
+    reached, place = np.zeros(few * n, dtype=bool), np.zeros(few * n, dtype=np.int32)
+    for a in range(0, len(sources), few):
+        front = sources[a : a + few].astype(np.int64)
+        base = np.arange(len(front)) * n
+        paths = np.ones(len(front))
+        reached[base + front] = True
+        levels, links = [(front, base, paths)], []
+        while True:
+            out = size[front]
+            owner = np.repeat(np.arange(len(front), dtype=np.int32), out)
+            to = dst[np.arange(len(owner)) + np.repeat(start[front] - (np.cumsum(out) - out), out)] + base[owner]
+            fresh = np.flatnonzero(~reached[to])
+            if not len(fresh):
+                break
+            owner, to = owner[fresh], to[fresh]
+            # once each, without sorting: the last that wrote its number stands for all
+            turn = np.arange(len(to), dtype=np.int32)
+            place[to] = turn
+            new = to[place[to] == turn]
+            place[new] = np.arange(len(new), dtype=np.int32)
+            child = place[to]
+            reached[new] = True
+            paths = np.bincount(child, weights=paths[owner], minlength=len(new))
+            front = new % n
+            base = new - front
+            levels.append((front, base, paths))
+            links.append((owner, child))
+        delta = np.zeros(len(front))
+        deltas = [delta]
+        for (owner, child), (front, _, paths), (below, _, paths_below) in zip(reversed(links), reversed(levels[:-1]), reversed(levels[1:])):
+            delta = paths * np.bincount(owner, weights=((weight[below] + delta) / paths_below)[child], minlength=len(front))
+            deltas.append(delta)
+        for (front, base, _), delta in zip(levels[1:], reversed(deltas[:-1])):
+            score += np.bincount(front, weights=delta * weight_s[sources[a + base // n]], minlength=n)
+        for front, base, _ in levels:
+            reached[front + base] = False
+    return score
 
 
 def _joined_betweenness(both: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:

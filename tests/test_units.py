@@ -326,6 +326,26 @@ def test_betweenness_equals_brute_force(spark):
     assert graph.betweenness(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed, n, m", [(3, 30, 26), (4, 26, 30), (5, 22, 34)])
+def test_betweenness_over_blocks_trees_and_parts(spark, seed, n, m):
+    pairs = random_graph(seed, n, m)
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    assert {r["node"]: round(r["score"], 6) for r in graph.betweenness(e).collect()} == brute_betweenness(pairs)
+    some = spark.createDataFrame([(f"n{k:02d}",) for k in range(0, n, 3)], "node string")
+    by = [{r["node"]: round(r["score"], 6) for r in graph.betweenness(e, some, sent_edges=bound).collect()} for bound in (10_000, 0)]
+    assert by[0] == by[1]
+
+
+def test_betweenness_of_a_long_tree_searches_no_block(spark, monkeypatch):
+    def searched(*_):
+        raise AssertionError("a tree has no block to search")
+
+    monkeypatch.setattr(graph, "_dependencies", searched)
+    e = spark.range(3000).selectExpr("lpad(id, 5, '0') src", "lpad(id + 1, 5, '0') dst", "1.0D weight")
+    got = dict(rows(graph.betweenness(e)))
+    assert got == {f"{k:05d}": 2.0 * k * (3000 - k) for k in range(3001)}
+
+
 def test_louvain_finds_planted_groups(spark):
     import random
 
