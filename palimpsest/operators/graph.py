@@ -153,16 +153,20 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def louvain(edges: DataFrame, levels: int = 10, rounds: int = 10, seed: int = 0) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 10, rounds: int = 10, seed: int = 0, sent_edges: int | None = None) -> DataFrame:
     """(node, community) by modularity: in every round a node moves to the neighbouring community of
     the greatest gain, half of the nodes (by hash) at a time; when no round gains any more the
     communities become nodes and the next level begins.  A level ends early, and a round that
     lowers the modularity is not taken.  A community is named by its least node.
 
-    Ties go to the least community.  No edges give an empty result.
+    Ties go to the least community.  No edges give an empty result.  A graph of at most
+    ``sent_edges`` (by default ``SENT_EDGES``) is worked off in one task by the same steps; a larger
+    one stays in tables.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     graph = scratch.keep(symmetric(edges).where("weight > 0"), "graph")
+    if graph.count() <= (SENT_EDGES if sent_edges is None else sent_edges):
+        return scratch.keep(_task_louvain(graph, levels, rounds, seed), "names")
     total = graph.agg(F.sum("weight")).first()[0]  # twice the weight of all edges
     names = scratch.keep(graph.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "names")
     if total is None:
@@ -191,6 +195,71 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 10, seed: int = 0)
     return names.join(least, "community").select("node", F.col("name").alias("community"))
 
 
+def _task_louvain(graph: DataFrame, levels: int, rounds: int, seed: int) -> DataFrame:
+    """The steps of ``louvain`` over arrays; names are numbered in their order."""
+    turn = F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(2)).cast("byte").alias("turn")
+    kind = graph.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        links = pa.Table.from_batches(batches)
+        node = pc.unique(links.column("src"))
+        node = node.take(pc.array_sort_indices(node))
+        src, dst = (_places(links.column(end), node) for end in ("src", "dst"))
+        turn = np.zeros(len(node), dtype=np.int8)
+        turn[src] = links.column("turn").to_numpy()
+        names = _louvain_names(src, dst, links.column("weight").to_numpy(), turn, levels, rounds)
+        yield from pa.table({"node": node, "community": node.take(pa.array(names))}).to_batches(max_chunksize=10_000)
+
+    return graph.select("src", "dst", "weight", turn).coalesce(1).mapInArrow(run, f"node {kind}, community {kind}")
+
+
+def _louvain_names(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, turn: np.ndarray, levels: int, rounds: int) -> np.ndarray:
+    """The number of the least member of each node's community."""
+    total = weight.sum()
+    names = np.arange(len(turn))
+    own = names  # of the nodes of the level: the least node in them
+    best = -1.0
+    for _ in range(levels):
+        n = len(own)
+        degree = np.bincount(src, weights=weight, minlength=n)
+        labels, gained = np.arange(n), False
+        loops = src == dst
+        from_, to, between = src[~loops], dst[~loops], weight[~loops]
+        for step in range(2 * rounds):
+            mass = np.bincount(labels, weights=degree, minlength=n)
+            # staying is a choice too
+            key, at = np.unique(np.r_[from_.astype(np.int64) * n + labels[to], np.arange(n) * n + labels], return_inverse=True)
+            w = np.bincount(at, weights=np.r_[between, np.zeros(n)])
+            who, community = key // n, key % n
+            others = mass[community] - np.where(community == labels[who], degree[who], 0.0)
+            gain = np.round(w - degree[who] * others / total, 9)
+            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            most = np.maximum.reduceat(gain, first)
+            won = np.flatnonzero(gain == most[who])
+            won = won[np.r_[True, who[won][1:] != who[won][:-1]]]  # the least of equal ones
+            moved = np.where(turn[own] == step % 2, community[won], labels)
+            mass = np.bincount(moved, weights=degree, minlength=n)
+            value = weight[moved[src] == moved[dst]].sum() / total - ((mass / total) ** 2).sum()
+            if value > best + 1e-9:
+                best, labels, gained = value, moved, True
+            elif step % 2:
+                break
+        if not gained:
+            break
+        # named by the least member
+        least = np.full(n, n)
+        np.minimum.at(least, labels, np.arange(n))
+        kept, level = np.unique(least[labels], return_inverse=True)
+        names = level[names]
+        key, at = np.unique(level[src].astype(np.int64) * len(kept) + level[dst], return_inverse=True)
+        src, dst, weight = key // len(kept), key % len(kept), np.bincount(at, weights=weight)
+        own = own[kept]
+    return own[names]
+
+
 def _moved(graph: DataFrame, labels: DataFrame, total: float, turn: Column) -> DataFrame:
     """Labels after the nodes of ``turn`` have gone where the modularity gains most."""
     mass = labels.groupBy("community").agg(F.sum("k").alias("mass"))

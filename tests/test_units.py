@@ -360,6 +360,16 @@ def test_louvain_finds_planted_groups(spark):
     assert graph.louvain(spark.createDataFrame([], "src string, dst string, weight double")).count() == 0
 
 
+def test_louvain_in_one_task_equals_louvain_in_tables(spark):
+    import random
+
+    r = random.Random(9)
+    pairs = random_graph(9, 60, 85)
+    e = spark.createDataFrame([(a, b, round(r.uniform(0.1, 1), 3)) for a, b in pairs], "src string, dst string, weight double")
+    got, tables = (rows(graph.louvain(e, sent_edges=bound)) for bound in (10_000, 0))
+    assert got == tables and 1 < len({c for _, c in got}) < len(got)
+
+
 def test_replay_links_seeds_that_share_three_nodes(spark):
     from palimpsest.operators import consolidation
 
