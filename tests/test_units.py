@@ -276,6 +276,40 @@ def test_context_tools(spark):
     assert c["speakers"] == ["Ann"] and c["topics"] == ["redis"] and c["dominant_intent"] == "QUESTION"
 
 
+def test_bm25_top_equals_all_hits_ranked(spark):
+    import random
+
+    from palimpsest.operators import text_search
+
+    r = random.Random(4)
+    texts = [(f"d{k:03d}", " ".join(r.choice("red blue Apple pie moon 7 river".split()) for _ in range(r.randrange(0, 5)))) for k in range(300)] + [("null", None)]
+    docs = spark.createDataFrame(texts, "id string, content string").repartition(5)
+    queries = spark.createDataFrame([("q1", "red apple"), ("q2", "APPLE, red red!"), ("q3", "moon"), ("q4", "nowhere"), ("q5", "..."), ("q6", None), ("q7", "7 rivers river")], "query_id string, query string")
+    for k in (1, 7, 500):
+        want = text_search.top(text_search.normalised(text_search.bm25(docs, queries)), k).select("query_id", "id", "score", "rank")
+        got = text_search.bm25_top(docs, queries, k)
+        assert rows(got) == rows(want) and got.count() > 3 * min(k, 20)
+
+
+def test_scans_for_many_queries_keep_few_rows(spark, monkeypatch):
+    """What a task keeps is counted in queries x k rows: no more tasks than run at once."""
+    from palimpsest.operators import text_search
+
+    monkeypatch.setattr(vectors, "MANY_KEPT", 10)
+    r = np.random.default_rng(8)
+    data = [(f"r{k:03d}", r.integers(-2, 3, 4).astype(float).tolist(), "red apple pie"[: 3 + 6 * (k % 2)]) for k in range(200)]
+    many = spark.createDataFrame(data, "id string, embedding array<float>, content string").repartition(40)
+    queries = [(i, v) for i, v, _ in data[:9] if any(v)]
+    got = vectors.scan_topk(many, queries, 8, exclude_self=True)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in data if any(v)}
+    for q, v in queries:
+        want = sorted((-round(float(unit[q] @ x), 6), i) for i, x in unit.items() if i != q)[:8]
+        assert [(-x["similarity"], x["id"]) for x in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+    assert vectors.in_order(many, 10).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    asked = spark.createDataFrame([("a", "red"), ("b", "apple red")], "query_id string, query string")
+    assert text_search.bm25_top(many, asked, 8).count() == 16
+
+
 def random_graph(seed=6, n=24, m=40):
     import random
 
