@@ -310,6 +310,26 @@ def test_scans_for_many_queries_keep_few_rows(spark, monkeypatch):
     assert text_search.bm25_top(many, asked, 8).count() == 16
 
 
+def test_similar_texts_equal_all_pairs_and_form_no_candidates(spark, monkeypatch):
+    import random
+
+    from palimpsest.operators import text_search
+
+    r = random.Random(5)
+    lists = {k: [r.choice("abcdefghij") for _ in range(r.randrange(0, 8))] for k in range(90)}
+    docs = spark.createDataFrame(list(lists.items()), "id long, words array<string>")
+    asked = docs.where("id % 4 = 0").select("id")
+    sets = {k: set(w) for k, w in lists.items() if w}
+    for threshold in (0.5, 0.75, 1.0):
+        want = sorted((q, k, round(len(a & b) / len(a | b), 9)) for q, a in sets.items() if q % 4 == 0 for k, b in sets.items() if k != q and len(a & b) >= threshold * len(a | b))
+        for block in (1000, 7):
+            monkeypatch.setattr(text_search, "MAX_TEXTS", block)
+            pairs = text_search.similar_texts(docs, asked, threshold)
+            assert [(q, k, round(j, 9)) for q, k, j in rows(pairs)] == want and want
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert text_search.similar_texts(docs, asked.limit(0), 0.5).count() == 0
+
+
 def random_graph(seed=6, n=24, m=40):
     import random
 
