@@ -400,6 +400,16 @@ def test_betweenness_of_a_long_tree_searches_no_block(spark, monkeypatch):
     assert got == {f"{k:05d}": 2.0 * k * (3000 - k) for k in range(3001)}
 
 
+def test_bridge_flags_of_a_barbell_with_trees(spark):
+    ring = [(f"{g}{k}", f"{g}{(k + 1) % 5}") for g in "lr" for k in range(5)]
+    pairs = ring + [("l0", "m"), ("m", "r0")] + [(f"l{k}", f"leaf{k}") for k in range(1, 5)]
+    scores = graph.betweenness(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")).withColumn("score", F.round("score", 6))
+    got = {n: (s, b) for n, s, b in rows(graph.bridge_flags(scores))}
+    want = brute_betweenness(pairs)
+    cut = float(np.percentile(list(want.values()), 95))
+    assert got == {n: (s, s >= cut) for n, s in want.items()} and sum(b for _, b in got.values()) == 1
+
+
 def test_louvain_finds_planted_groups(spark):
     import random
 
