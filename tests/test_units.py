@@ -291,6 +291,25 @@ def test_bm25_top_equals_all_hits_ranked(spark):
         assert rows(got) == rows(want) and got.count() > 3 * min(k, 20)
 
 
+def test_boost_and_rescue_forms_no_row_for_every_text_hit(spark, data, monkeypatch):
+    from palimpsest.operators import text_search
+    from palimpsest.plans import ranking
+
+    t = catalog.Tables(spark, data)
+    asked = t.semantic.where(T.divisible_id(F.col("id"))).select(F.col("id").alias("query_id"), F.col("topic").alias("query"))
+    every = text_search.top(text_search.normalised(text_search.bm25(t.episodes.where("content is not null"), asked)), 200)
+    want = {(q, i): b for q, i, b in rows(every.select("query_id", "id", "score"))}
+
+    def all_hits(*_):
+        raise AssertionError("a row for every hit")
+
+    monkeypatch.setattr(text_search, "bm25", all_hits)
+    got = ranking.boost_and_rescue(t).collect()
+    assert {(r["query_id"], r["id"]): r["boost"] for r in got if r["rescued"] or r["boost"] > 0} == want and want
+    near = {(r["query_id"], r["id"]) for r in got if not r["rescued"]}
+    assert len(near) + len(set(want) - near) == len(got) and near & set(want)
+
+
 def test_scans_for_many_queries_keep_few_rows(spark, monkeypatch):
     """What a task keeps is counted in queries x k rows: no more tasks than run at once."""
     from palimpsest.operators import text_search
