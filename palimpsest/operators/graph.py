@@ -290,21 +290,23 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, sent_edges:
 
     Behind a check of its size the graph is cut at its articulation points: pairs in different
     branches at a node are counted by the sizes of the branches, and the tasks search the blocks of
-    three nodes and more alone.  A larger graph stays in tables, and batches of sources are joined
+    three nodes and more alone, from nodes with three neighbours and more.  A larger graph stays in tables, and batches of sources are joined
     with it.
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
     both = scratch.keep(symmetric(edges).select("src", "dst"), "edges")
     nodes = scratch.keep(both.select(F.col("src").alias("node")).distinct(), "nodes")
     asked = nodes if sources is None else scratch.keep(sources.select("node").distinct().join(nodes, "node"), "sources")
+    # written, so that who reads the scores twice does not search twice
     if both.count() <= sent_edges:
-        return _sent_betweenness(both, nodes, asked)
+        return scratch.keep(_sent_betweenness(both, nodes, asked), "scores")
     parts = max(1, -(-asked.count() // batch))
     scores = None
     for part in range(parts):
         some = _joined_betweenness(both, asked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part), scratch)
         scores = some if scores is None else scores.unionByName(some)
-    return nodes.join(scores.groupBy("node").agg(F.sum("score").alias("score")), "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+    whole = nodes.join(scores.groupBy("node").agg(F.sum("score").alias("score")), "node", "left")
+    return scratch.keep(whole.select("node", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
 
 
 def _blocks(start: np.ndarray, dst: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, list[tuple[int, list[int], list[tuple[int, int]]]], np.ndarray, np.ndarray]:
@@ -375,8 +377,8 @@ def _places(values: pa.ChunkedArray, known: pa.Array) -> np.ndarray:
 
 
 def _sent_betweenness(both: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs in different branches are counted here; the dependencies of each source within its
-    block are summed up in the task that works it off."""
+    """Pairs in different branches are counted here; the dependencies of each group of sources within
+    their block are summed up in the task that works it off."""
     spark = both.sparkSession
     kind = both.schema["src"].dataType.simpleString()
     schema = f"node {kind}, score double"
@@ -395,7 +397,7 @@ def _sent_betweenness(both: DataFrame, nodes: DataFrame, asked: DataFrame) -> Da
         return apart
 
     # all blocks side by side: a node that lies in several has a place in each
-    name, weight, weight_s, ends = [], [], [], []
+    name, weight, weight_s, ends, bounds = [], [], [], [], [0]
     for head, others, own in blocks:
         place = {v: len(name) + i for i, v in enumerate((head, *others))}
         name += place
@@ -403,41 +405,116 @@ def _sent_betweenness(both: DataFrame, nodes: DataFrame, asked: DataFrame) -> Da
         weight.append(np.r_[hang[1, head] - hang[0, others].sum(), hang[0, others]])
         weight_s.append(np.r_[hang_s[1, head] - hang_s[0, others].sum(), hang_s[0, others]])
         ends += [(place[a], place[b]) for a, b in own]
-    name, ends = np.array(name), np.array(ends, dtype=np.int32)
+        bounds.append(len(name))
+    name, ends, bounds = np.array(name), np.array(ends, dtype=np.int32), np.array(bounds)
     weight, weight_s = np.concatenate(weight).astype(float), np.concatenate(weight_s).astype(float)
     src, dst = np.r_[ends[:, 0], ends[:, 1]], np.r_[ends[:, 1], ends[:, 0]]
     order = np.argsort(src, kind="stable")
-    start = np.searchsorted(src[order], np.arange(len(name) + 1))
-    sent = spark.sparkContext.broadcast((node.take(pa.array(name)), start, dst[order], weight, weight_s))
+    start, dst = np.searchsorted(src[order], np.arange(len(name) + 1)), dst[order]
+    groups = _groups(start, dst, weight_s, bounds)
+    sent = spark.sparkContext.broadcast((node.take(pa.array(name)), start, dst, weight, weight_s, bounds, groups))
 
     def run(batches):
-        node, start, dst, weight, weight_s = sent.value
-        score = _dependencies(start, dst, weight, weight_s, np.concatenate([np.empty(0, dtype=np.int64), *(b.column("id").to_numpy() for b in batches)]))
+        node, start, dst, weight, weight_s, bounds, groups = sent.value
+        own = [groups[g] for b in batches for g in b.column("id").to_pylist()]
+        score = _dependencies(start, dst, weight, weight_s, bounds, own)
         some = np.flatnonzero(score)
         yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(score[some])], names=["node", "score"])
 
     tasks = 4 * spark.sparkContext.defaultParallelism
-    sources = spark.createDataFrame(pa.table({"id": np.flatnonzero(weight_s)})).repartition(tasks, "id")
+    sources = spark.createDataFrame(pa.table({"id": np.arange(len(groups))})).repartition(tasks, "id")
     within = sources.mapInArrow(run, schema)
     return apart.unionByName(within).groupBy("node").agg(F.sum("score").alias("score"))
 
 
-def _dependencies(start: np.ndarray, dst: np.ndarray, weight: np.ndarray, weight_s: np.ndarray, sources: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+def _groups(start: np.ndarray, dst: np.ndarray, weight_s: np.ndarray, bounds: np.ndarray, most: int = 8) -> list[tuple[list[int], list[bool], list[tuple[int, int, list[int]]]]]:
+    """What is searched together: (nodes, whether each is a source itself here, chains between them
+    as (end, other end, nodes within)).
+
+    A chain is a path of nodes that have two neighbours each.  They are no sources of a search:
+    what they reach follows from the searches of the two ends.  So groups grow along chains, and an
+    end outside of the group is searched once more.  Of a ring two nodes are taken as ends.
+    """
+    first, near, asked = start.tolist(), dst.tolist(), (weight_s > 0).tolist()
+    core = np.diff(start) != 2
+    rings = np.flatnonzero(np.add.reduceat(core.astype(int), bounds[:-1]) == 0)
+    core[bounds[rings]] = core[dst[start[bounds[rings]]]] = True
+    core = core.tolist()
+    chains, along = [], {}
+    for u in range(len(core)):
+        for y in near[first[u] : first[u + 1]] if core[u] else ():
+            before, inner = u, []
+            while not core[y]:
+                inner.append(y)
+                a, b = near[first[y] : first[y + 1]]
+                before, y = y, b if a == before else a
+            if u < y and any(asked[z] for z in inner):
+                along.setdefault(u, []).append((y, len(chains)))
+                along.setdefault(y, []).append((u, len(chains)))
+                chains.append((u, y, inner))
+    groups, home = [], {}
+    for u in sorted((u for u in range(len(core)) if core[u] and (asked[u] or u in along)), key=lambda u: len(along.get(u, ()))):
+        if u in home:
+            continue
+        nodes, path = {}, [u]
+        while path and len(nodes) < most:
+            x = path.pop()
+            if x not in home:
+                home[x] = len(groups)
+                nodes[x] = len(nodes)
+                path += [y for y, _ in along.get(x, ()) if y not in home]
+        groups.append((nodes, []))
+    own = [len(nodes) for nodes, _ in groups]
+    for u, v, inner in chains:
+        # where both ends are, else where there is room for the other one
+        at = next((g for g in (home[u], home[v]) if u in groups[g][0] and v in groups[g][0]), None)
+        if at is None:
+            at = next((g for g in (home[u], home[v]) if len(groups[g][0]) < 2 * most), len(groups))
+        if at == len(groups):
+            groups.append(({}, []))
+            own.append(0)
+        nodes = groups[at][0]
+        for end in (u, v):
+            nodes.setdefault(end, len(nodes))
+        groups[at][1].append((nodes[u], nodes[v], inner))
+    return [(list(nodes), [k < n for k in range(len(nodes))], inside) for (nodes, inside), n in zip(groups, own)]
+
+
+def _dependencies(start: np.ndarray, dst: np.ndarray, weight: np.ndarray, weight_s: np.ndarray, bounds: np.ndarray, groups: list, at_once: int = 1 << 19) -> np.ndarray:
     """Sum over the sources of their dependency on each node; targets count by ``weight``, sources
-    by ``weight_s``.  Several sources are searched at once, level by level."""
+    by ``weight_s``.  Several nodes are searched at once, level by level, each in its block; on the
+    way back a target counts for the node and for the chains that reach it through the node."""
     n = len(start) - 1
-    score = np.zeros(n)
-    size, few = np.diff(start), max(1, at_once // n)
-    reached, place = np.zeros(few * n, dtype=bool), np.zeros(few * n, dtype=np.int32)
-    for a in range(0, len(sources), few):
-        front = sources[a : a + few].astype(np.int64)
-        base = np.arange(len(front)) * n
+    score, size = np.zeros(n), np.diff(start)
+    a = 0
+    while a < len(groups):
+        rows, own, chains, room = [], [], [], 0
+        while a < len(groups):
+            nodes, mine, inside = groups[a]
+            at = np.searchsorted(bounds, nodes, "right")
+            more = int((bounds[at] - bounds[at - 1]).sum())
+            if rows and room + more > at_once:
+                break
+            chains += [(p + len(rows), q + len(rows), inner) for p, q, inner in inside]
+            rows += nodes
+            own += mine
+            room += more
+            a += 1
+        front = np.array(rows, dtype=np.int64)
+        at = np.searchsorted(bounds, front, "right")
+        lo, many = bounds[at - 1], bounds[at] - bounds[at - 1]
+        begin = np.cumsum(many) - many  # each search has places for the nodes of its block
+        base = begin - lo
+        counts = weight_s[front] * np.array(own)
         paths = np.ones(len(front))
+        reached, place = np.zeros(room, dtype=bool), np.empty(room, dtype=np.int32)
+        depth, every = np.zeros(room, dtype=np.int64), np.ones(room)
+        wanted = np.repeat(counts, many) * weight[np.arange(room) - np.repeat(base, many)]
         reached[base + front] = True
         levels, links = [(front, base, paths)], []
         while True:
             out = size[front]
-            owner = np.repeat(np.arange(len(front), dtype=np.int32), out)
+            owner = np.repeat(np.arange(len(front)), out)
             to = dst[np.arange(len(owner)) + np.repeat(start[front] - (np.cumsum(out) - out), out)] + base[owner]
             fresh = np.flatnonzero(~reached[to])
             if not len(fresh):
@@ -446,27 +523,67 @@ def _dependencies(start: np.ndarray, dst: np.ndarray, weight: np.ndarray, weight
             # once each, without sorting: the last that wrote its number stands for all
             turn = np.arange(len(to), dtype=np.int32)
             place[to] = turn
-            new = to[place[to] == turn]
+            last = place[to] == turn
+            new, base = to[last], base[owner[last]]
             place[new] = np.arange(len(new), dtype=np.int32)
             child = place[to]
             reached[new] = True
             paths = np.bincount(child, weights=paths[owner], minlength=len(new))
-            front = new % n
-            base = new - front
+            front = new - base
+            depth[new], every[new] = len(levels), paths
             levels.append((front, base, paths))
             links.append((owner, child))
+        for p, q, inner in chains:
+            spans = [slice(begin[k], begin[k] + many[k]) for k in (p, q)]
+            _add_chain(score, rows[p], rows[q], np.array(inner), lo[p], weight[lo[p] : lo[p] + many[p]], weight_s, [depth[s] for s in spans], [every[s] for s in spans], [wanted[s] for s in spans])
         delta = np.zeros(len(front))
-        deltas = [delta]
-        for (owner, child), (front, _, paths), (below, _, paths_below) in zip(reversed(links), reversed(levels[:-1]), reversed(levels[1:])):
-            delta = paths * np.bincount(owner, weights=((weight[below] + delta) / paths_below)[child], minlength=len(front))
-            deltas.append(delta)
-        for (front, base, _), delta in zip(levels[1:], reversed(deltas[:-1])):
-            score += np.bincount(front, weights=delta * weight_s[sources[a + base // n]], minlength=n)
-        for front, base, _ in levels:
-            reached[front + base] = False
+        for (owner, child), (front, base, paths), (below, base_below, paths_below) in zip(reversed(links), reversed(levels[:-1]), reversed(levels[1:])):
+            if len(below):
+                score += np.bincount(below, weights=delta, minlength=n)
+            delta = paths * np.bincount(owner, weights=((wanted[below + base_below] + delta) / paths_below)[child], minlength=len(front))
     return score
 
 
+def _add_chain(score: np.ndarray, u: int, v: int, inner: np.ndarray, lo: int, weight: np.ndarray, weight_s: np.ndarray, depth: list[np.ndarray], paths: list[np.ndarray], wanted: list[np.ndarray]) -> None:
+    """Adds the nodes within a chain from ``u`` to ``v`` as sources: what they reach through either
+    end to ``wanted`` of that end's search, the share of the chain's own nodes to ``score``."""
+    length, z = len(inner) + 1, inner - lo
+    s, w = weight_s[inner], weight[z]
+    other = weight.copy()
+    other[z] = 0  # the chain's own nodes are targets further down
+    # the i-th node goes by u where a target is nearer to u by more than 2 i - length
+    nearer = depth[1] - depth[0] + length
+    share = paths[0] / (paths[0] + paths[1])  # where both ways are as long
+    turn = 2 * np.arange(1, length)
+    even = np.zeros(2 * length + 1)
+    even[turn] = s
+    up_to = np.cumsum(even)
+    by_u, by_v = other * ((up_to - even)[nearer] + even[nearer] * share), other * ((s.sum() - up_to)[nearer] + even[nearer] * (1 - share))
+    wanted[0] += by_u
+    wanted[1] += by_v
+    score[u] += by_u.sum() - by_u[u - lo]
+    score[v] += by_v.sum() - by_v[v - lo]
+    mass = np.cumsum(np.bincount(nearer, weights=other, minlength=2 * length + 1))
+    equal = np.bincount(nearer, weights=other * share, minlength=2 * length + 1)[turn]
+    to_u, to_v = s * (mass[-1] - mass[turn] + equal), s * (mass[turn] - equal)
+    score[inner] += to_u.sum() - np.cumsum(to_u) + np.cumsum(to_v) - to_v
+    # pairs within the chain: along it up to half the way around, else out at both ends
+    n, k = len(inner), np.arange(len(inner))
+    around = length + int(depth[0][v - lo])
+    sums, sums_s = np.r_[0, np.cumsum(w)], np.r_[0, np.cumsum(s)]
+    pairs = lambda a, b: s * (sums[b] - sums[a]) + w * (sums_s[b] - sums_s[a])
+    ahead, behind = pairs(k + 1, np.minimum(k + 1 + (around - 1) // 2, n)), pairs(np.maximum(k - (around - 1) // 2, 0), k)
+    half = around // 2
+    if around % 2 == 0 and half < n:
+        even = (s[:-half] * w[half:] + s[half:] * w[:-half]) / (1 + paths[0][v - lo])
+        ahead[:-half] += even
+        behind[half:] += even
+    out, out_back = pairs(k + 1, n) - ahead, pairs(0, k) - behind
+    score[inner] += np.cumsum(ahead) - ahead - np.cumsum(behind) + out.sum() - np.cumsum(out) + np.cumsum(out_back) - out_back
+    score[[u, v]] += out.sum()
+    wanted[0][v - lo] += out.sum()
+
+
 def _joined_betweenness(both: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
     """Level-wise counting of paths forward and of dependencies backward, keyed by source."""
     first = sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))

@@ -429,6 +429,37 @@ def test_bridge_flags_of_a_barbell_with_trees(spark):
     assert got == {n: (s, s >= cut) for n, s in want.items()} and sum(b for _, b in got.values()) == 1
 
 
+def test_betweenness_over_rings_and_chains(spark):
+    """Long ways between branching nodes, some as long as the ways around them, trees, a lone ring."""
+    path = lambda *names: list(zip(names, names[1:]))
+    pairs = path("a", "b1", "b2", "b3", "d") + path("a", "c1", "c2", "c3", "c4", "c5", "d") + path("a", "e", "d") + path("c2", "f1", "f2", "e") + path("b2", "t1", "t2") + path("c4", "t3")
+    ring = [f"r{k}" for k in range(7)]
+    pairs += path(*ring, "r0") + path("r3", "leaf") + path("t2", "r0") + path("x", "y", "z", "x")
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    assert {r["node"]: round(r["score"], 6) for r in graph.betweenness(e).collect()} == brute_betweenness(pairs)
+    some = spark.createDataFrame([(n,) for n in ("a", "b2", "c1", "c4", "f2", "r5", "r6", "leaf", "x")], "node string")
+    by = [{r["node"]: round(r["score"], 6) for r in graph.betweenness(e, some, sent_edges=bound).collect()} for bound in (10_000, 0)]
+    assert by[0] == by[1]
+
+
+def test_betweenness_searches_from_the_ends_of_chains_alone():
+    n = 40
+    ring = np.stack([np.arange(n), (np.arange(n) + 1) % n], axis=1)
+    src, dst = np.r_[ring[:, 0], ring[:, 1]], np.r_[ring[:, 1], ring[:, 0]]
+    start, dst = np.arange(0, 2 * n + 1, 2), dst[np.argsort(src, kind="stable")]
+    groups = graph._groups(start, dst, np.ones(n), np.array([0, n]))
+    assert sum(len(nodes) for nodes, _, _ in groups) == 2
+    # ((n - 2) / 2) ^ 2 for every node of an even ring, in ordered pairs
+    assert np.allclose(graph._dependencies(start, dst, np.ones(n), np.ones(n), np.array([0, n]), groups), (n - 2) ** 2 / 4)
+
+
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_bridge_flags_do_not_search_again(spark, bound):
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in random_graph()], "src string, dst string, weight double")
+    plan = graph.bridge_flags(graph.betweenness(e, sent_edges=bound))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "LeftOuter" not in plan
+
+
 def test_louvain_finds_planted_groups(spark):
     import random
 
